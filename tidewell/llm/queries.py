@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, html, lines, mixing, quality, sharding, simhash, tokens, toxicity, urls
+from .oracles import ORACLE_SQL as ORACLE_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +20,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judged(_table(spark, sf_dir, "pages"))
+    return urls.judged(_table(spark, sf_dir, "pages")).drop("regex_runs")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,5 +58,3 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_token_counts, op4_html_extraction, op5_decontamination, op6_simhash, op7_mixing, op8_quality_rules, op9_sharding, op10_toxicity)}
-
-ORACLE_SQL: dict[str, str] = {}
