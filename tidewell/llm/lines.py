@@ -5,7 +5,8 @@ space runs to one space, trimmed. Equal normal forms are one line. A 64-bit SimH
 words and word pairs is cut into BLOCKS blocks; two hashes at most DISTANCE bits apart agree
 on BLOCKS - DISTANCE of them whichever bits differ, so every choice of that many blocks is a
 key, and whole distances are verified inside each key's bucket. What remains is
-verified by edit similarity, 1 - distance / longer length >= SIMILARITY, over characters.
+verified by edit similarity, 1 - distance / longer length >= SIMILARITY, over
+characters, or over words where a line is longer than LONG characters.
 Connected lines are one group, and a group's first occurrence (doc_id, line) stays.
 
 Recall is that of the SimHash: a pair of lines further apart than DISTANCE bits is not
@@ -21,8 +22,7 @@ every line is a later occurrence than those of documents with one; columns other
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -38,43 +38,58 @@ DISTANCE = 3
 BLOCKS = 5
 SIMILARITY = 0.8
 GROUP = 2000
-_DIGITS = {c: "0" for c in range(ord("1"), ord("9") + 1)}
+LONG = 256
+_DIGITS = bytes(0x30 if 0x31 <= c <= 0x39 else c for c in range(256))
 _FILTER_BITS = 25
 #: Block bounds: 64 bits in BLOCKS parts.
 _CUTS = [round(i * 64 / BLOCKS) for i in range(BLOCKS + 1)]
 
 
-def normal(line: str) -> str:
-    return " ".join(line.casefold().translate(_DIGITS).split())
+def normal_lines(text: str | None) -> list[bytes]:
+    """The normal forms of a text's lines, as UTF-8."""
+    if not text:
+        return []
+    return [b" ".join(x.split()) for x in text.casefold().encode("utf-8", "replace").translate(_DIGITS).split(b"\n")]
 
 
-def simhashes(lines: list[str]) -> np.ndarray:
-    """SimHash of each normal line, over its words and word pairs."""
+#: A byte's bits, lowest first, each in a byte of its own.
+_LANES = np.ascontiguousarray(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")).view(np.uint64).ravel()
+
+
+def simhashes(lines: list[bytes]) -> np.ndarray:
+    """SimHash of each normal line, over its words of letters and digits and their pairs."""
     out = np.zeros(len(lines), np.uint64)
-    for lo, data, offsets in textkit.blocks(pa.array(lines, pa.large_string()), 1 << 17):
-        starts, ends, first = textkit.words(data, offsets)
+    for lo, data, offsets in textkit.blocks(pa.array(lines, pa.large_binary()), 1 << 18):
+        starts, ends, first = textkit.words(data, offsets, textkit.PUNCT)
         h = textkit.span_hashes(data, starts, ends)
+        if not len(h):
+            continue
         n = len(first) - 1
         row = np.repeat(np.arange(n), np.diff(first))
-        pair = textkit.rolling(h, 2)[row[1:] == row[:-1]] if len(h) > 1 else np.zeros(0, np.uint64)
-        owner = np.concatenate([row, row[1:][row[1:] == row[:-1]]]) if len(h) > 1 else row
-        order = np.argsort(owner, kind="stable")
-        features, owner = np.concatenate([h, pair])[order], owner[order]
-        if not len(features):
-            continue
-        bits = np.unpackbits(features.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        begin = np.flatnonzero(np.concatenate([[True], np.diff(owner) > 0]))
-        ones = np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
-        size = np.diff(np.concatenate([begin, [len(owner)]]))
-        packed = np.packbits(2 * ones > size[:, None], axis=1, bitorder="little")
-        out[lo + owner[begin]] = np.ascontiguousarray(packed).view(np.uint64).ravel()
+        # each word is followed by its pair with the next word, if that is of the same line
+        pair = np.concatenate([textkit.rolling(h, 2), np.zeros(1, np.uint64)])
+        paired = np.concatenate([row[1:] == row[:-1], [False]])
+        at = np.arange(len(h)) + np.cumsum(paired) - paired
+        features = np.empty(len(h) + int(paired.sum()), np.uint64)
+        features[at] = h
+        features[at[paired] + 1] = pair[paired]
+        per_row = np.bincount(row, 1 + paired, n).astype(np.int64)
+        begin = np.cumsum(per_row) - per_row
+        # sums of at most 255 features fit into the bytes of a word
+        pieces = -(-per_row // 255)
+        owner = np.repeat(np.arange(n), pieces)
+        piece = np.repeat(begin, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        raw = features.view(np.uint8).reshape(-1, 8)
+        counts = np.empty((len(piece), 64), np.uint8)
+        for byte in range(8):
+            counts[:, 8 * byte : 8 * byte + 8] = np.add.reduceat(_LANES[raw[:, byte]], piece).view(np.uint8).reshape(-1, 8)
+        full = np.flatnonzero(per_row)
+        ones = np.add.reduceat(counts, np.searchsorted(owner, full), axis=0, dtype=np.int64)
+        packed = np.packbits(2 * ones > per_row[full, None], axis=1, bitorder="little")
+        out[lo + full] = np.ascontiguousarray(packed).view(np.uint64).ravel()
     return out
 
 
-def _line_hash(line: str) -> int:
-    return xxhash.xxh64_intdigest(line.encode("utf-8", "replace"), 0)
-
-
 def line_table(docs: DataFrame) -> DataFrame:
     """(doc_id, line, h, sim) of every line with a word; line counts from 0."""
     kind = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("h", pa.int64()), ("sim", pa.int64())])
@@ -85,13 +100,13 @@ def line_table(docs: DataFrame) -> DataFrame:
                 part = batch.slice(lo, 256)
                 ids, at, lines = [], [], []
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    for i, line in enumerate((text or "").split("\n")):
-                        if line := normal(line):
+                    for i, line in enumerate(normal_lines(text)):
+                        if line:
                             ids.append(doc_id)
                             at.append(i)
                             lines.append(line)
                 if lines:
-                    h = np.fromiter(map(_line_hash, lines), np.uint64, len(lines)).view(np.int64)
+                    h = np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, len(lines)).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(h), pa.array(simhashes(lines).view(np.int64))], schema=kind)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, line int, h long, sim long")
@@ -143,8 +158,8 @@ def _bucket_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(gids).view(np.int64)), pa.array(np.concatenate(sims).view(np.int64))], ["gid", "sim"])
 
 
-def edit_distance(a: str, b: str, limit: int) -> int:
-    """Levenshtein distance, or limit + 1 if it is more; bit-parallel over b's characters."""
+def edit_distance(a: Sequence, b: Sequence, limit: int) -> int:
+    """Levenshtein distance of two strings or lists, or limit + 1 if it is more; bit-parallel over the longer one."""
     if a == b:
         return 0
     if abs(len(a) - len(b)) > limit:
@@ -163,7 +178,7 @@ def edit_distance(a: str, b: str, limit: int) -> int:
         return min(max(len(a), len(b)), limit + 1)
     if len(a) > len(b):
         a, b = b, a
-    places: dict[str, int] = {}
+    places: dict = {}
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << i
     full, top = (1 << len(a)) - 1, 1 << len(a) - 1
@@ -185,10 +200,36 @@ def edit_distance(a: str, b: str, limit: int) -> int:
     return min(score, limit + 1)
 
 
-def similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
-    longer = max(len(a), len(b))
-    limit = int(longer * (1 - similarity) + 1e-9)
-    return edit_distance(a, b, limit) <= limit
+class _Texts:
+    """Lines of a group, with what bounds their edit distances from below."""
+
+    def __init__(self, texts: list[str], similarity: float) -> None:
+        self.texts, self.similarity = texts, similarity
+        self.words = [t.split(" ") if len(t) > LONG else None for t in texts]
+        self.n_chars = np.array([len(t) for t in texts])
+        self.n_words = np.array([t.count(" ") + 1 for t in texts])
+        self.char_bins = np.stack([np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32) & 31, minlength=32) for t in texts]).astype(np.int32)
+        self.word_bins = np.stack([np.bincount([xxhash.xxh32_intdigest(w) & 31 for w in t.split(" ")], minlength=32) for t in texts]).astype(np.int32)
+
+    def like(self, pivot: int, others: np.ndarray) -> list[int]:
+        """Places in others of the lines whose edit similarity to the pivot is enough.
+
+        Over characters, or over words if either line is longer than LONG characters.
+        One edit changes the size by at most 1 and the bins by at most 2, so most others need no comparison.
+        """
+        by_word = np.maximum(self.n_chars[others], self.n_chars[pivot]) > LONG
+        size = np.where(by_word, self.n_words[others], self.n_chars[others])
+        own = np.where(by_word, self.n_words[pivot], self.n_chars[pivot])
+        limit = (np.maximum(size, own) * (1 - self.similarity) + 1e-9).astype(np.int64)
+        apart = np.where(by_word, np.abs(self.word_bins[others] - self.word_bins[pivot]).sum(1), np.abs(self.char_bins[others] - self.char_bins[pivot]).sum(1))
+        found = []
+        for i in np.flatnonzero((np.abs(size - own) <= limit) & (apart <= 2 * limit)):
+            a, b = self.texts[pivot], self.texts[others[i]]
+            if by_word[i]:
+                a, b = self.words[pivot] or a.split(" "), self.words[others[i]] or b.split(" ")
+            if edit_distance(a, b, int(limit[i])) <= limit[i]:
+                found.append(int(i))
+        return found
 
 
 def _edit_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
@@ -201,15 +242,15 @@ def _edit_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterato
         for lo, hi in zip(starts[:-1], starts[1:], strict=True):
             if hi - lo < 2:
                 continue
-            texts = batch.column("line").slice(lo, hi - lo).to_pylist()
+            texts = _Texts(batch.column("line").slice(lo, hi - lo).to_pylist(), similarity)
             left = np.arange(hi - lo)
             while len(left):
                 queue, left = [left[0]], left[1:]
                 while queue and len(left):
                     pivot = queue.pop()
                     near = np.flatnonzero(np.bitwise_count(sim[lo + left] ^ sim[lo + pivot]) <= DISTANCE)
-                    hit = [i for i in near if similar(texts[pivot], texts[left[i]], similarity)]
-                    if hit:
+                    hit = near[texts.like(pivot, left[near])]
+                    if len(hit):
                         found = left[hit]
                         a += h[lo + found].tolist()
                         b += [int(h[lo + pivot])] * len(hit)
@@ -232,12 +273,12 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                lines = list({n for text in batch.column("text").slice(lo, 256).to_pylist() for x in (text or "").split("\n") if (n := normal(x))})
-                h = np.fromiter(map(_line_hash, lines), np.uint64, len(lines)).view(np.int64)
+                lines = list({x for text in batch.column("text").slice(lo, 256).to_pylist() for x in normal_lines(text) if x})
+                h = np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, len(lines)).view(np.int64)
                 v = np.mod(h, 1 << _FILTER_BITS)
                 keep = np.flatnonzero(table[v >> 3] >> (v & 7).astype(np.uint8) & 1)
                 if len(keep):
-                    yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array([lines[i] for i in keep], pa.string())], ["h", "line"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array([lines[i].decode() for i in keep], pa.string())], ["h", "line"])
 
     found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, line string")
     return found.join(wanted, "h", "left_semi").dropDuplicates(["h"])
@@ -254,7 +295,7 @@ def line_groups(docs: DataFrame, similarity: float = SIMILARITY, group: int = GR
     groups = spread.durable(groups.union(same))
     wanted = spread.durable(distinct.join(groups.select("sim").distinct(), "sim", "left_semi"))
     texts = wanted.join(_texts_of(docs, wanted.select("h")), "h")
-    members = groups.join(texts, "sim")
+    members = spread.durable(groups.join(texts, "sim"))
     # a group is cut into blocks of about `group` texts, and each pair of blocks is a part
     sizes = members.groupBy("gid").count().select("gid", F.ceil(F.col("count") / group).cast("int").alias("blocks"))
     members = members.join(sizes, "gid").withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
