@@ -90,13 +90,13 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         at.alias("momento"), (F.col("o_custkey") % 16).alias("indicador_id"), at.alias("ventana_inicio"), (at + F.make_dt_interval(hours=(F.col("o_orderkey") % 200).cast("int"), mins=F.lit(30))).alias("ventana_fin"),
         F.when(status == "F", F.lit(200)).when(status == "P", F.lit(503)).cast("long").alias("codigo"), (F.col("o_orderkey") % 3 + 1).alias("intentos"), (F.col("o_orderkey") % 288).alias("puntos"),
-        F.col("o_totalprice").alias("segundos"), F.when(F.col("o_orderkey") % 7 == 0, "HTTP 503").alias("error"))
+        F.floor("o_totalprice").cast("double").alias("segundos"), F.when(F.col("o_orderkey") % 7 == 0, "HTTP 503").alias("error"))
 
 
 REQUESTS_SQL = """aud AS (
   SELECT o_orderdate AS momento, o_custkey % 16 AS indicador_id, o_orderdate AS ventana_inicio, o_orderdate + to_hours((o_orderkey % 200)::INT) + to_minutes(30) AS ventana_fin,
          CASE o_orderstatus WHEN 'F' THEN 200 WHEN 'P' THEN 503 END::BIGINT AS codigo, o_orderkey % 3 + 1 AS intentos, o_orderkey % 288 AS puntos,
-         o_totalprice AS segundos, CASE WHEN o_orderkey % 7 = 0 THEN 'HTTP 503' END AS error FROM orders),
+         floor(o_totalprice) AS segundos, CASE WHEN o_orderkey % 7 = 0 THEN 'HTTP 503' END AS error FROM orders),
 req AS (SELECT *, codigo = 200 AND error IS NULL AS exito, intentos - 1 AS reintentos, date_sub('hour', ventana_inicio, ventana_fin) AS horas_pedidas FROM aud)"""
 
 # A lineage graph: (id, tipo, capa, detalle), and edges as each source saw them.
