@@ -112,14 +112,43 @@ def test_a_large_group_of_near_copies_gives_few_links(spark):
     assert simhash.links(frame).count() < 50 * len(values)
 
 
+def test_similar_documents_equal_all_pairs(spark, docs, none):
+    rnd = random.Random(6)
+    extra = []
+    for i in range(40):
+        words = sentence(150, 700 + i % 8).split()
+        for _ in range(rnd.randrange(5)):
+            words[rnd.randrange(len(words))] = rnd.choice(VOCABULARY)
+        extra.append((500 + i, " ".join(words)))
+    frame = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id bigint, text string"))
+    rows = frame.collect()
+    sets = [set(simhash.shingle_set((r["text"] or "").encode()).tolist()) for r in rows]
+    prints = [simhash.fingerprint((r["text"] or "").encode(), 5) for r in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            alike = len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and (prints[i] ^ prints[j]).bit_count() <= simhash.REACH
+            if alike and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    least = defaultdict(list)
+    for r, g in zip(rows, group, strict=True):
+        if r["doc_id"] is not None:
+            least[g].append(r["doc_id"])
+    want = Counter((r["doc_id"], min(least[g], default=None)) for r, g in zip(rows, group, strict=True))
+    for block in (simhash.BLOCK, 200):
+        got = Counter((r["doc_id"], r["component_id"]) for r in simhash.similar_documents(frame, block=block).collect())
+        assert got == want
+    assert len(set(group)) < len(rows) - 25
+    assert simhash.similar_documents(none).count() == 0
+
+
 def test_keep_one_leaves_one_row_of_each_component(docs, none):
-    groups = simhash.near_duplicates(docs)
-    named = {r["component_id"] for r in groups.collect() if r["component_id"] is not None}
+    groups = simhash.similar_documents(docs).collect()
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted(named)
-    assert ids.count(None) == sum(r["component_id"] is None for r in groups.collect())
+    assert sorted(i for i in ids if i is not None) == sorted({r["component_id"] for r in groups if r["component_id"] is not None})
+    assert ids.count(None) == len({r["h"] for r in groups if r["component_id"] is None})
     assert simhash.keep_one(none).count() == 0
 
 

@@ -19,7 +19,7 @@ def test_stages_in_order(spark, sf, tmp_path):
     out = {name: spark.read.parquet(str(tmp_path / name)) for name, _ in corpus_pipeline.STAGES}
     score = toxicity.scored(held["toxicity"], spark.read.parquet(f"{sf}/labels.parquet"))
     assert out["toxicity"].count() == score.where("predicted = 0").count()
-    groups = simhash.near_duplicates(held["simhash_near_dedup"])
+    groups = simhash.similar_documents(held["simhash_near_dedup"])
     assert sorted(out["simhash_near_dedup"].select("doc_id").collect()) == sorted(groups.select("component_id").distinct().collect())
     leaks = decontaminate.contaminated_pairs(held["decontamination"], spark.read.parquet(f"{sf}/benchmark.parquet")).select("doc_id").distinct()
     assert leaks.count() + out["decontamination"].count() == held["decontamination"].count()

@@ -40,7 +40,6 @@ SIMILARITY = 0.8
 GROUP = 2000
 LONG = 256
 _DIGITS = bytes(0x30 if 0x31 <= c <= 0x39 else c for c in range(256))
-_FILTER_BITS = 25
 #: Block bounds: 64 bits in BLOCKS parts.
 _CUTS = [round(i * 64 / BLOCKS) for i in range(BLOCKS + 1)]
 
@@ -262,21 +261,14 @@ def _edit_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterato
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(h, line) of the normal lines whose h is in wanted. A bitmap of fixed size keeps most others off the shuffle."""
-    slot = F.pmod("h", F.lit(1 << _FILTER_BITS)) + 1  # Spark's bitmaps count from 1
-    # 1024 buckets of 4 KB at most
-    rows = wanted.groupBy(F.bitmap_bucket_number(slot).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
-    table = np.zeros((1 << _FILTER_BITS) // 8 + 4096, np.uint8)
-    for r in rows:
-        at = (r["n"] - 1) * 4096
-        table[at : at + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    table = spread.bitmap(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 lines = list({x for text in batch.column("text").slice(lo, 256).to_pylist() for x in normal_lines(text) if x})
                 h = np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, len(lines)).view(np.int64)
-                v = np.mod(h, 1 << _FILTER_BITS)
-                keep = np.flatnonzero(table[v >> 3] >> (v & 7).astype(np.uint8) & 1)
+                keep = np.flatnonzero(spread.inside(table, h))
                 if len(keep):
                     yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array([lines[i].decode() for i in keep], pa.string())], ["h", "line"])
 

@@ -52,27 +52,34 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
-@F.arrow_udf(T.LongType())
-def fingerprints(texts: pa.Array) -> pa.Array:
-    values = np.fromiter((fingerprint((x.as_py() or "").encode()) if x.is_valid else 0 for x in texts), np.uint64, len(texts))
-    return pa.array(values.view(np.int64))
+def fingerprints(text: Column, shingle: int = SHINGLE) -> Column:
+    @F.arrow_udf(T.LongType())
+    def of(texts: pa.Array) -> pa.Array:
+        values = np.fromiter((fingerprint(x.as_py().encode(), shingle) if x.is_valid else 0 for x in texts), np.uint64, len(texts))
+        return pa.array(values.view(np.int64))
+
+    return of(text)
 
 
 def segments(count: int, distance: int = DISTANCE) -> list[tuple[int, int, int]]:
-    """(shift, width, radius) of each segment, sized for count fingerprints.
+    """(shift, width, radius) of each segment, the cheapest cut for count fingerprints.
 
-    The radii sum to distance - segments + 1, the general pigeonhole bound. The
-    links found are the same for any cut: with more fingerprints the segments
-    are wider, so that the buckets stay small.
+    The radii sum to distance - segments + 1, the general pigeonhole bound, so
+    every cut finds the same pairs. Fewer, wider segments have larger balls to send, more
+    and narrower ones fuller buckets to compare.
     """
-    widths = (21, 21, 22) if count < 1 << 27 else (32, 32)
-    budget = max(0, distance - len(widths) + 1)
-    out, shift = [], 0
-    for i, width in enumerate(widths):
-        radius = budget // len(widths) + (i < budget % len(widths))
-        out.append((shift, width, radius))
-        shift += width
-    return out
+    cuts = []
+    for n in range(2, max(2, distance - 1) + 1):  # more segments would leave no balls to enumerate
+        edges = [64 * i // n for i in range(n + 1)]
+        budget = max(0, distance - n + 1)
+        cut = [(edges[i], edges[i + 1] - edges[i], budget // n + (i < budget % n)) for i in range(n)]
+        cost = 0.0
+        for _, width, radius in cut:
+            keys = 1 + width / 2 if radius == 1 else len(_ball(width, radius)) if radius < 4 else 1e9
+            members = count * keys / 2**width
+            cost += 200e-9 * count * keys + 3e-9 * 2**width * members * members / 2
+        cuts.append((cost, cut))
+    return min(cuts)[1]
 
 
 def _ball(width: int, radius: int) -> list[int]:
@@ -134,7 +141,10 @@ def bucket_links(batches: Iterator[pa.RecordBatch], distance: int = DISTANCE) ->
             a.append(fp[hit + d])
             b.append(fp[hit])
         for s in np.flatnonzero(sizes > 16):
-            x, y = walk(np.unique(fp[starts[s] : starts[s] + sizes[s]]), distance)
+            members = np.unique(fp[starts[s] : starts[s] + sizes[s]])
+            if len(members) <= 1024 and np.count_nonzero(np.bitwise_count(members[:, None] ^ members) <= distance) == len(members):
+                continue
+            x, y = walk(members, distance)
             a += x
             b += y
         if a and sum(map(len, a)):
@@ -160,20 +170,105 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The rows of docs with one document of each component: the one whose doc_id is the component's.
+# Near duplicates by similarity: fingerprints give the candidates, shingle sets decide.
+
+SIMILAR_SHINGLE = 5
+SIMILARITY = 0.8
+REACH = 9
+#: Shingles that a block of a component may hold; a task holds two blocks.
+BLOCK = 2_000_000
+
+
+def shingle_set(text: bytes, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """Sorted hashes of a text's shingles; the whole text is one if it has fewer words, and a wordless text has one of its own."""
+    words = text.lower().split()
+    if len(words) < shingle:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    grams = map(b" ".join, zip(*(words[j:] for j in range(shingle))))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, len(words) - shingle + 1))
+
+
+def _similar_links(batches: Iterator[pa.RecordBatch], reach: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of text hashes that connect what is similar inside each part of a component."""
+    for batch in spread.runs(batches, "part"):
+        part, h = batch.column("part").to_numpy(), batch.column("h").to_numpy()
+        fp = batch.column("fp").to_numpy().view(np.uint64)
+        column = batch.column("grams")
+        at, flat = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
+        size = np.diff(at)
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+        a, b = [], []
+        for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+            left = np.arange(lo, hi)
+            while len(left) > 1:
+                queue, left = [left[0]], left[1:]
+                while queue and len(left):
+                    pivot = queue.pop()
+                    own = flat[at[pivot] : at[pivot + 1]]
+                    near = np.flatnonzero((np.bitwise_count(fp[left] ^ fp[pivot]) <= reach) & (np.minimum(size[left], len(own)) >= similarity * np.maximum(size[left], len(own))))
+                    hit = []
+                    for i in near:
+                        other = flat[at[left[i]] : at[left[i] + 1]]
+                        common = np.count_nonzero(own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other)
+                        if common >= similarity * (len(own) + len(other) - common):
+                            hit.append(i)
+                    if hit:
+                        a += h[left[hit]].tolist()
+                        b += [int(h[pivot])] * len(hit)
+                        queue.extend(left[hit])
+                        left = np.delete(left, hit)
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def similar_documents(docs: DataFrame, reach: int = REACH, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, block: int = BLOCK) -> DataFrame:
+    """(doc_id, h, component_id) of every row of docs: documents connected by a Jaccard similarity of at least ``similarity``.
+
+    Candidates are texts whose fingerprints over the same shingles are connected
+    by steps of at most reach bits; inside each such component, which holds every
+    text once, shingle sets are compared along a walk that links each text once. Equal
+    texts are one. A component of more than block shingles is cut into blocks, each pair of
+    which is a part of its own.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    marked = spread.durable(docs.select("doc_id", F.xxhash64(text).alias("h"), fingerprints(F.col("text").cast("string"), shingle).alias("fp"), F.octet_length(text).alias("bytes")))
+    units = spread.durable(marked.groupBy("h").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bytes").alias("bytes")))
+    roots = spread.connected_components(links(units.select("fp").distinct(), reach))
+    rooted = units.join(roots, units.fp == roots.node, "left").select("h", "fp", "bytes", F.coalesce("root", "fp").alias("root"))
+    # a word has two bytes at least, so bytes / 2 bounds the shingles
+    sizes = rooted.groupBy("root").agg(F.count("*").alias("n"), F.ceil(F.sum("bytes") / 2 / block).cast("int").alias("blocks")).where("n > 1")
+    wanted = spread.durable(rooted.join(sizes, "root").select("h", "fp", "root", "blocks"))
+    found = spread.among(docs.select(text.alias("text")), F.xxhash64("text"), wanted.select("h"))
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def grams(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_set(x.encode(), shingle).view(np.int64) for x in texts.to_pylist()], pa.list_(pa.int64()))
+
+    members = wanted.join(found.dropDuplicates(["h"]).select("h", grams("text").alias("grams")), "h")
+    members = members.withColumn("block", F.pmod(F.xxhash64("h"), F.greatest("blocks", F.lit(1))).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1), lambda o: o != F.col("block"))
+    pairs = F.when(F.col("blocks") <= 2, F.array(F.lit(0))).otherwise(F.transform(others, lambda o: F.least(o, "block") * F.col("blocks") + F.greatest(o, "block")))
+    parts = members.withColumn("pair", F.explode(pairs)).select(F.xxhash64("root", "pair").alias("part"), "h", "fp", "grams")
+    similar = parts.repartition("part").sortWithinPartitions("part").mapInArrow(lambda b: _similar_links(b, reach, similarity), "a long, b long")
+    joined = units.join(spread.connected_components(similar), F.col("h") == F.col("node"), "left").select("h", "least", F.coalesce("root", "h").alias("root"))
+    component = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    return marked.join(joined.join(component, "root").select("h", "component_id"), "h").select("doc_id", "h", "component_id")
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs with one document of each component of similar_documents(): the one whose doc_id is the component's.
 
     Of rows that repeat that doc_id one stays. A row without doc_id stays only
-    if no row of its component has one, once for each fingerprint.
+    if no row of its component has one, once for each text.
     """
-    groups = spread.durable(near_duplicates(docs, distance=distance))
+    groups = spread.durable(similar_documents(docs, **options))
     dropped = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     kept = docs.where("doc_id IS NOT NULL").join(dropped, "doc_id", "left_anti")
     twice = groups.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
     if not twice.isEmpty():
         kept = kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    if not (alone := groups.where("component_id IS NULL").select("fingerprint").distinct()).isEmpty():
-        nameless = docs.where("doc_id IS NULL").withColumn("__fp", F.lpad(F.lower(F.hex(fingerprints("text"))), 16, "0"))
-        nameless = nameless.join(alone, nameless["__fp"] == alone.fingerprint, "left_semi").dropDuplicates(["__fp"]).drop("__fp")
+    if not (alone := groups.where("component_id IS NULL").select("h").distinct()).isEmpty():
+        nameless = docs.where("doc_id IS NULL").withColumn("__h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+        nameless = nameless.join(alone, nameless["__h"] == alone.h, "left_semi").dropDuplicates(["__h"]).drop("__h")
         kept = kept.unionByName(nameless)
     return kept.select(docs.columns)

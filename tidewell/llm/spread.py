@@ -11,8 +11,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -75,6 +76,37 @@ def connected_components(edges: DataFrame) -> DataFrame:
         step = durable(small.union(least.select("u", F.col("m").alias("v"))).distinct())
 
 
+FILTER_BITS = 25
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """Bits of the keys' hashes h modulo 2 ** FILTER_BITS: 4 MB whatever the number of keys, from 1024 rows at most."""
+    slot = F.pmod("h", F.lit(1 << FILTER_BITS)) + 1  # Spark's bitmaps count from 1
+    rows = keys.groupBy(F.bitmap_bucket_number(slot).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
+    table = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for r in rows:
+        at = (r["n"] - 1) * 4096
+        table[at : at + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return table
+
+
+def inside(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes may be among the bitmap's keys."""
+    slot = np.mod(h, 1 << FILTER_BITS)
+    return (table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def among(df: DataFrame, h: Column, keys: DataFrame) -> DataFrame:
+    """The rows of df, with their hash h, whose h is in keys (h): most others are kept off the shuffle by a bitmap of fixed size."""
+    table = bitmap(keys)
+
+    @F.arrow_udf(T.BooleanType())
+    def maybe(hashes: pa.Array) -> pa.Array:
+        return pa.array(inside(table, hashes.to_numpy(zero_copy_only=False)))
+
+    return df.withColumn("h", h).where(maybe(F.col("h"))).join(keys, "h", "left_semi")
+
+
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
     """The batches of a partition sorted by key, recut so that no key goes over a cut."""
     rest: list[pa.RecordBatch] = []
