@@ -34,8 +34,7 @@ HITS = "array<struct<item_id:bigint,coverage:double,covered:int,n_tokens:int>>"
 
 def tokens(texts: pa.Array):
     """(first row, token hashes, first token of each row) of blocks of whole texts."""
-    folded = pa.array([None if x is None else x.lower() for x in texts.to_pylist()], pa.large_string())
-    for lo, data, offsets in textkit.blocks(folded):
+    for lo, data, offsets in textkit.lowered(texts):
         starts, ends, first = textkit.words(data, offsets, textkit.PUNCT)
         yield lo, textkit.span_hashes(data, starts, ends), first
 

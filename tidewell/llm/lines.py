@@ -323,8 +323,8 @@ def _without(texts: pa.Array, lines: pa.Array) -> pa.Array:
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
-    """Every row of docs with its repeated lines cut from text, and n_cut, their number."""
+    """Every row of docs with its repeated lines cut from text, and n_cut, their number (in place of any column of that name)."""
     drop = spread.durable(later_lines(docs, **options)).select(F.col("doc_id").alias("__id"), F.col("lines").alias("__lines"))
     joined = docs.join(drop, docs.doc_id.eqNullSafe(F.col("__id")), "left")
-    rest = [c for c in docs.columns if c != "text"]
+    rest = [c for c in docs.columns if c not in ("text", "n_cut")]
     return joined.select(*rest, _without(F.col("text").cast("string"), F.col("__lines")).alias("text"), F.coalesce(F.array_size("__lines"), F.lit(0)).alias("n_cut"))

@@ -38,7 +38,7 @@ def op8() -> str:
     tests = []
     for rule, (_, steps) in quality.RULES.items():
         for i, step in enumerate(steps):
-            tests.append(f"SELECT stratum, '{rule}' AS rule, {i} AS step, {step!r}::DOUBLE AS cutoff, any_value(n_good) AS n, count(*) FILTER ({value[rule]} > {step!r}) AS k FROM held GROUP BY stratum")
+            tests.append(f"SELECT stratum, '{rule}' AS rule, {i} AS step, {step!r}::DOUBLE AS cutoff, any_value(n_good) AS n, any_value(n_bad) AS nb, count(*) FILTER (quality = 1 AND {value[rule]} > {step!r}) AS k, count(*) FILTER (quality = 0 AND {value[rule]} > {step!r}) AS kb FROM held GROUP BY stratum")
     rejected = " OR ".join(f"coalesce({value[rule]} > (SELECT cutoff FROM chosen c WHERE c.rule = '{rule}' AND c.stratum IS NOT DISTINCT FROM base.stratum), FALSE)" for rule in quality.RULES)
     return f"""
 WITH word AS (
@@ -55,15 +55,16 @@ base AS (
          (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM word LEFT JOIN cov USING (doc_id)),
 flagged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
-good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-held AS (SELECT *, count(*) OVER (PARTITION BY stratum) AS n_good FROM flagged WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good)),
+marks AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IN (0, 1) GROUP BY doc_id),
+held AS (SELECT *, count(*) FILTER (quality = 1) OVER (PARTITION BY stratum) AS n_good, count(*) FILTER (quality = 0) OVER (PARTITION BY stratum) AS n_bad FROM flagged JOIN marks USING (doc_id) WHERE NOT base_failed),
 tested AS ({" UNION ALL ".join(tests)}),
 judged AS (
   SELECT *, CASE WHEN k >= n * {share!r} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i:
          exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({share!r}) + (n - i) * ln(1 - {share!r})))) END
          <= {quality.CONFIDENCE!r} / {len(quality.RULES)} / (SELECT count(DISTINCT coalesce(stratum, '')) FROM held) AS passed FROM tested),
 kept_steps AS (SELECT *, bool_and(passed) OVER (PARTITION BY stratum, rule ORDER BY step) AS still FROM judged),
-chosen AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM kept_steps WHERE still GROUP BY stratum, rule)
+gained AS (SELECT *, coalesce(kb::DOUBLE / nullif(nb, 0), 0.0) - coalesce(k::DOUBLE / nullif(n, 0), 0.0) AS gain FROM kept_steps WHERE still),
+chosen AS (SELECT stratum, rule, cutoff FROM gained WHERE gain >= {quality.MIN_GAIN!r} QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, step) = 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lines, stratum,
        NOT base_failed AND NOT ({rejected}) AS kept
 FROM flagged AS base"""

@@ -3,14 +3,16 @@
 Base figures are exact counts over whole texts. On top of them each rule of
 RULES rejects a document whose figure lies beyond a cutoff. Cutoffs are not
 guessed: on the labelled rows of quality 1, for each stratum (``lang``) and rule,
-the candidates are tested from the most lenient to the strictest, and the last is
-taken before the first whose exact binomial test fails. A cutoff passes if, were
+the candidates are tested from the most lenient to the strictest, up to the first
+whose exact binomial test fails. A cutoff passes if, were
 its true rate of false rejections RISK / len(RULES) or more, as few false rejections
 as seen would have a probability of at most CONFIDENCE / (strata x rules). Testing in a
 fixed order needs no correction for the number of candidates, Bonferroni's
 correction covers strata and rules, so with probability 1 - CONFIDENCE every
-stratum loses at most RISK of its good documents to these rules. A stratum or rule
-for which no candidate passes rejects nothing.
+stratum loses at most RISK of its good documents to these rules. Of the cutoffs
+that pass, the one is taken that rejects most of the labelled rows of quality 0 less those of
+quality 1, both as shares, the most lenient on ties. A stratum or rule for which no
+candidate passes or gains MIN_GAIN rejects nothing.
 
 Strata: the MAX_STRATA with the most labelled rows; documents of others are
 judged by the base figures alone. That bound makes the cutoff table small enough to send to
@@ -33,6 +35,7 @@ from . import spread
 RISK = 0.05
 CONFIDENCE = 0.05
 MAX_STRATA = 1000
+MIN_GAIN = 0.02
 SPACE = "\t\n\x0b\x0c\r "
 SYMBOLS = "#*$%&|<>"
 
@@ -112,30 +115,36 @@ def binomial_at_most(k: Column, n: Column, p: float) -> Column:
 
 
 def cutoffs(base: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE, max_strata: int = MAX_STRATA) -> DataFrame:
-    """(stratum, n_good, n_strata, and for each rule its cutoff or null), one row for each stratum."""
-    good = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
-    held = base.where(~base_failed()).join(good, "doc_id", "left_semi")
-    counts = [F.count("*").alias("n_good")]
+    """(stratum, n_good, and for each rule its cutoff or null), one row for each stratum."""
+    marks = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    held = base.where(~base_failed()).join(marks, "doc_id")
+    good, bad = F.col("quality") == 1, F.col("quality") == 0
+    counts = [F.count_if(good).alias("n_good"), F.count_if(bad).alias("n_bad")]
     for rule, (_, steps) in RULES.items():
-        counts.append(F.array(*[F.count_if(_value(rule) > c) for c in steps]).alias(rule))
+        counts.append(F.array(*[F.struct(F.count_if(good & (_value(rule) > c)).alias("good"), F.count_if(bad & (_value(rule) > c)).alias("bad")) for c in steps]).alias(rule))
     strata = held.groupBy(F.col("lang").alias("stratum")).agg(*counts).orderBy(F.desc("n_good"), F.asc_nulls_last("stratum")).limit(max_strata)
-    strata = strata.crossJoin(F.broadcast(strata.agg(F.count("*").alias("n_strata"))))  # one row
+    strata = spread.durable(strata)
+    n_strata = max(1, strata.count())
     share = risk / len(RULES)
-    level = F.lit(confidence / len(RULES)) / F.col("n_strata")
+    level = F.lit(confidence / len(RULES) / n_strata)
     chosen = []
     for rule, (_, steps) in RULES.items():
-        passed = F.transform(F.col(rule), lambda k: binomial_at_most(k, F.col("n_good"), share) <= level)
+        passed = F.transform(F.col(rule), lambda k: binomial_at_most(k["good"], F.col("n_good"), share) <= level)
         failed = F.array_position(passed, False)  # 1-based, 0 if none
-        last = F.when(failed == 0, F.lit(len(steps))).otherwise(failed - 1).cast("int")
-        chosen.append(F.get(F.array(*[F.lit(float(c)) for c in steps]), last - 1).alias(rule))
-    return strata.select("stratum", "n_good", "n_strata", *chosen)
+        part = lambda k, n: F.coalesce(F.try_divide(k.cast("double"), F.col(n).cast("double")), F.lit(0.0))
+        gain = lambda k: part(k["bad"], "n_bad") - part(k["good"], "n_good")
+        cuts = F.array(*[F.lit(float(c)) for c in steps])
+        tried = F.transform(F.col(rule), lambda k, i: F.when((failed == 0) | (i < failed - 1), F.struct(gain(k).alias("gain"), (-i).alias("lenient"), F.get(cuts, i).alias("cut"))))
+        best = F.array_max(tried)
+        chosen.append(F.when(best["gain"] >= MIN_GAIN, best["cut"]).alias(rule))
+    return strata.select("stratum", "n_good", *chosen)
 
 
 def judged(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lines, stratum) of every row of docs."""
     base = spread.durable(figures(docs))
     table = spread.durable(cutoffs(base, labels, **options))
-    joined = base.join(F.broadcast(table.drop("n_good", "n_strata")), F.col("lang").eqNullSafe(F.col("stratum")), "left")
+    joined = base.join(F.broadcast(table.drop("n_good")), F.col("lang").eqNullSafe(F.col("stratum")), "left")
     rejected = F.lit(False)
     for rule in RULES:
         rejected = rejected | F.coalesce(_value(rule) > F.col(rule), F.lit(False))

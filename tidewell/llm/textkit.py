@@ -91,6 +91,14 @@ def blocks(texts: pa.Array, block_bytes: int = 1 << 20) -> Iterator[tuple[int, n
         lo = hi
 
 
+def lowered(texts: pa.Array, block_bytes: int = 1 << 20, rows: int = 256) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """blocks() of the lower-cased texts, a few rows at a time."""
+    for at in range(0, len(texts), rows):
+        low = pa.array([None if x is None else x.lower() for x in texts.slice(at, rows).to_pylist()], pa.large_string())
+        for lo, data, offsets in blocks(low, block_bytes):
+            yield at + lo, data, offsets
+
+
 def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of a block, and the index of the first word of each row (one more at the end)."""
     n = len(data)

@@ -46,8 +46,7 @@ _SCALE = 100.0
 
 def _bags(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bucket of each n-gram, n-grams before each row) of blocks of whole texts."""
-    folded = pa.array([None if x is None else x.lower() for x in texts.to_pylist()], pa.large_string())
-    for lo, data, offsets in textkit.blocks(folded, 1 << 19):
+    for lo, data, offsets in textkit.lowered(texts, 1 << 19):
         # every row is led and followed by a separator, and all separators are one byte
         n = np.diff(offsets)
         stream = np.full(len(data) + 2 * len(n), 0x20, np.uint8)
