@@ -39,6 +39,21 @@ def test_orphans_roots_resolve(spark):
         g.resolve("m")
 
 
+def test_both_ways_of_walking_agree(spark):
+    rnd = random.Random(7)
+    for size, chance in ((8, 0.2), (12, 0.12)):
+        edges = [(f"n{a}", f"n{b}") for a in range(size) for b in range(size) if rnd.random() < chance]
+        frame = spark.createDataFrame(edges, "origen string, destino string")
+        pairs = frame.selectExpr("origen AS a", "destino AS b")
+        for hops in (None, 2):
+            assert rows(lineage.reach(pairs, "n0", hops)) == rows(lineage.reach(pairs, "n0", hops, small=0))
+        assert rows(lineage.strongly_connected(frame)) == sorted(rows(lineage.strongly_connected(frame, small=0)))
+    ids = [f"n{i}" for i in range(9)]
+    dag = [(a, b) for a in ids for b in ids if a < b and rnd.random() < 0.3]
+    frames = spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(dag, "origen string, destino string")
+    assert rows(lineage.longest_levels(*frames)) == sorted(rows(lineage.longest_levels(*frames, small=0)))
+
+
 def test_back_edges_and_members_differ_as_documented(spark):
     edges = [("a", "b"), ("a", "c"), ("b", "a"), ("c", "b")]
     assert lineage.back_edge_paths(["a", "b", "c"], edges) == [["a", "b", "a"]]

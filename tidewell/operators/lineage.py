@@ -1,10 +1,10 @@
 """Lineage graphs as DataFrames: nodes (id, tipo, capa, detalle), edges (origen, destino, fuentes: array of strings).
 
-An edge goes from the table that is read to the one that reads it. Traversals
-advance one frontier a level by equi-joins and cut their lineage with
-checkpoint() in the folder the cluster names. Only order-dependent results (cycle
-paths, layout) work on collected edges: these are graphs of a
-warehouse's tables, and collecting is bounded by ``limit``.
+An edge goes from the table that is read to the one that reads it. A graph of up to SMALL edges is
+walked on the driver, where a level costs nothing. Larger ones advance one
+frontier a level by equi-joins and cut their lineage with checkpoint() in
+the folder the cluster names; both ways give the same rows. Only order-dependent results (cycle
+paths, layout) always work on collected edges, bounded by ``limit``.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 NODE_TYPES = ("tabla", "vista", "modelo", "semilla", "fuente", "prueba", "externo", "desconocido")
 UNKNOWN = ("desconocido", "externo")
 COLLECT_LIMIT = 200_000
+SMALL = 50_000
 NODES = "id string, tipo string, capa string, detalle string"
 EDGES = "origen string, destino string, fuentes array<string>"
 
@@ -167,10 +168,19 @@ class Graph:
         return longest_levels(self.nodes.select("id"), self.edges)
 
 
-def reach(pairs: DataFrame, start: str, hops: int | None = None) -> DataFrame:
+def collected(pairs: DataFrame, small: int) -> list[tuple[str, str]] | None:
+    """The distinct pairs, or None if there are more than small."""
+    rows = pairs.distinct().limit(small + 1).collect() if small else None
+    return None if rows is None or len(rows) > small else sorted((r[0], r[1]) for r in rows)
+
+
+def reach(pairs: DataFrame, start: str, hops: int | None = None, small: int = SMALL) -> DataFrame:
     """(id, salto, via) reached from start over pairs (a, b); via is the node before it on the least of its shortest paths."""
-    pairs = pairs.distinct()
     spark = pairs.sparkSession
+    if (few := collected(pairs, small)) is not None:
+        rows = [(n, len(p) - 1, p[-2]) for n, p in shortest_paths(few, start, hops).items() if n != start]
+        return spark.createDataFrame(sorted(rows, key=lambda r: (r[1], r[0])), "id string, salto int, via string")
+    pairs = pairs.distinct()
     seen = frontier = durable(spark.createDataFrame([(start, 0, [start])], "id string, salto int, path array<string>"))
     step = 0
     while hops is None or step < hops:
@@ -184,6 +194,23 @@ def reach(pairs: DataFrame, start: str, hops: int | None = None) -> DataFrame:
     return seen.where("salto > 0").select("id", "salto", F.get("path", F.size("path") - 2).alias("via")).orderBy("salto", "id")
 
 
+def shortest_paths(pairs: list[tuple[str, str]], start: str, hops: int | None) -> dict[str, list[str]]:
+    """The least of the shortest paths to each node reached, level by level."""
+    after: dict[str, list[str]] = defaultdict(list)
+    for a, b in pairs:
+        after[a].append(b)
+    paths = level = {start: [start]}
+    while level and (hops is None or len(next(iter(level.values()))) <= hops):
+        found: dict[str, list[str]] = {}
+        for node, path in level.items():
+            for b in after[node]:
+                if b not in paths and (b not in found or [*path, b] < found[b]):
+                    found[b] = [*path, b]
+        level = found
+        paths = paths | level
+    return paths
+
+
 def back_edge_paths(ids: list[str], edges: list[tuple[str, str]]) -> list[list[str]]:
     """Cycle paths of an iterative three-colour walk."""
     after: dict[str, list[str]] = defaultdict(list)
@@ -211,10 +238,50 @@ def back_edge_paths(ids: list[str], edges: list[tuple[str, str]]) -> list[list[s
     return found
 
 
-def strongly_connected(edges: DataFrame) -> DataFrame:
-    """Nodes that reach themselves. Trims what has no edge in or out, then colours forward by the least id and confirms backward."""
-    left = durable(edges.select(F.col("origen").alias("a"), F.col("destino").alias("b")).distinct())
+def components(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """(node, least node of its component) of nodes on a cycle of two or more, by an iterative low-link walk."""
+    after: dict[str, list[str]] = defaultdict(list)
+    for a, b in pairs:
+        after[a].append(b)
+    order: dict[str, int] = {}
+    low: dict[str, int] = {}
+    held: list[str] = []
+    inside: set[str] = set()
+    found = []
+    for root in sorted({n for p in pairs for n in p}):
+        todo = [] if root in order else [(root, iter(after[root]))]
+        while todo:
+            node, rest = todo[-1]
+            if node not in order:
+                order[node] = low[node] = len(order)
+                held.append(node)
+                inside.add(node)
+            child = next((c for c in rest if c not in order or c in inside), None)
+            if child is not None:
+                if child not in order:
+                    todo.append((child, iter(after[child])))
+                else:
+                    low[node] = min(low[node], order[child])
+                continue
+            todo.pop()
+            if todo:
+                low[todo[-1][0]] = min(low[todo[-1][0]], low[node])
+            if low[node] == order[node]:
+                at = held.index(node)
+                group, held[at:] = held[at:], []
+                inside.difference_update(group)
+                if len(group) > 1:
+                    found += [(n, min(group)) for n in group]
+    return sorted(found)
+
+
+def strongly_connected(edges: DataFrame, small: int = SMALL) -> DataFrame:
+    """(id, componente) of nodes that reach themselves through others. Trims what has no edge in or out, then colours forward by the least id and confirms backward."""
+    left = edges.select(F.col("origen").alias("a"), F.col("destino").alias("b")).distinct()
     spark = left.sparkSession
+    if (few := collected(left, small)) is not None:
+        return spark.createDataFrame(components(few), "id string, componente string")
+    left = durable(left)
     out = spark.createDataFrame([], "id string, componente string")
     while True:
         while True:  # trim
@@ -252,10 +319,13 @@ def _least_reaching(pairs: DataFrame, colour: DataFrame) -> DataFrame:
         colour = after.select("id", "c")
 
 
-def longest_levels(ids: DataFrame, edges: DataFrame, limit: int = COLLECT_LIMIT) -> DataFrame:
+def longest_levels(ids: DataFrame, edges: DataFrame, limit: int = COLLECT_LIMIT, small: int = SMALL) -> DataFrame:
     """(id, nivel) by relaxation, a level a round; a graph with cycles falls back to a walk on collected edges."""
     spark = ids.sparkSession
     total = ids.count()
+    few = collected(edges.select("origen", "destino"), small) if total <= small else None
+    if few is not None:
+        return spark.createDataFrame(sorted(cut_levels([r["id"] for r in ids.collect()], few).items()), "id string, nivel int")
     level = durable(ids.select("id", F.lit(0).alias("nivel")))
     pairs = durable(edges.select("origen", "destino").distinct())
     frontier = level.select("id")
