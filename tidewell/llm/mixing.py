@@ -56,7 +56,7 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: float = LIMIT, seed: int = SEED, max_sources: int = MAX_SOURCES) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) of every row of docs."""
     sized = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sized = spread.durable(sized.withColumn("turn", F.xxhash64("doc_id", F.lit(seed))))
+    sized = spread.durable(sized.withColumn("turn", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))))
     rows = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(max_sources + 1).collect()
     if len(rows) > max_sources:
         raise ValueError(f"more than {max_sources} sources")

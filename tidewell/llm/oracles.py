@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality, urls
+import numpy as np
+
+from . import mixing, quality, urls
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 _BARE = "regexp_replace({}, '[\\x20\\x09-\\x0D]', '', 'g')"
@@ -70,4 +72,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM flagged AS base"""
 
 
-ORACLE_SQL = {"op2_url_filter": op2(), "op8_quality_rules": op8()}
+def op7() -> str:
+    weight = "CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 " + " ".join(f"WHEN {i} THEN {w!r}" for i, w in enumerate(mixing.WEIGHTS)) + " END::DOUBLE"
+    by_cap = f"ORDER BY {mixing.LIMIT!r} * total / w, source NULLS LAST"
+    offset = np.random.default_rng(mixing.SEED).random()
+    return f"""
+WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS total FROM d GROUP BY source),
+w AS (SELECT *, {weight} AS w FROM s),
+o AS (SELECT *, row_number() OVER ({by_cap}) AS k, {mixing.LIMIT!r} * total / w AS cap, sum(total) OVER () AS whole, sum(w) OVER () AS all_w,
+        sum({mixing.LIMIT!r} * total) OVER ({by_cap} ROWS UNBOUNDED PRECEDING) AS full_size, sum(w) OVER ({by_cap} ROWS UNBOUNDED PRECEDING) AS full_w, lead({mixing.LIMIT!r} * total / w) OVER ({by_cap}) AS next_cap FROM w),
+steps AS (SELECT 0 AS k, any_value(whole) / any_value(all_w) AS level, min(cap) AS next_cap FROM o
+          UNION ALL SELECT k, (whole - full_size) / nullif(all_w - full_w, 0), next_cap FROM o),
+cut AS (SELECT min_by(level, k) AS level, min(k) AS k FROM steps WHERE next_cap IS NULL OR next_cap > level),
+t AS (SELECT source, total, CASE WHEN o.k <= cut.k THEN {mixing.LIMIT!r} * total ELSE level * w END AS target FROM o, cut),
+r AS (SELECT d.*, total, target, CASE WHEN total = 0 THEN 0.0 ELSE least({mixing.LIMIT!r}, target / total) END AS rate,
+        row_number() OVER (PARTITION BY d.source ORDER BY size, md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS i FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, total AS source_size, round(target, 6) AS target, source, (floor(rate * (i + 1) + {offset!r}) - floor(rate * i + {offset!r}))::BIGINT AS copies,
+       ((floor(rate * (i + 1) + {offset!r}) - floor(rate * i + {offset!r})) * size)::BIGINT AS taken FROM r"""
+
+
+ORACLE_SQL = {"op2_url_filter": op2(), "op7_mixing": op7(), "op8_quality_rules": op8()}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate, html, lines, mixing, quality, sharding, simhash, tokens, toxicity, urls
 from .oracles import ORACLE_SQL as ORACLE_SQL
@@ -42,7 +43,8 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+    mix = mixing.mixed(_table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "source", "copies")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
