@@ -41,10 +41,11 @@ CHUNK = 8 << 20
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 JUNK = frozenset("aside button canvas dialog embed footer form head iframe input label map menu nav noscript object option search select svg template textarea".split())
-JUNK_WORDS = frozenset("ad ads adv advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+JUNK_WORDS = frozenset("ad ads adv advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets alert toast cta rail topbar".split())
+HEAD_WORDS = frozenset("header topnav masthead".split())  # outside an article
 JUNK_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 MAIN_WORDS = frozenset("article articlebody entry post story".split())
-RAW = re.compile(r"<(script|style|template|noscript|textarea|iframe|svg|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.DOTALL | re.IGNORECASE)
+RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|textarea|iframe|svg|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.DOTALL | re.IGNORECASE)
 PART = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|([^<]+|<)", re.DOTALL)
 ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 OPEN, MAIN, WEAK, JUNKED = 0, 1, 2, 3
@@ -63,6 +64,8 @@ def _role(tag: str, attributes: str, parent: int) -> int:
         names = set(re.findall(r"[a-z]+", f"{found.get('class', '')} {found.get('id', '')}".lower()))
         if found.get("role", "").lower() in JUNK_ROLES or tag not in ("html", "body", "article", "main") and names & JUNK_WORDS:
             return JUNKED
+        if role == OPEN and names & HEAD_WORDS and not names & MAIN_WORDS:
+            return JUNKED
         if role != MAIN and found.get("itemprop") == "articleBody" or found.get("role") in ("main", "article"):
             role = MAIN
         elif role == OPEN and names & MAIN_WORDS:
@@ -84,7 +87,7 @@ def blocks(html: str | None) -> list[tuple[int, str]]:
         if joined:
             out.append((role, joined))
 
-    for m in PART.finditer(RAW.sub(" ", html)):
+    for m in PART.finditer(RAW.sub("", html)):
         if m[7] is not None:
             text.append(m[7])
             continue
