@@ -84,14 +84,14 @@ def _means(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return (total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1)
 
 
-@F.arrow_udf(T.StructType([T.StructField("bucket", T.ArrayType(T.IntegerType())), T.StructField("share", T.ArrayType(T.FloatType()))]))
+@F.arrow_udf(T.StructType([T.StructField("bucket", T.BinaryType()), T.StructField("share", T.BinaryType())]))
 def _features(texts: pa.Array) -> pa.Array:
     out = []
     for _, buckets, first in _bags(texts):
         for a, z in zip(first[:-1], first[1:], strict=True):
             which, n = np.unique(buckets[a:z], return_counts=True)
-            out.append({"bucket": which.tolist(), "share": (n / max(1, z - a)).tolist()})
-    return pa.array(out, pa.struct([("bucket", pa.list_(pa.int32())), ("share", pa.list_(pa.float32()))]))
+            out.append({"bucket": which.astype(np.int32).tobytes(), "share": (n / max(1, z - a)).astype(np.float32).tobytes()})
+    return pa.array(out, pa.struct([("bucket", pa.binary()), ("share", pa.binary())]))
 
 
 class Model:
@@ -125,20 +125,19 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights:
     coordinate at the start.
     """
     rng = np.random.default_rng(seed)
-    used, index = np.unique(np.concatenate([b for b, _ in bags]), return_inverse=True)
-    owner = np.repeat(np.arange(len(bags)), [len(b) for b, _ in bags])
-    share = np.concatenate([s for _, s in bags]).astype(np.float32)
-    toxic = np.bincount(index, labels[owner], len(used))
-    found = np.bincount(index, minlength=len(used))
+    toxic, found = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for (bucket, _), label in zip(bags, labels, strict=True):  # a bag has a bucket once
+        found[bucket] += 1
+        toxic[bucket] += label
     n_toxic, n = labels.sum(), len(labels)
     odds = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((found - toxic + 0.5) / (n - n_toxic + 1))
     z = np.abs(odds) / np.sqrt(1 / (toxic + 0.5) + 1 / (found - toxic + 0.5))
     kept = (z > MIN_Z) & (found >= 3)
 
-    renamed = np.cumsum(kept) - 1
-    inside = kept[index]
-    index, owner, share, used = renamed[index[inside]], owner[inside], share[inside], used[kept]
-    at = np.searchsorted(owner, np.arange(len(bags) + 1))
+    used, renamed = np.flatnonzero(kept), np.cumsum(kept) - 1
+    own = [(renamed[b[kept[b]]], s[kept[b]]) for b, s in bags]
+    index, share = (np.concatenate([x[i] for x in own]) for i in (0, 1))
+    at = np.concatenate([[0], np.cumsum([len(b) for b, _ in own])])
     prior = float((weights * labels).sum() / weights.sum())
     embed = rng.normal(0, 0.02, (len(used), DIM)).astype(np.float32)
     embed[:, 0] += odds[kept] * (1 - MIN_Z / z[kept])
@@ -186,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, epochs
         picked = one if picked is None else picked.union(one)
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", _features("text").alias("f"))
     rows = texts.select("doc_id", "toxic", "f.*").dropDuplicates(["doc_id"]).toLocalIterator(prefetchPartitions=True)
-    got = sorted(((r["doc_id"], r["toxic"], np.array(r["bucket"], np.int32), np.array(r["share"], np.float32)) for r in rows), key=lambda r: r[0])
+    got = sorted(((r["doc_id"], r["toxic"], np.frombuffer(r["bucket"], np.int32), np.frombuffer(r["share"], np.float32)) for r in rows), key=lambda r: r[0])
     got = [r for r in got if len(r[2])]
     y = np.array([r[1] for r in got], np.int64)
     n = np.bincount(y, minlength=2)
