@@ -163,7 +163,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """(doc_id, fingerprint: 16 hex digits, component_id: smallest doc_id reachable) of every row of docs."""
     marked = spread.durable(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text)).alias("fp")))
     distinct = spread.durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = spread.connected_components(links(distinct, distance))
+    n = distinct.count()
+    roots = spread.connected_components(links(distinct, distance, n))
     joined = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     component = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     named = joined.join(component, "root").select("fp", "component_id")
@@ -233,11 +234,12 @@ def similar_documents(docs: DataFrame, reach: int = REACH, similarity: float = S
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     marked = spread.durable(docs.select("doc_id", F.xxhash64(text).alias("h"), fingerprints(F.col("text").cast("string"), shingle).alias("fp"), F.octet_length(text).alias("bytes")))
     units = spread.durable(marked.groupBy("h").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bytes").alias("bytes")))
-    roots = spread.connected_components(links(units.select("fp").distinct(), reach))
+    n = units.count()
+    roots = spread.connected_components(links(units.select("fp").distinct(), reach, n))
     rooted = units.join(roots, units.fp == roots.node, "left").select("h", "fp", "bytes", F.coalesce("root", "fp").alias("root"))
     # a word has two bytes at least, so bytes / 2 bounds the shingles
     sizes = rooted.groupBy("root").agg(F.count("*").alias("n"), F.ceil(F.sum("bytes") / 2 / block).cast("int").alias("blocks")).where("n > 1")
-    wanted = spread.durable(rooted.join(sizes, "root").select("h", "fp", "root", "blocks"))
+    wanted = spread.durable(rooted.join(sizes, "root").select("h", "fp", "root", "blocks"), n)
     found = spread.among(docs.select(text.alias("text")), F.xxhash64("text"), wanted.select("h"))
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
@@ -252,7 +254,8 @@ def similar_documents(docs: DataFrame, reach: int = REACH, similarity: float = S
     similar = parts.repartition("part").sortWithinPartitions("part").mapInArrow(lambda b: _similar_links(b, reach, similarity), "a long, b long")
     joined = units.join(spread.connected_components(similar), F.col("h") == F.col("node"), "left").select("h", "least", F.coalesce("root", "h").alias("root"))
     component = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(joined.join(component, "root").select("h", "component_id"), "h").select("doc_id", "h", "component_id")
+    named = joined.join(component, "root").select("h", "component_id")
+    return marked.join(named, "h").select("doc_id", "h", "component_id")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+ROWS_A_FILE = 100_000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for cut lineage: the one that the cluster names, or our own where none is set."""
     context = spark.sparkContext
@@ -24,9 +27,11 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df behind a checkpoint() in the shared folder."""
+def durable(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df behind a checkpoint() in the shared folder; with about so many rows, in no more files than they fill."""
     shared_folder(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     return df.checkpoint(eager=True)
 
 
@@ -67,13 +72,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         mark = step.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark[0] == 0 or mark == seen:
             return step.select(F.col("u").alias("node"), F.col("v").alias("root")).union(step.select("v", "v").distinct())
-        seen = mark
+        seen, n = mark, 2 * mark[0]
         both = step.union(step.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        step = durable(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        step = durable(small.union(least.select("u", F.col("m").alias("v"))).distinct(), n)
 
 
 FILTER_BITS = 25
