@@ -236,17 +236,18 @@ def similar_documents(docs: DataFrame, reach: int = REACH, similarity: float = S
     units = spread.durable(marked.groupBy("h").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bytes").alias("bytes")))
     n = units.count()
     roots = spread.connected_components(links(units.select("fp").distinct(), reach, n))
-    rooted = units.join(roots, units.fp == roots.node, "left").select("h", "fp", "bytes", F.coalesce("root", "fp").alias("root"))
+    rooted = units.join(roots, units.fp == roots.node, "left").select("h", "least", "fp", "bytes", F.coalesce("root", "fp").alias("root"))
     # a word has two bytes at least, so bytes / 2 bounds the shingles
     sizes = rooted.groupBy("root").agg(F.count("*").alias("n"), F.ceil(F.sum("bytes") / 2 / block).cast("int").alias("blocks")).where("n > 1")
-    wanted = spread.durable(rooted.join(sizes, "root").select("h", "fp", "root", "blocks"), n)
-    found = spread.among(docs.select(text.alias("text")), F.xxhash64("text"), wanted.select("h"))
+    wanted = spread.durable(rooted.join(sizes, "root").select("h", "least", "fp", "root", "blocks"), n)
+    # one row of each text is fetched, so that copies never meet
+    found = spread.among(docs.select("doc_id", text.alias("text")), F.xxhash64(F.xxhash64("text"), "doc_id"), wanted.select(F.xxhash64("h", "least").alias("h")))
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def grams(texts: pa.Array) -> pa.Array:
         return pa.array([shingle_set(x.encode(), shingle).view(np.int64) for x in texts.to_pylist()], pa.list_(pa.int64()))
 
-    members = wanted.join(found.dropDuplicates(["h"]).select("h", grams("text").alias("grams")), "h")
+    members = wanted.join(found.dropDuplicates(["h"]).select(F.xxhash64("text").alias("h"), grams("text").alias("grams")), "h")
     members = members.withColumn("block", F.pmod(F.xxhash64("h"), F.greatest("blocks", F.lit(1))).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1), lambda o: o != F.col("block"))
     pairs = F.when(F.col("blocks") <= 2, F.array(F.lit(0))).otherwise(F.transform(others, lambda o: F.least(o, "block") * F.col("blocks") + F.greatest(o, "block")))
