@@ -2,9 +2,10 @@
 
 Lines (text split at ``\\n``) are normalised: case folded, digits to ``0``, white
 space runs to one space, trimmed. Equal normal forms are one line. A 64-bit SimHash over
-words and word pairs is cut into BLOCKS blocks; two hashes at most DISTANCE bits apart agree
-on BLOCKS - DISTANCE of them whichever bits differ, so every choice of that many blocks is a
-key, and whole distances are verified inside each key's bucket. What remains is
+words and word pairs is cut into blocks; two hashes at most DISTANCE bits apart agree
+on all but DISTANCE of them, whichever bits differ, so every choice of that many blocks is a
+key, and whole distances are verified inside each key's bucket. There are four blocks, or more where more
+lines would fill the buckets; what is found is the same. What remains is
 verified by edit similarity, 1 - distance / longer length >= SIMILARITY, over
 characters, or over words where a line is longer than LONG characters.
 Connected lines are one group, and a group's first occurrence (doc_id, line) stays.
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +37,10 @@ from pyspark.sql import types as T
 from . import spread, textkit
 
 DISTANCE = 3
-BLOCKS = 5
 SIMILARITY = 0.8
 GROUP = 2000
 LONG = 256
 _DIGITS = bytes(0x30 if 0x31 <= c <= 0x39 else c for c in range(256))
-#: Block bounds: 64 bits in BLOCKS parts.
-_CUTS = [round(i * 64 / BLOCKS) for i in range(BLOCKS + 1)]
 
 
 def normal_lines(text: str | None) -> list[bytes]:
@@ -111,10 +110,20 @@ def line_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, line int, h long, sim long")
 
 
-def _keys(sim: Column) -> Column:
-    keys = []
-    for k, chosen in enumerate(combinations(range(BLOCKS), BLOCKS - DISTANCE)):
-        mask = sum(((1 << _CUTS[b + 1]) - 1) ^ ((1 << _CUTS[b]) - 1) for b in chosen)
+def blocks(count: int, distance: int = DISTANCE) -> int:
+    """The cheapest number of blocks for count hashes: more of them make more keys, and emptier buckets."""
+
+    def cost(n: int) -> float:
+        keys, width = comb(n, n - distance), 64 * (n - distance) / n
+        return 400e-9 * count * keys + 3e-9 * keys * count * count / 2**width / 2
+
+    return min(range(distance + 1, distance + 5), key=cost)
+
+
+def _keys(sim: Column, n: int) -> Column:
+    keys, cuts = [], [round(i * 64 / n) for i in range(n + 1)]
+    for k, chosen in enumerate(combinations(range(n), n - DISTANCE)):
+        mask = sum(((1 << cuts[b + 1]) - 1) ^ ((1 << cuts[b]) - 1) for b in chosen)
         signed = mask - (1 << 64) if mask >> 63 else mask
         keys.append(F.xxhash64(sim.bitwiseAND(F.lit(signed).cast("long")), F.lit(k)))
     return F.array(*keys)
@@ -143,13 +152,13 @@ def _bucket_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
         sizes = np.diff(np.concatenate([starts, [len(key)]]))
         gids, sims = [], []
-        for s in np.flatnonzero(sizes > 1):
-            members = sim[starts[s] : starts[s] + sizes[s]]
-            if len(members) == 2:
-                groups = [members] if int(members[0] ^ members[1]).bit_count() <= DISTANCE else []
-            else:
-                groups = _near(members)
-            for group in groups:
+        # most buckets have no two members near: those of up to 64 members are tried by shifting
+        tried = np.zeros(len(sizes), bool)
+        bucket = np.repeat(np.arange(len(sizes)), sizes)
+        for d in range(1, int(min(64, sizes.max()))):
+            tried[bucket[:-d][(key[d:] == key[:-d]) & (np.bitwise_count(sim[d:] ^ sim[:-d]) <= DISTANCE)]] = True
+        for s in np.flatnonzero((sizes > 1) & (tried | (sizes > 64))):
+            for group in _near(sim[starts[s] : starts[s] + sizes[s]]):
                 group = np.sort(group)
                 gids.append(np.full(len(group), xxhash.xxh64_intdigest(group.tobytes()), np.uint64))
                 sims.append(group)
@@ -277,15 +286,16 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def line_groups(docs: DataFrame, similarity: float = SIMILARITY, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
-    """(table, roots): every line's (doc_id, line, h, sim), and (node, root) of the line hashes that have a similar line."""
+    """(table, roots): (doc_id, line, h, sim) of lines that repeat or have a similar line, and (node, root) of the line hashes that have one."""
     table = spread.durable(line_table(docs))
-    distinct = table.select("h", "sim").distinct()
+    distinct = spread.durable(table.groupBy("h").agg(F.first("sim").alias("sim"), F.count("*").alias("n")))
     sims = distinct.select("sim").distinct()
-    keyed = sims.select("sim", F.explode(_keys(F.col("sim"))).alias("key"))
+    keyed = sims.select("sim", F.explode(_keys(F.col("sim"), blocks(distinct.count()))).alias("key"))
     groups = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_groups, "gid long, sim long").distinct()
     same = distinct.groupBy("sim").count().where("count > 1").select(F.xxhash64("sim", F.lit("same")).alias("gid"), "sim")
     groups = spread.durable(groups.union(same))
-    wanted = spread.durable(distinct.join(groups.select("sim").distinct(), "sim", "left_semi"))
+    n = groups.count()
+    wanted = spread.durable(distinct.select("h", "sim").join(groups.select("sim").distinct(), "sim", "left_semi"), n)
     texts = wanted.join(_texts_of(docs, wanted.select("h")), "h")
     members = spread.durable(groups.join(texts, "sim"))
     # a group is cut into blocks of about `group` texts, and each pair of blocks is a part
@@ -296,7 +306,10 @@ def line_groups(docs: DataFrame, similarity: float = SIMILARITY, group: int = GR
         F.transform(F.filter(others, lambda o: o != F.col("block")), lambda o: F.least(o, "block") * F.col("blocks") + F.greatest(o, "block")))
     parts = members.withColumn("pair", F.explode(pairs)).select(F.xxhash64("gid", "pair").alias("part"), "h", "sim", "line")
     links = parts.repartition("part").sortWithinPartitions("part").mapInArrow(lambda b: _edit_links(b, similarity), "a long, b long")
-    return table, spread.connected_components(links)
+    roots = spread.connected_components(links)
+    # lines that neither repeat nor have a similar line matter no more
+    alive = distinct.where("n > 1").select("h").union(roots.select("node")).distinct()
+    return table.join(alive, "h", "left_semi"), roots
 
 
 def later_lines(docs: DataFrame, **options) -> DataFrame:
