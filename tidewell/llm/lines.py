@@ -294,8 +294,7 @@ def line_groups(docs: DataFrame, similarity: float = SIMILARITY, group: int = GR
     groups = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_groups, "gid long, sim long").distinct()
     same = distinct.groupBy("sim").count().where("count > 1").select(F.xxhash64("sim", F.lit("same")).alias("gid"), "sim")
     groups = spread.durable(groups.union(same))
-    n = groups.count()
-    wanted = spread.durable(distinct.select("h", "sim").join(groups.select("sim").distinct(), "sim", "left_semi"), n)
+    wanted = spread.durable(distinct.select("h", "sim").join(groups.select("sim").distinct(), "sim", "left_semi"))
     texts = wanted.join(_texts_of(docs, wanted.select("h")), "h")
     members = spread.durable(groups.join(texts, "sim"))
     # a group is cut into blocks of about `group` texts, and each pair of blocks is a part
