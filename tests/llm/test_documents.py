@@ -142,6 +142,23 @@ def test_similar_documents_equal_all_pairs(spark, docs, none):
     assert simhash.similar_documents(none).count() == 0
 
 
+def test_similarity_alone_decides_whatever_the_fingerprints(spark):
+    rnd, texts = random.Random(8), []
+    for i in range(60):
+        words = sentence(120 + i, 4000 + i).split()
+        other = list(words)
+        for at in rnd.sample(range(5, len(words) - 5), 2 + i % 3):
+            other[at] = f"changed{i}"
+        texts += [" ".join(words), " ".join(other)]
+    sets = [set(simhash.shingle_set(t.encode()).tolist()) for t in texts]
+    prints = [simhash.fingerprint(t.encode(), 5) for t in texts]
+    pairs = [(i, i + 1) for i in range(0, len(texts), 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    far = sum((prints[i] ^ prints[j]).bit_count() > 9 for i, j in pairs)
+    assert len(pairs) > 30 and far > 3
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert {(c, i) for i, c in got.items() if c != i} == set(pairs)
+
+
 def test_keep_one_leaves_one_row_of_each_component(docs, none):
     groups = simhash.similar_documents(docs).collect()
     kept = simhash.keep_one(docs)

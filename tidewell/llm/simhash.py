@@ -171,11 +171,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# Near duplicates by similarity: fingerprints give the candidates, shingle sets decide.
+# Near duplicates by similarity: shingle sets give the candidates and decide.
 
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
-REACH = 9
+#: Bits in which the fingerprints of similar texts may differ: all of them, since fingerprints are not asked.
+REACH = 64
+#: One shingle of so many is looked up before all shingles of a text are.
+SAMPLE = 4
 #: Shingles that a block of a component may hold; a task holds two blocks.
 BLOCK = 2_000_000
 
@@ -189,57 +192,104 @@ def shingle_set(text: bytes, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, len(words) - shingle + 1))
 
 
-def _similar_links(batches: Iterator[pa.RecordBatch], reach: int, similarity: float) -> Iterator[pa.RecordBatch]:
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, g, df) of the shingles g that several texts h have, df of them, in a partition that is sorted by g and h."""
+    for batch in spread.runs(batches, "g"):
+        g, h = batch.column("g").to_numpy(), batch.column("h").to_numpy()
+        fresh = np.concatenate([[True], (g[1:] != g[:-1]) | (h[1:] != h[:-1])])
+        g, h = g[fresh], h[fresh]
+        starts = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1])
+        sizes = np.diff(np.concatenate([starts, [len(g)]]))
+        df = np.repeat(sizes, sizes)
+        held = df > 1
+        if held.any():
+            yield pa.RecordBatch.from_arrays([pa.array(h[held]), pa.array(g[held]), pa.array(df[held])], ["h", "g", "df"])
+
+
+def _size_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of texts that share a key, along their sizes, in a partition that is sorted by key g and size n."""
+    for batch in spread.runs(batches, "g"):
+        g, n, h = (batch.column(c).to_numpy() for c in ("g", "n", "h"))
+        near = np.flatnonzero((g[1:] == g[:-1]) & (n[:-1] >= similarity * n[1:] - 1e-9))
+        if len(near):
+            pair = np.ascontiguousarray(np.unique(np.stack([h[near], h[near + 1]]), axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+
+
+def candidates(grams: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): links that connect whatever texts of grams (h, grams) have a Jaccard similarity of at least ``similarity``.
+
+    Of two similar sets, either lacks at most (1 - similarity) of its own shingles in the other. In any one order of all
+    shingles their first shingles, one more than may be lacking, therefore meet. Rare ones come first here, so that few texts
+    share a key, and those that no other text has are no keys.
+    """
+    one = grams.select("h", F.explode("grams").alias("g"))
+    shared = one.repartition("g").sortWithinPartitions("g", "h").mapInArrow(_shared, "h long, g long, df long")
+    first = shared.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("keys"))
+    sized = first.join(grams.select("h", F.size("grams").alias("n")), "h")
+    wanted = F.floor(F.col("n") * (1 - similarity) + 1e-9).cast("int") + 1 - (F.col("n") - F.size("keys"))
+    keyed = sized.select("h", "n", F.explode(F.slice("keys", F.lit(1), F.greatest(wanted, F.lit(0)))).alias("k")).select("h", "n", F.col("k.g").alias("g"))
+    return keyed.repartition("g").sortWithinPartitions("g", "n").mapInArrow(lambda b: _size_links(b, similarity), "a long, b long")
+
+
+def _similar_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """Links (a, b) of text hashes that connect what is similar inside each part of a component."""
     for batch in spread.runs(batches, "part"):
         part, h = batch.column("part").to_numpy(), batch.column("h").to_numpy()
-        fp = batch.column("fp").to_numpy().view(np.uint64)
         column = batch.column("grams")
         at, flat = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
         size = np.diff(at)
         starts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
         a, b = [], []
         for lo, hi in zip(starts[:-1], starts[1:], strict=True):
-            left = np.arange(lo, hi)
+            left, indexed = np.arange(lo, hi), 0
             while len(left) > 1:
                 queue, left = [left[0]], left[1:]
                 while queue and len(left):
+                    if 2 * len(left) < indexed or not indexed:  # an index of the shingles of those that are left
+                        indexed = len(left)
+                        held = np.concatenate([flat[at[i] : at[i + 1]] for i in left])
+                        order = np.argsort(held, kind="stable")
+                        held, owner = held[order], np.repeat(left, size[left])[order]
                     pivot = queue.pop()
                     own = flat[at[pivot] : at[pivot + 1]]
-                    near = np.flatnonzero((np.bitwise_count(fp[left] ^ fp[pivot]) <= reach) & (np.minimum(size[left], len(own)) >= similarity * np.maximum(size[left], len(own))))
-                    hit = []
-                    for i in near:
-                        other = flat[at[left[i]] : at[left[i] + 1]]
-                        common = np.count_nonzero(own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other)
-                        if common >= similarity * (len(own) + len(other) - common):
-                            hit.append(i)
-                    if hit:
+                    low, high = np.searchsorted(held, own, "left"), np.searchsorted(held, own, "right")
+                    met = high - low
+                    places = np.repeat(low - np.cumsum(met) + met, met) + np.arange(met.sum())
+                    common = np.bincount(owner[places] - lo, minlength=hi - lo)[left - lo]
+                    hit = common >= similarity * (len(own) + size[left] - common)
+                    if hit.any():
                         a += h[left[hit]].tolist()
-                        b += [int(h[pivot])] * len(hit)
+                        b += [int(h[pivot])] * int(hit.sum())
                         queue.extend(left[hit])
-                        left = np.delete(left, hit)
+                        left = left[~hit]
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def similar_documents(docs: DataFrame, reach: int = REACH, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, block: int = BLOCK) -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, block: int = BLOCK) -> DataFrame:
     """(doc_id, h, component_id) of every row of docs: documents connected by a Jaccard similarity of at least ``similarity``.
 
-    Candidates are texts whose fingerprints over the same shingles are connected
-    by steps of at most reach bits; inside each such component, which holds every
-    text once, shingle sets are compared along a walk that links each text once. Equal
+    Similarity alone decides. A text whose sampled shingles lack more others than the similarity allows is out; the
+    shingle sets of the rest give candidates(), and inside each component of these, which holds every
+    text once, sets are compared along a walk that links each text once. Equal
     texts are one. A component of more than block shingles is cut into blocks, each pair of
     which is a part of its own.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = spread.durable(docs.select("doc_id", F.xxhash64(text).alias("h"), fingerprints(F.col("text").cast("string"), shingle).alias("fp"), F.octet_length(text).alias("bytes")))
-    units = spread.durable(marked.groupBy("h").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bytes").alias("bytes")))
-    n = units.count()
-    roots = spread.connected_components(links(units.select("fp").distinct(), reach, n))
-    rooted = units.join(roots, units.fp == roots.node, "left").select("h", "least", "fp", "bytes", F.coalesce("root", "fp").alias("root"))
-    # a word has two bytes at least, so bytes / 2 bounds the shingles
-    sizes = rooted.groupBy("root").agg(F.count("*").alias("n"), F.ceil(F.sum("bytes") / 2 / block).cast("int").alias("blocks")).where("n > 1")
-    wanted = spread.durable(rooted.join(sizes, "root").select("h", "least", "fp", "root", "blocks"), n)
+
+    @F.arrow_udf(T.StructType([T.StructField("n", T.IntegerType()), T.StructField("some", T.ArrayType(T.LongType()))]))
+    def sampled(texts: pa.Array) -> pa.Array:
+        sets = [shingle_set(x.encode(), shingle) for x in texts.to_pylist()]
+        some = pa.array([x[x % np.uint64(SAMPLE) == 0].view(np.int64) for x in sets], pa.list_(pa.int64()))
+        return pa.StructArray.from_arrays([pa.array(map(len, sets), pa.int32()), some], ["n", "some"])
+
+    marked = spread.durable(docs.select("doc_id", F.xxhash64(text).alias("h"), sampled(text).alias("s")).select("doc_id", "h", "s.n", "s.some"))
+    units = spread.durable(marked.groupBy("h").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first(F.size("some")).alias("m")))
+    one = marked.select("h", F.explode("some").alias("g"))
+    shared = one.repartition("g").sortWithinPartitions("g", "h").mapInArrow(_shared, "h long, g long, df long").groupBy("h").agg(F.count("*").alias("met"))
+    lacking = F.col("m") - F.coalesce("met", F.lit(0))
+    wanted = spread.durable(units.join(shared, "h", "left").where(lacking <= F.floor(F.col("n") * (1 - similarity) + 1e-9)).select("h", "least"))
     # one row of each text is fetched, so that copies never meet
     found = spread.among(docs.select("doc_id", text.alias("text")), F.xxhash64(F.xxhash64("text"), "doc_id"), wanted.select(F.xxhash64("h", "least").alias("h")))
 
@@ -247,12 +297,15 @@ def similar_documents(docs: DataFrame, reach: int = REACH, similarity: float = S
     def grams(texts: pa.Array) -> pa.Array:
         return pa.array([shingle_set(x.encode(), shingle).view(np.int64) for x in texts.to_pylist()], pa.list_(pa.int64()))
 
-    members = wanted.join(found.dropDuplicates(["h"]).select(F.xxhash64("text").alias("h"), grams("text").alias("grams")), "h")
+    sets = spread.durable(found.dropDuplicates(["h"]).select(F.xxhash64("text").alias("h"), grams("text").alias("grams")))
+    roots = spread.durable(spread.connected_components(candidates(sets, similarity)))
+    sizes = roots.join(units, F.col("node") == F.col("h")).groupBy("root").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
+    members = sets.join(roots, F.col("h") == F.col("node")).join(sizes, "root")
     members = members.withColumn("block", F.pmod(F.xxhash64("h"), F.greatest("blocks", F.lit(1))).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1), lambda o: o != F.col("block"))
     pairs = F.when(F.col("blocks") <= 2, F.array(F.lit(0))).otherwise(F.transform(others, lambda o: F.least(o, "block") * F.col("blocks") + F.greatest(o, "block")))
-    parts = members.withColumn("pair", F.explode(pairs)).select(F.xxhash64("root", "pair").alias("part"), "h", "fp", "grams")
-    similar = parts.repartition("part").sortWithinPartitions("part").mapInArrow(lambda b: _similar_links(b, reach, similarity), "a long, b long")
+    parts = members.withColumn("pair", F.explode(pairs)).select(F.xxhash64("root", "pair").alias("part"), "h", "grams")
+    similar = parts.repartition("part").sortWithinPartitions("part").mapInArrow(lambda b: _similar_links(b, similarity), "a long, b long")
     joined = units.join(spread.connected_components(similar), F.col("h") == F.col("node"), "left").select("h", "least", F.coalesce("root", "h").alias("root"))
     component = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     named = joined.join(component, "root").select("h", "component_id")
