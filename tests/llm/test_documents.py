@@ -169,6 +169,14 @@ def test_keep_one_leaves_one_row_of_each_component(docs, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def test_keep_one_keeps_different_texts_of_one_id(spark):
+    a, b, c, d, e, f = (sentence(50, 3000 + i) for i in range(6))
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, d), (7, d), (None, e), (8, e), (9, f), (9, f + " more"), (None, b)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(kept) == 6 and {(3, a), (5, b), (7, c), (7, d), (8, e)} <= {tuple(r) for r in kept}
+    assert [r["doc_id"] for r in kept if r["text"].startswith(f)] == [9]
+
+
 # decontamination
 
 

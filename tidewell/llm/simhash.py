@@ -268,8 +268,9 @@ def _similar_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iter
 
 
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, block: int = BLOCK) -> DataFrame:
-    """(doc_id, h, component_id) of every row of docs: documents connected by a Jaccard similarity of at least ``similarity``.
+    """(doc_id, h, component_id, kept_h) of every row of docs: documents connected by a Jaccard similarity of at least ``similarity``.
 
+    component_id is the least doc_id of a component, kept_h the least text hash under it.
     Similarity alone decides. A text whose sampled shingles lack more others than the similarity allows is out; the
     shingle sets of the rest give candidates(), and inside each component of these, which holds every
     text once, sets are compared along a walk that links each text once. Equal
@@ -307,23 +308,26 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle:
     parts = members.withColumn("pair", F.explode(pairs)).select(F.xxhash64("root", "pair").alias("part"), "h", "grams")
     similar = parts.repartition("part").sortWithinPartitions("part").mapInArrow(lambda b: _similar_links(b, similarity), "a long, b long")
     joined = units.join(spread.connected_components(similar), F.col("h") == F.col("node"), "left").select("h", "least", F.coalesce("root", "h").alias("root"))
-    component = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.join(component, "root").select("h", "component_id")
-    return marked.join(named, "h").select("doc_id", "h", "component_id")
+    component = joined.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "h")).alias("first"))
+    named = joined.join(component, "root").select("h", F.col("first.least").alias("component_id"), F.col("first.h").alias("kept_h"))
+    return marked.join(named, "h").select("doc_id", "h", "component_id", "kept_h")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs with one document of each component of similar_documents(): the one whose doc_id is the component's.
+    """The rows of docs with one document of each component of similar_documents(): the text kept_h under the component's doc_id.
 
-    Of rows that repeat that doc_id one stays. A row without doc_id stays only
+    Of rows that repeat both one stays; another text under that doc_id is a matter of its own component. A row without doc_id stays only
     if no row of its component has one, once for each text.
     """
     groups = spread.durable(similar_documents(docs, **options))
-    dropped = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(dropped, "doc_id", "left_anti")
-    twice = groups.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    named = docs.where("doc_id IS NOT NULL").withColumn("__h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    key = ["doc_id", "__h"]
+    dropped = groups.where("doc_id <> component_id OR h <> kept_h").select("doc_id", F.col("h").alias("__h")).distinct()
+    kept = named.join(dropped, key, "left_anti")
+    twice = groups.groupBy("doc_id", F.col("h").alias("__h")).count().where("count > 1 AND doc_id IS NOT NULL").select(key)
     if not twice.isEmpty():
-        kept = kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        kept = kept.join(twice, key, "left_anti").unionByName(kept.join(twice, key, "left_semi").dropDuplicates(key))
+    kept = kept.drop("__h")
     if not (alone := groups.where("component_id IS NULL").select("h").distinct()).isEmpty():
         nameless = docs.where("doc_id IS NULL").withColumn("__h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
         nameless = nameless.join(alone, nameless["__h"] == alone.h, "left_semi").dropDuplicates(["__h"]).drop("__h")
