@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -424,6 +425,19 @@ def test_edit_distance_equals_the_table():
         assert lines.edit_distance(list(a), list(b), k) == min(brute_distance(a, b), k + 1)
 
 
+def test_similarity_is_over_characters_at_every_length():
+    rnd = random.Random(31)
+    for n in (30, 60, 200):
+        words = sentence(n, 900 + n).split()
+        texts = [" ".join(words), ", ".join(words), " ".join(w[:-1] + "q" if i % 2 else w for i, w in enumerate(words)), " ".join(words[: n // 10] + ["new"] + words[n // 10 + 2 :])]
+        texts += [" ".join(rnd.choice((w, w[::-1])) for w in words), sentence(n, 950 + n)]
+        held = lines._Texts(texts, 0.8)
+        for i, a in enumerate(texts):
+            want = [j for j, b in enumerate(texts) if brute_distance(a, b) <= max(len(a), len(b)) * 0.2 + 1e-9]
+            assert held.like(i, np.arange(len(texts))) == want
+            assert i > 3 or len(want) > 1
+
+
 def brute_line_dedup(rows):
     """Texts without the later lines of each group, from all pairs of normal lines."""
     held = [(r["doc_id"], i, x.decode()) for r in rows for i, x in enumerate(lines.normal_lines(r["text"])) if x]

@@ -7,7 +7,8 @@ on all but DISTANCE of them, whichever bits differ, so every choice of that many
 key, and whole distances are verified inside each key's bucket. There are four blocks, or more where more
 lines would fill the buckets; what is found is the same. What remains is
 verified by edit similarity, 1 - distance / longer length >= SIMILARITY, over
-characters, or over words where a line is longer than LONG characters.
+characters at every length. Where a line is longer than LONG characters, a word distance that
+settles the matter by itself spares the one over characters.
 Connected lines are one group, and a group's first occurrence (doc_id, line) stays.
 
 Recall is that of the SimHash: a pair of lines further apart than DISTANCE bits is not
@@ -215,27 +216,25 @@ class _Texts:
         self.texts, self.similarity = texts, similarity
         self.words = [t.split(" ") if len(t) > LONG else None for t in texts]
         self.n_chars = np.array([len(t) for t in texts])
-        self.n_words = np.array([t.count(" ") + 1 for t in texts])
+        self.widest = np.array([max(map(len, t.split(" "))) for t in texts])
         self.char_bins = np.stack([np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32) & 31, minlength=32) for t in texts]).astype(np.int32)
-        self.word_bins = np.stack([np.bincount([xxhash.xxh32_intdigest(w) & 31 for w in t.split(" ")], minlength=32) for t in texts]).astype(np.int32)
 
     def like(self, pivot: int, others: np.ndarray) -> list[int]:
         """Places in others of the lines whose edit similarity to the pivot is enough.
 
-        Over characters, or over words if either line is longer than LONG characters.
         One edit changes the size by at most 1 and the bins by at most 2, so most others need no comparison.
+        An edit of a word is one of at most its characters and a space, so few of them are within the limit for sure.
         """
-        by_word = np.maximum(self.n_chars[others], self.n_chars[pivot]) > LONG
-        size = np.where(by_word, self.n_words[others], self.n_chars[others])
-        own = np.where(by_word, self.n_words[pivot], self.n_chars[pivot])
+        size, own = self.n_chars[others], self.n_chars[pivot]
         limit = (np.maximum(size, own) * (1 - self.similarity) + 1e-9).astype(np.int64)
-        apart = np.where(by_word, np.abs(self.word_bins[others] - self.word_bins[pivot]).sum(1), np.abs(self.char_bins[others] - self.char_bins[pivot]).sum(1))
+        apart = np.abs(self.char_bins[others] - self.char_bins[pivot]).sum(1)
+        widest = np.maximum(self.widest[others], self.widest[pivot])
         found = []
         for i in np.flatnonzero((np.abs(size - own) <= limit) & (apart <= 2 * limit)):
-            a, b = self.texts[pivot], self.texts[others[i]]
-            if by_word[i]:
-                a, b = self.words[pivot] or a.split(" "), self.words[others[i]] or b.split(" ")
-            if edit_distance(a, b, int(limit[i])) <= limit[i]:
+            a, b, most = self.texts[pivot], self.texts[others[i]], int(limit[i])
+            x, y = self.words[pivot], self.words[others[i]]
+            sure = most // (int(widest[i]) + 1)
+            if x and y and sure and edit_distance(x, y, sure) <= sure or edit_distance(a, b, most) <= most:
                 found.append(int(i))
         return found
 
