@@ -101,3 +101,16 @@ def test_passages_shared_by_articles_stay(spark):
     shared = "a passage of more than eight words that several articles of one host all have"
     rows = [(i, "http://h.org/", f"<article><h1>n{i}</h1><p>{shared}</p></article>", None, None) for i in range(4)]
     assert {r["text"] for r in html.extracted(spark.createDataFrame(rows, PAGE)).collect()} == {f"n{i}\n{shared}" for i in range(4)}
+
+
+def test_a_host_larger_than_a_task_gives_the_same(spark):
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    shared = [" ".join(word() for _ in range(20)) for _ in range(12)]
+    rows = [(i, f"http://h{i % 7 // 6}.x/{i}", f"<div>{shared[i % 12]}</div><div>{' '.join(word() for _ in range(30))}</div>") for i in range(60)]
+    rows += [rows[5], (61, "http://h0.x/a", None), (None, "http://h0.x/b", rows[7][2]), (62, "http://h0.x/c", ""), (63, "http://h0.x/d", f"<div>{shared[0]} {shared[0]}</div>")]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)
+    whole = sorted(map(str, html.extracted(frame).collect()))
+    assert sorted(map(str, html.extracted(frame, chunk=2000).collect())) == whole
+    assert sorted(map(str, html.extracted(frame, chunk=0).collect())) == whole
+    assert html.extracted(frame).where("n_covered > 0").count() > 50

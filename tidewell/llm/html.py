@@ -12,10 +12,9 @@ Why not the array alone: on a host, adverts and menus are drawn per page and
 often unique, while articles hold passages that other articles hold too. So coverage decides
 only where the markup doesn't.
 
-Pages are put in order of host by a range sort, and the array is built over runs of
-pages of a host of at most CHUNK bytes. A host of any size is therefore spread over
-tasks in bounded memory; a run that repeats on only a few pages of such a host may
-have its pages in different chunks, and then counts as unique and is kept.
+A host of at most CHUNK characters is whole in one task, and the array is built over all its
+pages. The pages of a larger host stay where they are: every RUN tokens of theirs are hashed, hashes
+that distinct pages have are sent back to the pages, and cover the same tokens as the array would.
 
 Nulls, empty and ties: a null or empty page has an empty text; a null URL is a
 host of its own; tags left open end with their parents; repeated rows of one page_id count as one page;
@@ -30,9 +29,12 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import spread, textkit
+
 RUN = 8
 COVERED = 0.5
 CHUNK = 8 << 20
@@ -198,15 +200,36 @@ def main_texts(pages: list[tuple[int | None, str | None]], run: int = RUN) -> li
         streams.append(np.array(ids, np.int64))
         bounds.append(bound)
     covered = covered_tokens(streams, owner, run)
-    out = []
-    for page, bound, mask in zip(cut, bounds, covered, strict=True):
-        best = next((r for r in (MAIN, WEAK) if any(role == r for role, _ in page)), OPEN)
-        if best == OPEN:
-            kept = [t for i, (role, t) in enumerate(page) if role == OPEN and mask[bound[i] : bound[i + 1]].mean() < COVERED]
-        else:
-            kept = [t for role, t in page if role == best]
-        out.append(("\n".join(kept), len(mask), int(mask.sum())))
-    return out
+    return [(_kept(page, bound, mask), len(mask), int(mask.sum())) for page, bound, mask in zip(cut, bounds, covered, strict=True)]
+
+
+def _kept(page: list[tuple[int, str]], bound: list[int], mask: np.ndarray) -> str:
+    best = next((r for r in (MAIN, WEAK) if any(role == r for role, _ in page)), OPEN)
+    if best == OPEN:
+        return "\n".join(t for i, (role, t) in enumerate(page) if role == OPEN and mask[bound[i] : bound[i + 1]].mean() < COVERED)
+    return "\n".join(t for role, t in page if role == best)
+
+
+def _windows(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
+    """(k, owner, rid, at): the hash of every run tokens of a page, and where it starts."""
+    for batch in batches:
+        for host, markup, owner, rid in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "owner", "rid")), strict=True):
+            words = [w.encode("utf-8", "replace") for _, t in blocks(markup) for w in t.split()]
+            k = textkit.rolling(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), run)
+            if len(k):
+                k = textkit.mix(k ^ np.uint64(xxhash.xxh64_intdigest(host.encode()))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(len(k), owner)), pa.array(np.full(len(k), rid)), pa.array(np.arange(len(k), dtype=np.int32))], ["k", "owner", "rid", "at"])
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, at) of the hashes that distinct pages have, in a partition that is sorted by k."""
+    for batch in spread.runs(batches, "k"):
+        k, owner = batch.column("k").to_numpy(), batch.column("owner").to_numpy()
+        starts = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1])
+        shared = np.minimum.reduceat(owner, starts) != np.maximum.reduceat(owner, starts)
+        hit = np.repeat(shared, np.diff(np.concatenate([starts, [len(k)]])))
+        if hit.any():
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column("rid").to_numpy()[hit]), pa.array(batch.column("at").to_numpy()[hit])], ["rid", "at"])
 
 
 def host_of(column: str):
@@ -216,7 +239,8 @@ def host_of(column: str):
 def extracted(pages: DataFrame, run: int = RUN, chunk: int = CHUNK) -> DataFrame:
     """(page_id, url, text, n_chars, n_tokens, n_covered) of every row of pages."""
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of("url").alias("host"))
-    ordered = slim.repartitionByRange("host", F.xxhash64("page_id"), "page_id").sortWithinPartitions("host")
+    large = spread.durable(slim.groupBy("host").agg(F.sum(F.length("html")).alias("n")).where(F.col("n") > chunk).select("host"))
+    whole = slim.join(F.broadcast(large), "host", "left_anti").repartition("host").sortWithinPartitions("host")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_tokens", pa.int64()), ("n_covered", pa.int64())])
 
     def done(held: list[tuple]) -> pa.RecordBatch:
@@ -226,16 +250,40 @@ def extracted(pages: DataFrame, run: int = RUN, chunk: int = CHUNK) -> DataFrame
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64())], schema=schema)
 
     def run_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, host = [], 0, None
+        held, host = [], None
         for batch in batches:
             for page_id, url, html, h in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "host")), strict=True):
-                if held and (h != host or size >= chunk):
+                if held and h != host:
                     yield done(held)
-                    held, size = [], 0
+                    held = []
                 host = h
                 held.append((page_id, url, html))
-                size += len(html or "")
         if held:
             yield done(held)
 
-    return ordered.mapInArrow(run_hosts, "page_id long, url string, text string, n_chars long, n_tokens long, n_covered long")
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, urls, texts, counts = [], [], [], []
+            for page_id, url, markup, places in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "places")), strict=True):
+                page = blocks(markup)
+                bound = np.cumsum([0, *(len(t.split()) for _, t in page)])
+                edge = np.zeros(bound[-1] + 1, np.int64)
+                for at in set(places or ()):
+                    edge[at] += 1
+                    edge[at + run] -= 1
+                mask = np.cumsum(edge)[:-1] > 0
+                ids.append(page_id)
+                urls.append(url)
+                texts.append(_kept(page, bound, mask))
+                counts.append((len(mask), int(mask.sum())))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array([n for n, _ in counts], pa.int64()), pa.array([c for _, c in counts], pa.int64())], schema=schema)
+
+    kind = "page_id long, url string, text string, n_chars long, n_tokens long, n_covered long"
+    out = whole.mapInArrow(run_hosts, kind)
+    if large.isEmpty():
+        return out
+    spread_out = slim.join(F.broadcast(large), "host", "left_semi").withColumns({"owner": F.xxhash64("page_id"), "rid": F.xxhash64("host", "page_id", "html")})
+    keyed = spread_out.select("host", "html", "owner", "rid").mapInArrow(lambda b: _windows(b, run), "k long, owner long, rid long, at int")
+    again = keyed.repartition("k").sortWithinPartitions("k").mapInArrow(_repeated, "rid long, at int").groupBy("rid").agg(F.collect_set("at").alias("places"))
+    return out.unionByName(spread_out.join(again, "rid", "left").select("page_id", "url", "html", "places").mapInArrow(judge, kind))
