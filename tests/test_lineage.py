@@ -3,8 +3,8 @@ import random
 
 import pytest
 
-from tidewell.operators import ask, lineage, sqlrefs, usage
-from tidewell.plans import render
+from tidewell.operators import ask, lineage, register, sqlrefs, usage
+from tidewell.plans import registry, render
 from tidewell.sources import metadata
 
 CHAIN = [("p.raw.m", "p.stg.m"), ("p.stg.m", "p.stg.h"), ("p.stg.h", "p.mart.a"), ("p.stg.h", "p.mart.b")]
@@ -129,3 +129,18 @@ def test_snapshot_round_trip_and_viewer(spark, tmp_path):
     page = render.viewer(lineage.Graph.of([nodes], [g.edges.selectExpr("origen", "destino", "'x' AS motivo")]))
     assert page.count("</script>") == 2
     assert "->" in render.plan_dot(g.edges)
+
+
+def test_causal_cycles_never_leave_links_out(spark):
+    rows = [("a", "b"), ("b", "c"), ("c", "a")]
+    frame = spark.createDataFrame([(i, [("causada_por", j)]) for i, j in rows], "id string, enlaces array<struct<tipo:string,destino:string>>")
+    assert len(register.causal_cycles(frame, limit=3)) == 1
+    with pytest.raises(ValueError):
+        register.causal_cycles(frame, limit=2)
+
+
+def test_register_checks_all_reads_every_order(spark, sf):
+    path = sf.replace("sf0.001", "sf0.01")
+    n = spark.read.parquet(f"{path}/orders.parquet").where("o_orderkey % 2 = 0").count()
+    got = {r["control"]: r["filas"] for r in registry.QUERIES["register_checks_all"](spark, path).collect()}
+    assert n > 1501 and got["publicas"] == n

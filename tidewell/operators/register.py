@@ -59,8 +59,10 @@ def one_sided(decisions: DataFrame, forward: str = "supera_a", backward: str = "
 
 
 def causal_cycles(decisions: DataFrame, kind: str = "causada_por", limit: int = 100_000) -> list[list[str]]:
-    """Cycles of cause; a register is written by hand, so its links fit on the driver."""
-    rows = links(decisions).where(F.col("tipo") == kind).select("id", "destino").limit(limit).collect()
+    """Cycles of cause; a register is written by hand, so its links fit on the driver. More than limit of them are an error."""
+    rows = links(decisions).where(F.col("tipo") == kind).select("id", "destino").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} links of kind {kind}")
     return back_edge_paths(sorted({r[0] for r in rows}), sorted((r[0], r[1]) for r in rows))
 
 

@@ -512,8 +512,8 @@ def catalog_edges(spark, sf):
     return metadata.from_catalog(tables, views, routines, "p")[1]
 
 
-def _decisions(spark, sf):
-    o = x.table(spark, sf, "orders").where("o_orderkey <= 3000")
+def _decisions(spark, sf, which="o_orderkey <= 3000"):
+    o = x.table(spark, sf, "orders").where(which)
     key = F.col("o_orderkey")
     name = lambda c: F.concat(F.lit("d"), c.cast("string"))
     return o.select(
@@ -527,7 +527,15 @@ _DEC = "WITH o AS (SELECT * FROM orders WHERE o_orderkey <= 3000)"
 
 @query(f"{_DEC} SELECT 'incompletas' AS control, count(*) AS filas FROM o WHERE o_orderkey % 17 = 0 UNION ALL SELECT 'enlaces sueltos', count(*) FROM o WHERE o_orderkey + 5 NOT IN (SELECT o_orderkey FROM o) UNION ALL SELECT 'mal elegidas', count(*) FROM o WHERE ((o_orderkey % 2 = 0)::INT + (o_orderkey % 3 = 0)::INT) <> 1 OR o_orderkey % 10 = 0 UNION ALL SELECT 'fuera de vocabulario', count(*) FROM o WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH') UNION ALL SELECT 'orden repetido', count(*) FROM (SELECT o_orderdate::DATE AS d, o_orderkey % 3 AS k FROM o GROUP BY ALL HAVING count(*) > 1) UNION ALL SELECT 'publicas', count(*) FROM o WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'commits con deriva', count(DISTINCT o_orderkey % 40) FROM o WHERE o_orderkey % 5 > 1 UNION ALL SELECT 'carriles', count(DISTINCT o_orderpriority) FROM o")
 def register_checks(spark, sf):
-    d = _decisions(spark, sf)
+    return _register_counts(_decisions(spark, sf))
+
+
+@query("WITH o AS (SELECT * FROM orders) SELECT 'incompletas' AS control, count(*) AS filas FROM o WHERE o_orderkey % 17 = 0 UNION ALL SELECT 'enlaces sueltos', count(*) FROM o WHERE o_orderkey + 5 NOT IN (SELECT o_orderkey FROM o) UNION ALL SELECT 'mal elegidas', count(*) FROM o WHERE ((o_orderkey % 2 = 0)::INT + (o_orderkey % 3 = 0)::INT) <> 1 OR o_orderkey % 10 = 0 UNION ALL SELECT 'fuera de vocabulario', count(*) FROM o WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH') UNION ALL SELECT 'orden repetido', count(*) FROM (SELECT o_orderdate::DATE AS d, o_orderkey % 3 AS k FROM o GROUP BY ALL HAVING count(*) > 1) UNION ALL SELECT 'publicas', count(*) FROM o WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'commits con deriva', count(DISTINCT o_orderkey % 40) FROM o WHERE o_orderkey % 5 > 1 UNION ALL SELECT 'carriles', count(DISTINCT o_orderpriority) FROM o")
+def register_checks_all(spark, sf):
+    return _register_counts(_decisions(spark, sf, "true"))
+
+
+def _register_counts(d):
     parts = (("incompletas", register.incomplete(d)), ("enlaces sueltos", register.dangling(d)), ("mal elegidas", register.badly_chosen(d)), ("fuera de vocabulario", register.outside_vocabulary(d, "carril", ("1-URGENT", "2-HIGH"))), ("orden repetido", register.clashing_order(d)), ("publicas", register.public(d)), ("commits con deriva", register.drifted(d)), ("carriles", register.inventory(d)))
     out = None
     for name, rows in parts:
