@@ -1,23 +1,28 @@
-"""Main text of web pages: page structure, and a suffix array over each host's token streams.
+"""Main text of web pages: a distributed suffix array over each host's page streams, with markup as the prior.
 
-A page is cut into blocks, each with a role: junk (menus, headers, footers,
-sidebars, notices, adverts, forms, comments, scripts, styles), main (inside an
-article), or open. For every host the token streams of its pages are concatenated and
-their suffixes sorted by prefix doubling; suffixes that share RUN tokens or more and
-stand in distinct pages are repeated runs, and the tokens they cover are
-boilerplate. A page with an article is its article. Of a page without one the open blocks
-stay that are not mostly covered: its unique runs.
+A page is cut into blocks. HTML elements and roles that name a page part (nav, footer,
+aside, form, ...), and class names that name nothing else (sidebar, comments, ...), settle
+their text. Elsewhere the host's other pages decide, by two token streams for each page:
 
-Why not the array alone: on a host, adverts and menus are drawn per page and
-often unique, while articles hold passages that other articles hold too. So coverage decides
-only where the markup doesn't.
+* structure: its block tags, with their class names where one of these is a MAYBE word (ad, notice,
+  related, ...). Such an element is boilerplate if TAG_RUN tokens around its tag also stand in another page
+  of the host: then it is a slot of the template, whatever is written in it. On a host with only one page the word itself decides.
+* words: the text outside articles. Runs of RUN words that another page of the host has too are boilerplate,
+  and a block that they mostly cover goes; unique runs stay. Inside articles no words are asked for, since
+  different articles of a host hold the same passages.
 
-A host of at most CHUNK characters is whole in one task, and the array is built over all its
-pages. The pages of a larger host stay where they are: every RUN tokens of theirs are hashed, hashes
-that distinct pages have are sent back to the pages, and cover the same tokens as the array would.
+The streams of a host, put one after another, have one suffix array; what is asked of it is which
+suffixes agree in their first RUN tokens and stand in distinct pages. A host may hold a third of all pages, so the
+array isn't sorted in a task: suffixes are grouped by the hash of these tokens, over the cluster, which gives the same ranges
+whatever the partitions. Of the words the array is sparse: of every SPARSE consecutive suffixes the one with the least
+hash is kept, so a repeated run of RUN + SPARSE - 1 words or more is always found.
+
+Suffixes that more than 1 in HOT of all pages' suffixes are go to every task, at most HOT of them; the others come back to
+their pages by an equi-join, and pages without any stay where they are.
 
 Nulls, empty and ties: a null or empty page has an empty text; a null URL is a
-host of its own; tags left open end with their parents; repeated rows of one page_id count as one page;
+host of its own; tags left open end with their parents; repeated rows of one page_id count as one page, a row without page_id
+is a page of its own (equal ones are one);
 other columns are not looked at.
 """
 
@@ -36,15 +41,19 @@ from pyspark.sql import functions as F
 from . import spread, textkit
 
 RUN = 8
+TAG_RUN = 4
+SPARSE = 4
 COVERED = 0.5
-CHUNK = 8 << 20
+HOT = 50_000
 
 # Names of HTML elements and common class names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 JUNK = frozenset("aside button canvas dialog embed footer form head iframe input label map menu nav noscript object option search select svg template textarea".split())
-JUNK_WORDS = frozenset("ad ads adv advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets alert toast cta rail topbar".split())
-HEAD_WORDS = frozenset("header topnav masthead".split())  # outside an article
+SURE = frozenset("breadcrumb breadcrumbs commentlist comments consent cookie cookies disqus gdpr masthead menubar modal navbar navigation newsletter pager pagination popup sidebar skip sponsored toolbar".split())
+MAYBE = frozenset("ad ads adv advert advertisement adverts advertising alert banner comment cta footer hidden login menu nav notice notices notification overlay promo promoted promotion rail recommended related replies reply respond search share sharing signup social sponsor subscribe subscription toast topbar widget widgets".split())
+HEAD_WORDS = frozenset("header topnav".split())  # outside an article
+PLAIN = frozenset("area bar block body bottom box center col column container content first global group holder inner item items last left list main outer page panel post right row section site slot small the thread top unit user wide wrap wrapper".split())
 JUNK_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 MAIN_WORDS = frozenset("article articlebody entry post story".split())
 RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|textarea|iframe|svg|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.DOTALL | re.IGNORECASE)
@@ -53,237 +62,232 @@ ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([
 OPEN, MAIN, WEAK, JUNKED = 0, 1, 2, 3
 
 
-def _role(tag: str, attributes: str, parent: int) -> int:
+def _names(found: dict[str, str]) -> list[list[str]]:
+    """Each class name and the id, as its words."""
+    return [[w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", n).lower()) if w] for n in [*found.get("class", "").split(), found.get("id", "")]]
+
+
+def _role(tag: str, attributes: str, parent: int) -> tuple[int, str | None]:
+    """Role of an element, and its class names if they make it a suspect.
+
+    A name counts if, beside words of layout, it is made of such words only: ad-box does, social-science doesn't.
+    """
     if parent == JUNKED or tag in JUNK or tag == "header" and parent != MAIN:
-        return JUNKED
-    role = parent
+        return JUNKED, None
+    role, suspect = parent, None
     if tag in ("article", "main"):
         role = MAIN
     if attributes and not attributes.isspace():
         found = {m[1].lower(): next((x for x in m.groups()[1:] if x is not None), "") for m in ATTRIBUTE.finditer(attributes)}
         if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
-            return JUNKED
-        names = set(re.findall(r"[a-z]+", f"{found.get('class', '')} {found.get('id', '')}".lower()))
-        if found.get("role", "").lower() in JUNK_ROLES or tag not in ("html", "body", "article", "main") and names & JUNK_WORDS:
-            return JUNKED
-        if role == OPEN and names & HEAD_WORDS and not names & MAIN_WORDS:
-            return JUNKED
+            return JUNKED, None
+        if found.get("role", "").lower() in JUNK_ROLES:
+            return JUNKED, None
+        names = _names(found)
+        if tag not in ("html", "body", "main"):
+            maybe = MAYBE | HEAD_WORDS if role == OPEN and not any(w in MAIN_WORDS for name in names for w in name) else MAYBE
+            told = [{w for w in name if w in SURE or w in maybe} for name in names if all(w in SURE or w in maybe or w in PLAIN for w in name)]
+            if any(t & SURE for t in told):
+                return JUNKED, None
+            if any(told):
+                suspect = " ".join(sorted("-".join(name) for name in names))
         if role != MAIN and found.get("itemprop") == "articleBody" or found.get("role") in ("main", "article"):
             role = MAIN
-        elif role == OPEN and names & MAIN_WORDS:
+        elif role == OPEN and any(len(n) == 1 and n[0] in MAIN_WORDS for n in names):
             role = WEAK
-    return role
-
-
-def blocks(html: str | None) -> list[tuple[int, str]]:
-    """(role, text) of the blocks of a page that have text, in page order."""
-    out: list[tuple[int, str]] = []
-    if not html:
-        return out
-    stack: list[tuple[str, int]] = []
-    role, text = OPEN, []
-
-    def flush() -> None:
-        joined = " ".join(unescape("".join(text)).split())
-        text.clear()
-        if joined:
-            out.append((role, joined))
-
-    for m in PART.finditer(RAW.sub("", html)):
-        if m[7] is not None:
-            text.append(m[7])
-            continue
-        tag = m[2] or m[5]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if m[1] or m[4]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if at is None:
-                if tag in BLOCK:
+    return role, suspect
+
+
+class Page:
+    """Blocks of a page: lists of pieces (role, numbers of the suspects around it, text); and its structure.
+
+    A block is one whatever inline elements it holds.
+    """
+
+    def __init__(self, html: str | None) -> None:
+        self.blocks: list[list[tuple[int, tuple[int, ...], str]]] = []
+        self.structure: list[str] = []
+        self.suspects: list[int] = []  # where each suspect's tag stands in the structure
+        if html:
+            self._parse(html)
+        top = next((r for r in (MAIN, WEAK) if any(p[0] == r for b in self.blocks for p in b)), MAIN)
+        self.top = top
+
+    def _parse(self, html: str) -> None:
+        stack: list[tuple[str, int, tuple[int, ...]]] = []
+        role, around = OPEN, ()
+        pieces: list[tuple[int, tuple[int, ...], str]] = []
+
+        def flush() -> None:
+            if any(not p[2].isspace() for p in pieces):
+                self.blocks.append(list(pieces))
+            pieces.clear()
+
+        for m in PART.finditer(RAW.sub("", html)):
+            if m[7] is not None:
+                if role != JUNKED:
+                    pieces.append((role, around, m[7]))
+                continue
+            tag = m[2] or m[5]
+            if tag is None:
+                continue
+            tag = tag.lower()
+            if m[1] or m[4]:
+                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+                if tag in BLOCK or at is not None and any(t in BLOCK for t, *_ in stack[at:]):
                     flush()
+                    self.structure.append("/" + tag)
+                if at is not None:
+                    del stack[at:]
+                    _, role, around = stack[-1] if stack else ("", OPEN, ())
                 continue
-            if tag in BLOCK or any(t in BLOCK for t, _ in stack[at:]):
-                flush()
-            elif tag not in BLOCK and any(r != role for _, r in stack[at:]):
-                flush()
-            del stack[at:]
-            now = stack[-1][1] if stack else OPEN
-            if now != role:
+            if tag == "br":
+                if role != JUNKED:
+                    pieces.append((role, around, " "))
+                continue
+            if tag in BLOCK:
                 flush()
-            role = now
-            continue
-        if tag == "br":
-            text.append(" ")
-            continue
-        if tag in BLOCK:
-            flush()
-            if tag == "body":  # ends an open head
-                stack = [x for x in stack if x[0] == "html"]
-                role = OPEN
-            elif tag in ("p", "li", "option", "dt", "dd") and stack:  # these end their like
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in BLOCK:
-                        break
-                role = stack[-1][1] if stack else OPEN
-        if tag in VOID:
-            continue
-        now = _role(tag, m[3] or m[6] or "", role)
-        if now != role:
-            flush()
-        stack.append((tag, now))
-        role = now
-    flush()
-    return out
-
-
-def covered_tokens(streams: list[np.ndarray], pages: list[int], run: int = RUN) -> list[np.ndarray]:
-    """For each stream of token ids, which tokens lie in a run of at least ``run`` tokens that a stream of another page has too.
-
-    The suffixes of the concatenated streams are sorted by prefix doubling up to the run's length.
-    """
-    if not streams:
-        return []
-    n = sum(map(len, streams))
-    total = n + len(streams)
-    ids = np.empty(total, np.int64)
-    page = np.empty(total, np.int64)
-    left = np.empty(total, np.int64)  # tokens up to the stream's end
-    at, begins = 0, []
-    for i, (s, p) in enumerate(zip(streams, pages, strict=True)):
-        begins.append(at)
-        ids[at : at + len(s)] = s
-        ids[at + len(s)] = -1 - i  # its own end mark, equal to nothing else
-        page[at : at + len(s) + 1] = p
-        left[at : at + len(s) + 1] = np.arange(len(s), -1, -1)
-        at += len(s) + 1
-    rank = np.unique(ids, return_inverse=True)[1]
-    length = 1
-    while length < run:
-        step = min(length, run - length)
-        after = np.full(total, -1, np.int64)
-        after[: total - step] = rank[step:]
-        rank = np.unique(rank * (total + 1) + after + 1, return_inverse=True)[1]
-        length += step
-    order = np.argsort(rank, kind="stable")  # the suffix array, up to the run's length
-    sorted_rank, sorted_page = rank[order], page[order]
-    edge = np.flatnonzero(np.diff(sorted_rank)) + 1
-    starts = np.concatenate([[0], edge])
-    sizes = np.diff(np.concatenate([starts, [total]]))
-    low, high = np.minimum.reduceat(sorted_page, starts), np.maximum.reduceat(sorted_page, starts)
-    shared = np.repeat(low != high, sizes)
-    hit = np.zeros(total + run, np.int64)
-    where = order[shared]
-    where = where[left[where] >= run]
-    np.add.at(hit, where, 1)
-    np.add.at(hit, where + run, -1)
-    inside = np.cumsum(hit)[:total] > 0
-    return [inside[b : b + len(s)] for b, s in zip(begins, streams, strict=True)]
-
-
-def main_texts(pages: list[tuple[int | None, str | None]], run: int = RUN) -> list[tuple[str, int, int]]:
-    """(text, tokens, covered tokens) of the pages (page_id, html) of one host."""
-    cut = [blocks(html) for _, html in pages]
-    numbers: dict[int | None, int] = {}
-    owner = [numbers.setdefault(p, len(numbers)) for p, _ in pages]
-    vocabulary: dict[str, int] = {}
-    streams, bounds = [], []
-    for page in cut:
-        ids: list[int] = []
-        bound = [0]
-        for _, text in page:
-            ids += [vocabulary.setdefault(w, len(vocabulary)) for w in text.split()]
-            bound.append(len(ids))
-        streams.append(np.array(ids, np.int64))
-        bounds.append(bound)
-    covered = covered_tokens(streams, owner, run)
-    return [(_kept(page, bound, mask), len(mask), int(mask.sum())) for page, bound, mask in zip(cut, bounds, covered, strict=True)]
-
-
-def _kept(page: list[tuple[int, str]], bound: list[int], mask: np.ndarray) -> str:
-    best = next((r for r in (MAIN, WEAK) if any(role == r for role, _ in page)), OPEN)
-    if best == OPEN:
-        return "\n".join(t for i, (role, t) in enumerate(page) if role == OPEN and mask[bound[i] : bound[i + 1]].mean() < COVERED)
-    return "\n".join(t for role, t in page if role == best)
-
-
-def _windows(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
-    """(k, owner, rid, at): the hash of every run tokens of a page, and where it starts."""
-    for batch in batches:
-        for host, markup, owner, rid in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "owner", "rid")), strict=True):
-            words = [w.encode("utf-8", "replace") for _, t in blocks(markup) for w in t.split()]
-            k = textkit.rolling(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), run)
-            if len(k):
-                k = textkit.mix(k ^ np.uint64(xxhash.xxh64_intdigest(host.encode()))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(len(k), owner)), pa.array(np.full(len(k), rid)), pa.array(np.arange(len(k), dtype=np.int32))], ["k", "owner", "rid", "at"])
-
-
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, at) of the hashes that distinct pages have, in a partition that is sorted by k."""
-    for batch in spread.runs(batches, "k"):
-        k, owner = batch.column("k").to_numpy(), batch.column("owner").to_numpy()
-        starts = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1])
-        shared = np.minimum.reduceat(owner, starts) != np.maximum.reduceat(owner, starts)
-        hit = np.repeat(shared, np.diff(np.concatenate([starts, [len(k)]])))
-        if hit.any():
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column("rid").to_numpy()[hit]), pa.array(batch.column("at").to_numpy()[hit])], ["rid", "at"])
+                if tag == "body":  # ends an open head
+                    stack = [x for x in stack if x[0] == "html"]
+                    role, around = OPEN, ()
+                elif tag in ("p", "li", "option", "dt", "dd") and stack:  # these end their like
+                    for i in range(len(stack) - 1, -1, -1):
+                        if stack[i][0] == tag:
+                            del stack[i:]
+                            break
+                        if stack[i][0] in BLOCK:
+                            break
+                    _, role, around = stack[-1] if stack else ("", OPEN, ())
+            if tag in VOID:
+                continue
+            role, suspect = _role(tag, m[3] or m[6] or "", role)
+            if suspect is not None:
+                around = (*around, len(self.suspects))
+                self.suspects.append(len(self.structure))
+                self.structure.append(f"{tag} {suspect}")
+            elif tag in BLOCK:
+                self.structure.append(tag)
+            stack.append((tag, role, around))
+        flush()
+
+    def text(self, gone: set[int] = frozenset(), covered: set[int] = frozenset()) -> str:
+        """The main text without the suspects that are gone and the blocks that are covered."""
+        out = []
+        for i, block in enumerate(self.blocks):
+            if i not in covered:
+                joined = " ".join(unescape("".join(t for _, around, t in block if not gone.intersection(around))).split())
+                if joined:
+                    out.append(joined)
+        return "\n".join(out)
+
+    def asked(self) -> tuple[list[str], list[int], list[int]]:
+        """(words, first word of each asked block, number of each asked block): blocks outside the article."""
+        words, first, number = [], [], []
+        for i, block in enumerate(self.blocks):
+            if all(role != self.top for role, *_ in block):
+                own = unescape("".join(t for *_, t in block)).split()
+                if own:
+                    first.append(len(words))
+                    number.append(i)
+                    words += own
+        return words, [*first, len(words)], number
+
+
+class Windows:
+    """A page's suffixes, as hashes that are equal where the host and the first tokens are."""
+
+    def __init__(self, page: Page, host: str, run: int, tag_run: int, sparse: int) -> None:
+        salt = xxhash.xxh64_intdigest(host.encode("utf-8", "replace"))
+        of = lambda x: xxhash.xxh64_intdigest(x.encode("utf-8", "replace"), salt)
+        self.host = of("\x00")
+        pad = [""] * (tag_run - 1)
+        tags = [*pad, *page.structure, *pad]
+        self.slots = [[of("\x01".join(tags[j : j + tag_run])) for j in range(at, at + tag_run)] for at in page.suspects]
+        self.words, self.first, self.number = page.asked()
+        h = np.fromiter(map(of, self.words), np.uint64, len(self.words))
+        k = textkit.rolling(h, run)
+        self.at = minimizers(k, sparse)
+        self.k = k[self.at]
+
+    def all(self) -> np.ndarray:
+        return np.unique(np.concatenate([np.array([self.host, *(k for slot in self.slots for k in slot)], np.uint64), self.k])).view(np.int64)
+
+    def decide(self, page: Page, repeated: np.ndarray, run: int) -> tuple[str, int, int]:
+        """(text, asked words, covered words), given which suffixes other pages have (sorted)."""
+        seen = lambda k: np.isin(np.array(k, np.uint64).view(np.int64), repeated)
+        alone = not seen([self.host])[0]
+        gone = {i for i, slot in enumerate(self.slots) if alone or seen(slot).any()}
+        edge = np.zeros(len(self.words) + run + 1, np.int64)
+        hits = self.at[seen(self.k)]
+        np.add.at(edge, hits, 1)
+        np.add.at(edge, hits + run, -1)
+        mask = np.cumsum(edge)[: len(self.words)] > 0
+        covered = {n for n, a, z in zip(self.number, self.first[:-1], self.first[1:], strict=True) if mask[a:z].mean() >= COVERED}
+        return page.text(gone, covered), len(mask), int(mask.sum())
+
+
+def minimizers(k: np.ndarray, of: int = SPARSE) -> np.ndarray:
+    """Places that have the least value of some ``of`` consecutive ones (of all, if these are fewer), the leftmost on ties."""
+    if len(k) <= of:
+        return np.array([np.argmin(k)]) if len(k) else np.zeros(0, np.int64)
+    view = np.lib.stride_tricks.sliding_window_view(k, of)
+    return np.unique(np.argmin(view, axis=1) + np.arange(len(view)))
 
 
 def host_of(column: str):
     return F.lower(F.coalesce(F.regexp_extract(column, r"^[^/?#]*?://([^/?#]*)", 1), F.lit("")))
 
 
-def extracted(pages: DataFrame, run: int = RUN, chunk: int = CHUNK) -> DataFrame:
-    """(page_id, url, text, n_chars, n_tokens, n_covered) of every row of pages."""
-    slim = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of("url").alias("host"))
-    large = spread.durable(slim.groupBy("host").agg(F.sum(F.length("html")).alias("n")).where(F.col("n") > chunk).select("host"))
-    whole = slim.join(F.broadcast(large), "host", "left_anti").repartition("host").sortWithinPartitions("host")
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_tokens", pa.int64()), ("n_covered", pa.int64())])
-
-    def done(held: list[tuple]) -> pa.RecordBatch:
-        found = main_texts([(p, h) for p, _, h in held], run)
-        ids, urls, _ = zip(*held, strict=True)
-        texts = [x[0] for x in found]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64())], schema=schema)
-
-    def run_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, host = [], None
-        for batch in batches:
-            for page_id, url, html, h in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "host")), strict=True):
-                if held and h != host:
-                    yield done(held)
-                    held = []
-                host = h
-                held.append((page_id, url, html))
-        if held:
-            yield done(held)
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, urls, texts, counts = [], [], [], []
-            for page_id, url, markup, places in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "places")), strict=True):
-                page = blocks(markup)
-                bound = np.cumsum([0, *(len(t.split()) for _, t in page)])
-                edge = np.zeros(bound[-1] + 1, np.int64)
-                for at in set(places or ()):
-                    edge[at] += 1
-                    edge[at + run] -= 1
-                mask = np.cumsum(edge)[:-1] > 0
-                ids.append(page_id)
-                urls.append(url)
-                texts.append(_kept(page, bound, mask))
-                counts.append((len(mask), int(mask.sum())))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array([n for n, _ in counts], pa.int64()), pa.array([c for _, c in counts], pa.int64())], schema=schema)
-
-    kind = "page_id long, url string, text string, n_chars long, n_tokens long, n_covered long"
-    out = whole.mapInArrow(run_hosts, kind)
-    if large.isEmpty():
-        return out
-    spread_out = slim.join(F.broadcast(large), "host", "left_semi").withColumns({"owner": F.xxhash64("page_id"), "rid": F.xxhash64("host", "page_id", "html")})
-    keyed = spread_out.select("host", "html", "owner", "rid").mapInArrow(lambda b: _windows(b, run), "k long, owner long, rid long, at int")
-    again = keyed.repartition("k").sortWithinPartitions("k").mapInArrow(_repeated, "rid long, at int").groupBy("rid").agg(F.collect_set("at").alias("places"))
-    return out.unionByName(spread_out.join(again, "rid", "left").select("page_id", "url", "html", "places").mapInArrow(judge, kind))
+def _marks(batches: Iterator[pa.RecordBatch], run: int, tag_run: int, sparse: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            marks = [Windows(Page(markup), host, run, tag_run, sparse).all() for host, markup in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("rid"), pa.array(marks, pa.list_(pa.int64()))], ["rid", "ks"])
+
+
+def _judge(batches: Iterator[pa.RecordBatch], hot: np.ndarray, run: int, tag_run: int, sparse: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            found = []
+            for host, markup, more in zip(*(part.column(c).to_pylist() for c in ("host", "html", "more")), strict=True):
+                page = Page(markup)
+                repeated = np.union1d(hot, np.array(more, np.int64)) if more else hot
+                found.append(Windows(page, host, run, tag_run, sparse).decide(page, repeated, run))
+            texts = [x[0] for x in found]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64())],
+                ["page_id", "url", "text", "n_chars", "n_asked", "n_covered"],
+            )
+
+
+def extracted(pages: DataFrame, run: int = RUN, tag_run: int = TAG_RUN, sparse: int = SPARSE, hot: int = HOT) -> DataFrame:
+    """(page_id, url, text, n_chars, n_asked, n_covered) of every row of pages; the last two count the words that were asked and that are covered."""
+    markup = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), markup.alias("html"), host_of("url").alias("host"))
+    owner = F.xxhash64(F.coalesce(F.col("page_id"), F.xxhash64("html")))
+    own = F.xxhash64("host", "page_id", "html").bitwiseAND(F.lit(0xFFFFFFFF))
+    slim = slim.withColumn("rid", F.shiftleft(F.shiftrightunsigned(owner, 32), 32).bitwiseOR(own))
+    marks = spread.durable(slim.select("rid", "host", "html").mapInArrow(lambda b: _marks(b, run, tag_run, sparse), "rid long, ks array<long>"))
+    one = marks.select("rid", F.explode("ks").alias("k"))
+    page = F.shiftrightunsigned("rid", 32)
+    counts = one.groupBy("k").agg(F.count("*").alias("n"), F.min(page).alias("low"), F.max(page).alias("high")).where("low <> high").select("k", "n")
+    repeated = spread.durable(counts)
+    total = marks.agg(F.sum(F.size("ks"))).first()[0] or 0
+    least = max(2, -(-total // hot))  # at most ``hot`` suffixes stand in that many pages
+    often = np.sort(np.array([r["k"] for r in repeated.where(F.col("n") >= least).select("k").collect()], np.int64))
+    rare = repeated.where(F.col("n") < least).select("k")
+    back = spread.durable(one.join(rare, "k").groupBy("rid").agg(F.collect_set("k").alias("more")))
+    table = spread.bitmap(back.select(F.col("rid").alias("h")))
+
+    @F.arrow_udf("boolean")
+    def maybe(rid: pa.Array) -> pa.Array:
+        return pa.array(spread.inside(table, rid.to_numpy(zero_copy_only=False)))
+
+    kind = "page_id long, url string, text string, n_chars long, n_asked long, n_covered long"
+    marked = slim.withColumn("maybe", maybe(F.col("rid")))
+    stay = marked.where(~F.col("maybe")).withColumn("more", F.lit(None).cast("array<long>"))
+    asked = marked.where("maybe").join(back, "rid", "left")
+    columns = ["page_id", "url", "html", "host", "more"]
+    return stay.select(columns).unionByName(asked.select(columns)).mapInArrow(lambda b: _judge(b, often, run, tag_run, sparse), kind)
