@@ -439,32 +439,52 @@ def test_similarity_is_over_characters_at_every_length():
 
 
 def brute_line_dedup(rows):
-    """Texts without the later lines of each group, from all pairs of normal lines."""
-    held = [(r["doc_id"], i, x.decode()) for r in rows for i, x in enumerate(lines.normal_lines(r["text"])) if x]
-    forms = sorted({x for *_, x in held})
-    sims = lines.simhashes([x.encode() for x in forms])
+    """Texts without the later lines of each group: every pair of lines inside a bucket's candidate group is compared."""
+    row_hash = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64))
+    named = {(r["doc_id"], r["text"]) for r in rows if r["text"]}
+    held = [(d is None, d or 0, i, row_hash(t), x.decode(), d, t) for d, t in named for i, x in enumerate(lines.normal_lines(t)) if x]
+    forms = sorted({x[4] for x in held})
+    sims, keys = lines.signatures([x.encode() for x in forms])
+    keys = keys.to_pylist()
     group = {x: x for x in forms}
 
-    def find(x):
+    def find(group, x):
         while group[x] != x:
             x = group[x]
         return x
 
-    for i, a in enumerate(forms):
-        for j in range(i):
-            b = forms[j]
-            if int(sims[i] ^ sims[j]).bit_count() <= lines.DISTANCE:
-                x, y = (a, b) if max(len(a), len(b)) <= lines.LONG else (a.split(" "), b.split(" "))
-                if lines.edit_distance(x, y, max(len(x), len(y))) <= max(len(x), len(y)) * 0.2 + 1e-9:
-                    group[find(a)] = find(b)
+    buckets = defaultdict(list)
+    for i in range(len(forms)):
+        for k in set(keys[i]):
+            buckets[k].append(i)
+    for k, members in buckets.items():
+        near = {i: i for i in members}
+        for i in members:
+            for j in members:
+                if int(sims[i] ^ sims[j]).bit_count() <= (lines.NEAR_SHORT if k & 1 else lines.NEAR):
+                    near[find(near, i)] = find(near, j)
+        for i in members:
+            for j in members:
+                a, b = forms[i], forms[j]
+                most = int(max(len(a), len(b)) * 0.2 + 1e-9)
+                if i < j and find(near, i) == find(near, j) and lines.edit_distance(a, b, most) <= most:
+                    group[find(group, a)] = find(group, b)
     first = {}
-    for d, i, x in held:
-        first[find(x)] = min(first.get(find(x), (1 << 60, 0)), (1 << 59 if d is None else d, i))
-    gone = {(d, i) for d, i, x in held if first[find(x)] != (1 << 59 if d is None else d, i)}
-    return [(r["doc_id"], r["text"] if r["text"] is None else "\n".join(x for i, x in enumerate(r["text"].split("\n")) if (r["doc_id"], i) not in gone)) for r in rows]
+    for x in held:
+        root = find(group, x[4])
+        first[root] = min(first.get(root, x[:4]), x[:4])
+    gone = {(d, t, at) for *place, x, d, t in held for at in (place[2],) if first[find(group, x)] != tuple(place)}
+    return [(r["doc_id"], r["text"] if r["text"] is None else "\n".join(x for i, x in enumerate(r["text"].split("\n")) if (r["doc_id"], r["text"], i) not in gone)) for r in rows]
+
+
+def changed(words, n, rnd):
+    words = list(words)
+    for at in rnd.sample(range(len(words)), n):
+        words[at] = rnd.choice(VOCABULARY)
+    return words
 
 
-def test_line_dedup_equals_all_pairs(spark, docs, none):
+def test_line_dedup_equals_brute_force(spark, docs, none):
     rnd = random.Random(21)
     base = [sentence(rnd.randint(1, 45), 300 + i) for i in range(40)]
     rows = []
@@ -475,15 +495,45 @@ def test_line_dedup_equals_all_pairs(spark, docs, none):
             if rnd.random() < 0.5 and len(line) > 8:
                 at = rnd.randrange(len(line))
                 line = line[:at] + rnd.choice("xyz0") + line[at + 1 :]
-            parts.append(rnd.choice([line, line.upper(), "  " + line, line.replace(" ", " | ")]))
-        rows.append((d, "\n".join(parts)))
-    frame = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND doc_id <> 3").union(spark.createDataFrame([(1000 + d, t) for d, t in rows], "doc_id bigint, text string"))
-    got = sorted((r["doc_id"], r["text"] or "") for r in lines.without_repeats(frame).collect())
-    want = sorted((d, t or "") for d, t in brute_line_dedup(frame.collect()))
+            elif rnd.random() < 0.5:
+                words = line.split()
+                line = " ".join(changed(words, len(words) // 10, rnd))
+            parts.append(rnd.choice([line, line.upper(), "  " + line, line.replace(" ", " | "), "-----", "---- --"]))
+        rows.append((1000 + d, "\n".join(parts)))
+    own = [(None, base[0] + "\nwholly different text stands here"), (None, "another text without a name\n" + base[0]), (7, base[1] + "\nmy own words that nobody has"), (7, "first of another text\nclosing words unlike it"), (7, "first of another text\nclosing words unlike it")]
+    frame = docs.select("doc_id", "text").union(spark.createDataFrame(rows + own, "doc_id bigint, text string"))
+    out = lines.without_repeats(frame).collect()
+    got = sorted((r["doc_id"] or -1, r["text"] or "") for r in out)
+    want = sorted((d or -1, t or "") for d, t in brute_line_dedup(frame.collect()))
     assert got == want
-    assert sum(r["n_cut"] for r in lines.without_repeats(frame).collect()) > 100
-    small = sorted((r["doc_id"], r["text"] or "") for r in lines.without_repeats(frame, group=3).collect())
+    kept = "\n".join(t for _, t in got)
+    assert all(x in kept for x in ("wholly different text stands here", "another text without a name", "my own words that nobody has", "closing words unlike it"))
+    assert sum(r["n_cut"] for r in out) > 100
+    small = sorted((r["doc_id"] or -1, r["text"] or "") for r in lines.without_repeats(frame, group=3).collect())
     assert small == want
-    out = lines.without_repeats(docs)
-    assert set(out.columns) == {*docs.columns, "n_cut"} and out.count() == docs.count()
-    assert lines.without_repeats(none).count() == 0
+    empty = lines.without_repeats(none)
+    assert set(empty.columns) == {*docs.columns, "n_cut"} and empty.count() == 0
+
+
+@pytest.mark.parametrize(("low", "high", "most"), [(5, 8, 1), (9, 15, 1), (16, 30, 3), (31, 80, 6), (81, 250, 16)])
+def test_blocks_find_nine_of_ten_changed_lines(low, high, most):
+    rnd, pairs = random.Random(low), []
+    for _ in range(400):
+        words = rnd.choices(VOCABULARY, k=rnd.randint(low, high))
+        a, b = " ".join(words), " ".join(changed(words, rnd.randint(1, most), rnd))
+        if a != b and brute_distance(a, b) <= 0.2 * max(len(a), len(b)):
+            pairs.append((a, b))
+    sims, keys = lines.signatures([x.encode() for pair in pairs for x in pair])
+    keys = keys.to_pylist()
+    bits = [int(sims[i] ^ sims[i + 1]).bit_count() for i in range(0, len(keys), 2)]
+    met = [any(d <= (lines.NEAR_SHORT if k & 1 else lines.NEAR) for k in {*keys[2 * i]} & {*keys[2 * i + 1]}) for i, d in enumerate(bits)]
+    assert len(pairs) > 200 and sum(met) >= 0.9 * len(met)
+
+
+def test_a_large_group_of_variants_is_walked_from_its_first_text(spark):
+    words = sentence(40, 77).split()
+    rows = [(i, " ".join([*words[:20], f"variant{i:04d}", *words[20:]])) for i in range(400)]
+    links = lines._similar(spark.createDataFrame([(1, i, t) for i, t in rows], "gid long, h long, line string"), 0.8, 20)
+    assert links.count() < 1200
+    got = lines.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), group=20)
+    assert got.where("text <> ''").count() == 1

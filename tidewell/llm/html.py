@@ -212,9 +212,17 @@ class Windows:
     def all(self) -> np.ndarray:
         return np.unique(np.concatenate([np.array([self.host, *(k for slot in self.slots for k in slot)], np.uint64), self.k])).view(np.int64)
 
-    def decide(self, page: Page, repeated: np.ndarray, run: int) -> tuple[str, int, int]:
-        """(text, asked words, covered words), given which suffixes other pages have (sorted)."""
-        seen = lambda k: np.isin(np.array(k, np.uint64).view(np.int64), repeated)
+    def decide(self, page: Page, often: np.ndarray, run: int, more: list[int] | None = None) -> tuple[str, int, int]:
+        """(text, asked words, covered words), given which suffixes other pages have: those that are frequent (sorted), and more."""
+        rare = np.array(more or [], np.int64)
+
+        def seen(k: list[int] | np.ndarray) -> np.ndarray:
+            k = np.array(k, np.uint64).view(np.int64)
+            found = np.isin(k, rare)
+            if len(often):
+                found |= often[np.minimum(np.searchsorted(often, k), len(often) - 1)] == k
+            return found
+
         alone = not seen([self.host])[0]
         gone = {i for i, slot in enumerate(self.slots) if alone or seen(slot).any()}
         edge = np.zeros(len(self.words) + run + 1, np.int64)
@@ -246,15 +254,14 @@ def _marks(batches: Iterator[pa.RecordBatch], run: int, tag_run: int, sparse: in
             yield pa.RecordBatch.from_arrays([part.column("rid"), pa.array(marks, pa.list_(pa.int64()))], ["rid", "ks"])
 
 
-def _judge(batches: Iterator[pa.RecordBatch], hot: np.ndarray, run: int, tag_run: int, sparse: int) -> Iterator[pa.RecordBatch]:
+def _judge(batches: Iterator[pa.RecordBatch], often: np.ndarray, run: int, tag_run: int, sparse: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
             found = []
             for host, markup, more in zip(*(part.column(c).to_pylist() for c in ("host", "html", "more")), strict=True):
                 page = Page(markup)
-                repeated = np.union1d(hot, np.array(more, np.int64)) if more else hot
-                found.append(Windows(page, host, run, tag_run, sparse).decide(page, repeated, run))
+                found.append(Windows(page, host, run, tag_run, sparse).decide(page, often, run, more))
             texts = [x[0] for x in found]
             yield pa.RecordBatch.from_arrays(
                 [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64())],
@@ -276,18 +283,13 @@ def extracted(pages: DataFrame, run: int = RUN, tag_run: int = TAG_RUN, sparse:
     repeated = spread.durable(counts)
     total = marks.agg(F.sum(F.size("ks"))).first()[0] or 0
     least = max(2, -(-total // hot))  # at most ``hot`` suffixes stand in that many pages
-    often = np.sort(np.array([r["k"] for r in repeated.where(F.col("n") >= least).select("k").collect()], np.int64))
+    frequent = repeated.where(F.col("n") >= least).select("k")
+    often = np.sort(np.array([r["k"] for r in frequent.collect()], np.int64))
     rare = repeated.where(F.col("n") < least).select("k")
-    back = spread.durable(one.join(rare, "k").groupBy("rid").agg(F.collect_set("k").alias("more")))
-    table = spread.bitmap(back.select(F.col("rid").alias("h")))
-
-    @F.arrow_udf("boolean")
-    def maybe(rid: pa.Array) -> pa.Array:
-        return pa.array(spread.inside(table, rid.to_numpy(zero_copy_only=False)))
-
+    back = spread.durable(one.join(F.broadcast(frequent), "k", "left_anti").join(rare, "k").groupBy("rid").agg(F.collect_set("k").alias("more")))
+    asked, stay = spread.split_by(slim, F.col("rid"), back.select(F.col("rid").alias("h")))
     kind = "page_id long, url string, text string, n_chars long, n_asked long, n_covered long"
-    marked = slim.withColumn("maybe", maybe(F.col("rid")))
-    stay = marked.where(~F.col("maybe")).withColumn("more", F.lit(None).cast("array<long>"))
-    asked = marked.where("maybe").join(back, "rid", "left")
     columns = ["page_id", "url", "html", "host", "more"]
+    stay = stay.withColumn("more", F.lit(None).cast("array<long>"))
+    asked = asked.join(back, "rid", "left")
     return stay.select(columns).unionByName(asked.select(columns)).mapInArrow(lambda b: _judge(b, often, run, tag_run, sparse), kind)

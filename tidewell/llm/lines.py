@@ -1,46 +1,49 @@
 """Fuzzy line dedup: SimHash, pigeonhole blocks, edit similarity, one occurrence per group.
 
 Lines (text split at ``\\n``) are normalised: case folded, digits to ``0``, white
-space runs to one space, trimmed. Equal normal forms are one line. A 64-bit SimHash over
-words and word pairs is cut into blocks; two hashes at most DISTANCE bits apart agree
-on all but DISTANCE of them, whichever bits differ, so every choice of that many blocks is a
-key, and whole distances are verified inside each key's bucket. There are four blocks, or more where more
-lines would fill the buckets; what is found is the same. What remains is
+space runs to one space, trimmed. Equal normal forms are one line. A line's words of letters and digits are its features.
+They are dealt to blocks by their hash: a line that differs from another in fewer features than there are blocks agrees with
+it on some block, so every block's features, as a set with repeats, are a key. There are more blocks in longer lines and shorter lines are dealt
+several times over by different hashes, so that a block holds some three to five words (see FAMILIES); lines of up to five words are one block, and of three or four words all but one are. (Blocks of the SimHash's
+bits would lose most: one changed word in ten moves some eight bits of 64.) Inside a
+key's bucket, lines whose 64-bit SimHashes are connected by steps of NEAR bits form a candidate group. In it lines are
 verified by edit similarity, 1 - distance / longer length >= SIMILARITY, over
-characters at every length. Where a line is longer than LONG characters, a word distance that
-settles the matter by itself spares the one over characters.
+characters at every length; cheap bounds from above and below spare most of the distances.
 Connected lines are one group, and a group's first occurrence (doc_id, line) stays.
 
-Recall is that of the SimHash: a pair of lines further apart than DISTANCE bits is not
-looked at. Within it no link is lost and no pair list is built: bucket walks link every line once, and
-edit walks do the same over a group's texts, cut into pairs of blocks of GROUP texts so
-that a task holds two blocks at most.
+Recall is that of the blocks and of NEAR; README has the measured figures by length. No pair list is built: bucket walks link every line once, and
+edit walks do the same over a candidate group's texts. A group of more than GROUP texts is cut into blocks, each of which is walked with the
+group's first text; only texts that this doesn't connect with it are compared with the other blocks.
 
-Nulls, empty and ties: a null text stays null; lines without a word stay where
+Nulls, empty and ties: a null text stays null; blank lines stay where
 they are and belong to no group; repeated lines inside a document count like any others; rows that
-repeat a doc_id are the same document and lose the same lines; of rows without doc_id
+repeat both doc_id and text are the same document and lose the same lines, while another text under
+the same doc_id (or under none) is a document of its own; of rows without doc_id
 every line is a later occurrence than those of documents with one; columns other than text pass through.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
-from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import spread, textkit
 
-DISTANCE = 3
+#: Bits that lie between similar lines; in the buckets of short lines (odd keys), NEAR_SHORT.
+NEAR, NEAR_SHORT = 16, 22
 SIMILARITY = 0.8
 GROUP = 2000
-LONG = 256
+#: Lines of so many words (from, to) are dealt to so many blocks, so many times.
+#: A line within one word of a bound has the keys of both sides.
+FAMILIES = ((160, 1 << 30, 32, 1), (64, 159, 16, 1), (24, 63, 8, 1), (14, 23, 6, 1), (8, 13, 3, 2), (5, 7, 2, 3))
+SHORT = 5
 _DIGITS = bytes(0x30 if 0x31 <= c <= 0x39 else c for c in range(256))
 
 
@@ -55,116 +58,138 @@ def normal_lines(text: str | None) -> list[bytes]:
 _LANES = np.ascontiguousarray(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")).view(np.uint64).ravel()
 
 
-def simhashes(lines: list[bytes]) -> np.ndarray:
-    """SimHash of each normal line, over its words of letters and digits and their pairs."""
-    out = np.zeros(len(lines), np.uint64)
+def signatures(lines: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+    """SimHash of each normal line over its words of letters and digits, and its block keys."""
+    sim, rows, keys = np.zeros(len(lines), np.uint64), [], []
     for lo, data, offsets in textkit.blocks(pa.array(lines, pa.large_binary()), 1 << 18):
         starts, ends, first = textkit.words(data, offsets, textkit.PUNCT)
         h = textkit.span_hashes(data, starts, ends)
-        if not len(h):
-            continue
-        n = len(first) - 1
-        row = np.repeat(np.arange(n), np.diff(first))
-        # each word is followed by its pair with the next word, if that is of the same line
-        pair = np.concatenate([textkit.rolling(h, 2), np.zeros(1, np.uint64)])
-        paired = np.concatenate([row[1:] == row[:-1], [False]])
-        at = np.arange(len(h)) + np.cumsum(paired) - paired
-        features = np.empty(len(h) + int(paired.sum()), np.uint64)
-        features[at] = h
-        features[at[paired] + 1] = pair[paired]
-        per_row = np.bincount(row, 1 + paired, n).astype(np.int64)
-        begin = np.cumsum(per_row) - per_row
-        # sums of at most 255 features fit into the bytes of a word
-        pieces = -(-per_row // 255)
-        owner = np.repeat(np.arange(n), pieces)
-        piece = np.repeat(begin, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-        raw = features.view(np.uint8).reshape(-1, 8)
-        counts = np.empty((len(piece), 64), np.uint8)
-        for byte in range(8):
-            counts[:, 8 * byte : 8 * byte + 8] = np.add.reduceat(_LANES[raw[:, byte]], piece).view(np.uint8).reshape(-1, 8)
+        per_row = np.diff(first)
         full = np.flatnonzero(per_row)
-        ones = np.add.reduceat(counts, np.searchsorted(owner, full), axis=0, dtype=np.int64)
-        packed = np.packbits(2 * ones > per_row[full, None], axis=1, bitorder="little")
-        out[lo + full] = np.ascontiguousarray(packed).view(np.uint64).ravel()
-    return out
-
-
-def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, h, sim) of every line with a word; line counts from 0."""
-    kind = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("h", pa.int64()), ("sim", pa.int64())])
+        if len(full):
+            sim[lo + full] = _simhash(h, first, per_row, full)
+        for row, key in _block_keys(h, first, per_row):
+            rows.append(lo + row)
+            keys.append(key)
+        for i in np.flatnonzero(per_row == 0):  # punctuation only: its distinct characters are the one block
+            rows.append(np.array([lo + i]))
+            keys.append(np.array([xxhash.xxh64_intdigest("".join(sorted(set(lines[lo + i].decode()))).encode()) | 1], np.uint64))
+    row, key = np.concatenate([*rows, np.zeros(0, np.int64)]), np.concatenate([*keys, np.zeros(0, np.uint64)])
+    key = key[np.argsort(row, kind="stable")]
+    ends = np.cumsum(np.bincount(row, minlength=len(lines)))
+    return sim, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(key.view(np.int64)))
+
+
+def _simhash(h: np.ndarray, first: np.ndarray, per_row: np.ndarray, full: np.ndarray) -> np.ndarray:
+    # sums of at most 255 features fit into the bytes of a word
+    pieces = -(-per_row // 255)
+    owner = np.repeat(np.arange(len(per_row)), pieces)
+    piece = np.repeat(first[:-1], pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    raw = h.view(np.uint8).reshape(-1, 8)
+    counts = np.empty((len(piece), 64), np.uint8)
+    for byte in range(8):
+        counts[:, 8 * byte : 8 * byte + 8] = np.add.reduceat(_LANES[raw[:, byte]], piece).view(np.uint8).reshape(-1, 8)
+    ones = np.add.reduceat(counts, np.searchsorted(owner, full), axis=0, dtype=np.int64)
+    packed = np.packbits(2 * ones > per_row[full, None], axis=1, bitorder="little")
+    return np.ascontiguousarray(packed).view(np.uint64).ravel()
+
+
+def _block_keys(h: np.ndarray, first: np.ndarray, per_row: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, key of each) of every block that has a word."""
+    odd = h | np.uint64(1)
+    for low, high, n_blocks, times in FAMILIES:
+        chosen = (per_row >= low - 1) & (per_row <= high + 1)
+        rows = np.flatnonzero(chosen)
+        if not len(rows):
+            continue
+        own = odd[np.repeat(chosen, per_row)]
+        end = np.cumsum(per_row[rows])
+        for turn in range(times):
+            dealt = (textkit.mix(own + np.uint64(2 * turn + 2)) >> np.uint64(32)) % np.uint64(n_blocks)
+            for b in range(n_blocks):
+                total = np.concatenate([[np.uint64(0)], np.cumsum(np.where(dealt == b, own, np.uint64(0)), dtype=np.uint64)])
+                sums = total[end] - total[end - per_row[rows]]
+                held = sums != 0
+                yield rows[held], _named(sums[held] + np.uint64(n_blocks << 16 | turn << 8 | b), high <= 7)
+    # short lines: the whole, and, of three or four words, all but one
+    for n in range(1, SHORT + 1):
+        rows = np.flatnonzero(per_row == n)
+        if len(rows):
+            words = odd[first[rows][:, None] + np.arange(n)]
+            whole = words.sum(axis=1, dtype=np.uint64)
+            yield rows, _named(whole, True)
+            for k in range(n if n in (3, 4) else 0):
+                yield rows, _named(whole - words[:, k], True)
+
+
+def _named(sums: np.ndarray, short: bool) -> np.ndarray:
+    return textkit.mix(sums) >> np.uint64(1) << np.uint64(1) | np.uint64(short)
+
+
+def _units(docs: DataFrame) -> DataFrame:
+    """(h, n, sim, keys) of every distinct line, n being how often it occurs."""
+    kind = pa.schema([("h", pa.int64()), ("n", pa.int64()), ("sim", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                ids, at, lines = [], [], []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    for i, line in enumerate(normal_lines(text)):
-                        if line:
-                            ids.append(doc_id)
-                            at.append(i)
-                            lines.append(line)
-                if lines:
+                count = Counter(x for text in batch.column("text").slice(lo, 256).to_pylist() for x in normal_lines(text) if x)
+                if count:
+                    lines = list(count)
                     h = np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, len(lines)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(h), pa.array(simhashes(lines).view(np.int64))], schema=kind)
+                    sim, keys = signatures(lines)
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(list(count.values()), pa.int64()), pa.array(sim.view(np.int64)), keys], schema=kind)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, line int, h long, sim long")
+    lines = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, n long, sim long, keys array<long>")
+    return lines.groupBy("h").agg(F.sum("n").alias("n"), F.first("sim").alias("sim"), F.first("keys").alias("keys"))
 
 
-def blocks(count: int, distance: int = DISTANCE) -> int:
-    """The cheapest number of blocks for count hashes: more of them make more keys, and emptier buckets."""
-
-    def cost(n: int) -> float:
-        keys, width = comb(n, n - distance), 64 * (n - distance) / n
-        return 400e-9 * count * keys + 3e-9 * keys * count * count / 2**width / 2
-
-    return min(range(distance + 1, distance + 5), key=cost)
-
-
-def _keys(sim: Column, n: int) -> Column:
-    keys, cuts = [], [round(i * 64 / n) for i in range(n + 1)]
-    for k, chosen in enumerate(combinations(range(n), n - DISTANCE)):
-        mask = sum(((1 << cuts[b + 1]) - 1) ^ ((1 << cuts[b]) - 1) for b in chosen)
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.xxhash64(sim.bitwiseAND(F.lit(signed).cast("long")), F.lit(k)))
-    return F.array(*keys)
-
-
-def _near(values: np.ndarray) -> Iterator[np.ndarray]:
-    """Sets of two or more values connected by steps of at most DISTANCE bits."""
-    left = values
+def _near(values: np.ndarray, near: int) -> Iterator[np.ndarray]:
+    """Places of two or more values connected by steps of at most ``near`` bits."""
+    left = np.arange(len(values))
     while len(left):
         group, queue, left = [left[:1]], [left[0]], left[1:]
         while queue and len(left):
-            near = np.bitwise_count(left ^ queue.pop()) <= DISTANCE
-            if near.any():
-                group.append(left[near])
-                queue.extend(left[near])
-                left = left[~near]
+            hit = np.bitwise_count(values[left] ^ values[queue.pop()]) <= near
+            if hit.any():
+                group.append(left[hit])
+                queue.extend(left[hit])
+                left = left[~hit]
         if len(group) > 1:
             yield np.concatenate(group)
 
 
 def _bucket_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gid, sim) of the groups inside the buckets of a partition that is sorted by key; equal groups have equal ids."""
+    """(gid, h, n) of the candidate groups inside the buckets of a partition that is sorted by key; equal groups have equal ids.
+
+    Rows with n say how often a line occurs, and pass without gid.
+    """
     for batch in spread.runs(batches, "key"):
-        key = batch.column("key").to_numpy()
-        sim = batch.column("sim").to_numpy().view(np.uint64)
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
+        told = batch.column("n").is_valid().to_numpy(zero_copy_only=False)
+        key, h = batch.column("key").to_numpy(), batch.column("h").to_numpy()
+        if told.any():
+            yield pa.RecordBatch.from_arrays([pa.nulls(int(told.sum()), pa.int64()), pa.array(h[told]), batch.column("n").drop_null()], ["gid", "h", "n"])
+            key, h = key[~told], h[~told]
+        sim = batch.column("sim").to_numpy().view(np.uint64)[~told]
+        if len(key) < 2:
+            continue
+        starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
         sizes = np.diff(np.concatenate([starts, [len(key)]]))
-        gids, sims = [], []
+        most = np.where(key & 1, NEAR_SHORT, NEAR)
+        gids, members = [], []
         # most buckets have no two members near: those of up to 64 members are tried by shifting
         tried = np.zeros(len(sizes), bool)
         bucket = np.repeat(np.arange(len(sizes)), sizes)
         for d in range(1, int(min(64, sizes.max()))):
-            tried[bucket[:-d][(key[d:] == key[:-d]) & (np.bitwise_count(sim[d:] ^ sim[:-d]) <= DISTANCE)]] = True
+            tried[bucket[:-d][(key[d:] == key[:-d]) & (np.bitwise_count(sim[d:] ^ sim[:-d]) <= most[d:])]] = True
         for s in np.flatnonzero((sizes > 1) & (tried | (sizes > 64))):
-            for group in _near(sim[starts[s] : starts[s] + sizes[s]]):
-                group = np.sort(group)
+            for group in _near(sim[starts[s] : starts[s] + sizes[s]], most[starts[s]]):
+                group = np.sort(h[starts[s] + group])
                 gids.append(np.full(len(group), xxhash.xxh64_intdigest(group.tobytes()), np.uint64))
-                sims.append(group)
+                members.append(group)
         if gids:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(gids).view(np.int64)), pa.array(np.concatenate(sims).view(np.int64))], ["gid", "sim"])
+            m = np.concatenate(members)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(gids).view(np.int64)), pa.array(m), pa.nulls(len(m), pa.int64())], ["gid", "h", "n"])
 
 
 def edit_distance(a: Sequence, b: Sequence, limit: int) -> int:
@@ -210,41 +235,42 @@ def edit_distance(a: Sequence, b: Sequence, limit: int) -> int:
 
 
 class _Texts:
-    """Lines of a group, with what bounds their edit distances from below."""
+    """Lines of a group, with what bounds their edit distances."""
 
     def __init__(self, texts: list[str], similarity: float) -> None:
         self.texts, self.similarity = texts, similarity
-        self.words = [t.split(" ") if len(t) > LONG else None for t in texts]
+        self.words = [t.split(" ") for t in texts]
         self.n_chars = np.array([len(t) for t in texts])
-        self.widest = np.array([max(map(len, t.split(" "))) for t in texts])
         self.char_bins = np.stack([np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32) & 31, minlength=32) for t in texts]).astype(np.int32)
 
     def like(self, pivot: int, others: np.ndarray) -> list[int]:
         """Places in others of the lines whose edit similarity to the pivot is enough.
 
         One edit changes the size by at most 1 and the bins by at most 2, so most others need no comparison.
-        An edit of a word is one of at most its characters and a space, so few of them are within the limit for sure.
         """
         size, own = self.n_chars[others], self.n_chars[pivot]
         limit = (np.maximum(size, own) * (1 - self.similarity) + 1e-9).astype(np.int64)
         apart = np.abs(self.char_bins[others] - self.char_bins[pivot]).sum(1)
-        widest = np.maximum(self.widest[others], self.widest[pivot])
-        found = []
-        for i in np.flatnonzero((np.abs(size - own) <= limit) & (apart <= 2 * limit)):
-            a, b, most = self.texts[pivot], self.texts[others[i]], int(limit[i])
-            x, y = self.words[pivot], self.words[others[i]]
-            sure = most // (int(widest[i]) + 1)
-            if x and y and sure and edit_distance(x, y, sure) <= sure or edit_distance(a, b, most) <= most:
-                found.append(int(i))
-        return found
+        return [int(i) for i in np.flatnonzero((np.abs(size - own) <= limit) & (apart <= 2 * limit)) if self._near(pivot, others[i], int(limit[i]))]
+
+    def _near(self, i: int, j: int, limit: int) -> bool:
+        a, b = self.words[i], self.words[j]
+        while a and b and a[0] == b[0] and a[-1] == b[-1]:
+            head = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+            a, b = a[head:], b[head:]
+            tail = next((k for k, (x, y) in enumerate(zip(reversed(a), reversed(b), strict=False)) if x != y), min(len(a), len(b)))
+            a, b = a[: len(a) - tail], b[: len(b) - tail]
+        # changing each differing word whole, at its place, is one way of editing
+        if len(a) == len(b) and sum(max(len(x), len(y)) for x, y in zip(a, b, strict=True) if x != y) <= limit:
+            return True
+        return edit_distance(self.texts[i], self.texts[j], limit) <= limit
 
 
 def _edit_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) of line hashes that connect what is similar inside each group."""
+    """Links (a, b) of line hashes that connect what is similar inside each part."""
     for batch in spread.runs(batches, "part"):
-        part = batch.column("part").to_numpy()
-        h, sim = batch.column("h").to_numpy(), batch.column("sim").to_numpy().view(np.uint64)
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+        part, h = batch.column("part").to_numpy(), batch.column("h").to_numpy()
+        starts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
         a, b = [], []
         for lo, hi in zip(starts[:-1], starts[1:], strict=True):
             if hi - lo < 2:
@@ -255,8 +281,7 @@ def _edit_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterato
                 queue, left = [left[0]], left[1:]
                 while queue and len(left):
                     pivot = queue.pop()
-                    near = np.flatnonzero(np.bitwise_count(sim[lo + left] ^ sim[lo + pivot]) <= DISTANCE)
-                    hit = near[texts.like(pivot, left[near])]
+                    hit = texts.like(pivot, left)
                     if len(hit):
                         found = left[hit]
                         a += h[lo + found].tolist()
@@ -284,42 +309,92 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted, "h", "left_semi").dropDuplicates(["h"])
 
 
-def line_groups(docs: DataFrame, similarity: float = SIMILARITY, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
-    """(table, roots): (doc_id, line, h, sim) of lines that repeat or have a similar line, and (node, root) of the line hashes that have one."""
-    table = spread.durable(line_table(docs))
-    distinct = spread.durable(table.groupBy("h").agg(F.first("sim").alias("sim"), F.count("*").alias("n")))
-    sims = distinct.select("sim").distinct()
-    keyed = sims.select("sim", F.explode(_keys(F.col("sim"), blocks(distinct.count()))).alias("key"))
-    groups = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_groups, "gid long, sim long").distinct()
-    same = distinct.groupBy("sim").count().where("count > 1").select(F.xxhash64("sim", F.lit("same")).alias("gid"), "sim")
-    groups = spread.durable(groups.union(same))
-    wanted = spread.durable(distinct.select("h", "sim").join(groups.select("sim").distinct(), "sim", "left_semi"))
-    texts = wanted.join(_texts_of(docs, wanted.select("h")), "h")
-    members = spread.durable(groups.join(texts, "sim"))
-    # a group is cut into blocks of about `group` texts, and each pair of blocks is a part
-    sizes = members.groupBy("gid").count().select("gid", F.ceil(F.col("count") / group).cast("int").alias("blocks"))
-    members = members.join(sizes, "gid").withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    pairs = F.when(F.col("blocks") <= 2, F.array(F.lit(0))).otherwise(
-        F.transform(F.filter(others, lambda o: o != F.col("block")), lambda o: F.least(o, "block") * F.col("blocks") + F.greatest(o, "block")))
-    parts = members.withColumn("pair", F.explode(pairs)).select(F.xxhash64("gid", "pair").alias("part"), "h", "sim", "line")
-    links = parts.repartition("part").sortWithinPartitions("part").mapInArrow(lambda b: _edit_links(b, similarity), "a long, b long")
-    roots = spread.connected_components(links)
-    # lines that neither repeat nor have a similar line matter no more
-    alive = distinct.where("n > 1").select("h").union(roots.select("node")).distinct()
-    return table.join(alive, "h", "left_semi"), roots
+def _links(parts: DataFrame, similarity: float) -> DataFrame:
+    return parts.repartition("part").sortWithinPartitions("part", "h").mapInArrow(lambda b: _edit_links(b, similarity), "a long, b long")
+
+
+def _similar(members: DataFrame, similarity: float, group: int) -> DataFrame:
+    """Links (a, b) that connect what is similar inside each group of members (gid, h, line)."""
+    sizes = members.groupBy("gid").agg(F.count("*").alias("n"), F.min("h").alias("head")).withColumn("blocks", F.ceil(F.col("n") / group).cast("int"))
+    sizes = spread.durable(sizes.where("n > 1"))
+    small = members.join(sizes.where("blocks = 1").select("gid"), "gid").select(F.col("gid").alias("part"), "h", "line")
+    links = _links(small, similarity)
+    large = sizes.where("blocks > 1")
+    if large.isEmpty():
+        return links
+    dealt = spread.durable(spread.skewed_join(members, large, "gid", "n").withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")))
+    # each block is walked together with the group's first text
+    heads = dealt.where("h = head").select("gid", "h", "line", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    first = dealt.where("h <> head").select("gid", "h", "line", "block").unionByName(heads)
+    first = spread.durable(_links(first.select(F.xxhash64("gid", "block").alias("part"), "h", "line"), similarity))
+    roots = spread.durable(spread.connected_components(first))
+    root_of = lambda h, name: roots.select(F.col("node").alias(h), F.col("root").alias(name))
+    joined = dealt.join(root_of("h", "mine"), "h", "left").join(root_of("head", "first"), "head", "left")
+    apart = F.coalesce("mine", "h") != F.coalesce("first", "head")
+    joined = spread.durable(joined.select("gid", "h", "line", "block", "blocks", apart.alias("apart")))
+    # what that didn't connect with the first text is compared with all blocks
+    lone = joined.where("apart").withColumn("turn", F.lit(0))
+    if lone.isEmpty():
+        return links.union(first)
+    count = joined.where("apart").groupBy("gid").agg(F.ceil(F.count("*") / group).cast("int").alias("turns"), F.first("blocks").alias("__blocks"), F.lit(2).alias("n"))
+    turn = F.pmod(F.xxhash64("h", F.lit(1)), F.col("turns")).cast("int")
+    lone = lone.drop("turn").join(count.select("gid", "turns"), "gid").select("gid", "h", "line", turn.alias("turn"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    others = joined.join(count.select("gid", "turns"), "gid").select("gid", "h", "line", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "block")
+    both = lone.unionByName(others).dropDuplicates(["gid", "h", "turn", "block"])
+    return links.union(first).union(_links(both.select(F.xxhash64("gid", "turn", "block").alias("part"), "h", "line"), similarity))
+
+
+def line_groups(docs: DataFrame, similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
+    """(h, n, root) of the lines that occur n > 1 times or have a similar line; root is the least hash of their group."""
+    units = _units(docs)
+    # one more row says how often a line occurs, if more than once
+    often = F.when(F.col("n") > 1, F.array(F.struct(F.col("h").alias("key"), "n"))).otherwise(F.array())
+    keyed = F.transform("keys", lambda k: F.struct(k.alias("key"), F.lit(None).cast("long").alias("n")))
+    rows = units.select("h", "sim", F.explode(F.concat(keyed, often)).alias("x")).select("x.key", "h", "sim", "x.n")
+    found = spread.durable(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_groups, "gid long, h long, n long"))
+    groups = spread.durable(found.where("gid IS NOT NULL").select("gid", "h").distinct())
+    often = found.where("gid IS NULL").select("h", "n")
+    members = spread.durable(groups.join(_texts_of(docs, groups.select("h").distinct()), "h"))
+    roots = spread.connected_components(_similar(members, similarity, group))
+    both = often.withColumn("root", F.lit(None).cast("long")).unionByName(roots.select(F.col("node").alias("h"), F.lit(1).cast("long").alias("n"), "root"))
+    return both.groupBy("h").agg(F.max("n").alias("n"), F.coalesce(F.max("root"), F.col("h")).alias("root"))
+
+
+def _places(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, row, line, h) of the lines whose h may be in wanted; row is the hash of the text."""
+    table = spread.bitmap(wanted)
+    kind = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("line", pa.int32()), ("h", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                at, number, lines = [], [], []
+                for i, text in enumerate(part.column("text").to_pylist()):
+                    for k, line in enumerate(normal_lines(text)):
+                        if line:
+                            at.append(i)
+                            number.append(k)
+                            lines.append(line)
+                h = np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, len(lines)).view(np.int64)
+                keep = np.flatnonzero(spread.inside(table, h))
+                if len(keep):
+                    own = pa.array(np.array(at)[keep])
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(own), part.column("row").take(own), pa.array(np.array(number, np.int32)[keep]), pa.array(h[keep])], schema=kind)
+
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text")).mapInArrow(run, "doc_id long, row long, line int, h long")
 
 
 def later_lines(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, lines: sorted numbers of the lines that an earlier line of their group makes superfluous)."""
-    table, roots = line_groups(docs, **options)
-    # a document's own occurrences are put together first, so a line in many documents is one row for each of them
-    own = table.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("line")).alias("lines"))
-    named = own.join(roots, own.h == roots.node, "left").select("doc_id", "lines", F.coalesce("root", "h").alias("root"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("lines")[0].alias("line"))
-    first = named.groupBy("root").agg(F.min(order).alias("first"), F.sum(F.size("lines")).alias("n")).where("n > 1").select("root", "first")
-    drop = named.join(first, "root").select("doc_id", F.filter("lines", lambda x: ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (x == F.col("first.line")))).alias("lines"))
-    return drop.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list("lines"))).alias("lines")).where("size(lines) > 0")
+    """(doc_id, row, lines: sorted numbers of the lines that an earlier line of their group makes superfluous); row is the hash of the text."""
+    groups = spread.durable(line_groups(docs, **options))
+    places = _places(docs, groups.select("h")).dropDuplicates(["doc_id", "row", "line"])
+    named = spread.durable(spread.skewed_join(places, groups, "h", "n").select("doc_id", "row", "line", "root"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line", "row")
+    first = spread.durable(named.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    later = spread.skewed_join(named, first, "root", "n").where(~order.eqNullSafe(F.col("first")))
+    return later.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
 
 @F.arrow_udf(T.StringType())
@@ -334,8 +409,14 @@ def _without(texts: pa.Array, lines: pa.Array) -> pa.Array:
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
-    """Every row of docs with its repeated lines cut from text, and n_cut, their number (in place of any column of that name)."""
-    drop = spread.durable(later_lines(docs, **options)).select(F.col("doc_id").alias("__id"), F.col("lines").alias("__lines"))
-    joined = docs.join(drop, docs.doc_id.eqNullSafe(F.col("__id")), "left")
+    """Every row of docs with its repeated lines cut from text, and n_cut, their number (in place of any column of that name).
+
+    A bitmap of fixed size keeps most rows that lose nothing off the shuffle.
+    """
+    drop = spread.durable(later_lines(docs, **options)).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("lines").alias("__lines"))
+    text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    cut, whole = spread.split_by(docs, F.xxhash64(doc_id, F.xxhash64(text)), drop.select(F.xxhash64("__id", "__row").alias("h")))
+    joined = cut.join(drop, doc_id.eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__row")), "left").drop("__id", "__row")
+    both = joined.unionByName(whole.withColumn("__lines", F.lit(None).cast("array<int>")))
     rest = [c for c in docs.columns if c not in ("text", "n_cut")]
-    return joined.select(*rest, _without(F.col("text").cast("string"), F.col("__lines")).alias("text"), F.coalesce(F.array_size("__lines"), F.lit(0)).alias("n_cut"))
+    return both.select(*rest, _without(text, F.col("__lines")).alias("text"), F.coalesce(F.array_size("__lines"), F.lit(0)).alias("n_cut"))

@@ -112,6 +112,33 @@ def among(df: DataFrame, h: Column, keys: DataFrame) -> DataFrame:
     return df.withColumn("h", h).where(maybe(F.col("h"))).join(keys, "h", "left_semi")
 
 
+def split_by(df: DataFrame, h: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose hash h may be in keys (h), and those where it is not, by a bitmap of fixed size."""
+    table = bitmap(keys)
+
+    @F.arrow_udf(T.BooleanType())
+    def maybe(hashes: pa.Array) -> pa.Array:
+        return pa.array(inside(table, hashes.to_numpy(zero_copy_only=False)))
+
+    marked = df.withColumn("__maybe", maybe(h))
+    return marked.where("__maybe").drop("__maybe"), marked.where("NOT __maybe").drop("__maybe")
+
+
+HOT = 50_000
+
+
+def skewed_join(left: DataFrame, right: DataFrame, key: str, n: str) -> DataFrame:
+    """left joined with right, which has one row a key and says in n how many rows of left have it.
+
+    Keys that more than 1 in HOT of these rows have are at most HOT: they go to every task, and their rows stay where they are.
+    The others meet by an equi-join, none of which is large. right is read several times.
+    """
+    total = right.agg(F.sum(n)).first()[0] or 0
+    least = max(2, -(-total // HOT))
+    hot, rest = right.where(F.col(n) >= least).drop(n), right.where(F.col(n) < least).drop(n)
+    return left.join(F.broadcast(hot), key).unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
+
+
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
     """The batches of a partition sorted by key, recut so that no key goes over a cut."""
     rest: list[pa.RecordBatch] = []
