@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidewell.llm import decontaminate, lines, mixing, quality, sharding, simhash, tokens, toxicity
+from tidewell.llm import decontaminate, lines, mixing, quality, sharding, simhash, spread, tokens, toxicity
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, key string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -124,11 +124,10 @@ def test_similar_documents_equal_all_pairs(spark, docs, none):
     frame = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id bigint, text string"))
     rows = frame.collect()
     sets = [set(simhash.shingle_set((r["text"] or "").encode()).tolist()) for r in rows]
-    prints = [simhash.fingerprint((r["text"] or "").encode(), 5) for r in rows]
     group = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            alike = len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and (prints[i] ^ prints[j]).bit_count() <= simhash.REACH
+            alike = len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
             if alike and group[i] != group[j]:
                 group = [group[j] if g == group[i] else g for g in group]
     least = defaultdict(list)
@@ -233,10 +232,38 @@ def test_leaks_are_found_and_clean_documents_left(spark, docs, none):
 def test_a_large_benchmark_in_blocks_gives_the_same(spark, docs):
     bench = spark.createDataFrame([(i, sentence(40, i)) for i in range(12)], "item_id bigint, text string")
     whole = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated_pairs(docs, bench).collect()}
-    blocks = [decontaminate._judge(b, 0.6, 5)(F.col("text")) for b in decontaminate.item_blocks(bench, "item_id", "text", 200)]
-    assert len(blocks) > 3
-    cut = docs.select("doc_id", F.explode(F.concat(*blocks)).alias("h")).select("doc_id", "h.item_id")
-    assert {tuple(r) for r in cut.collect()} == whole
+    assert len(list(decontaminate.item_blocks(bench, "item_id", "text", 300))) > 2
+    cut = decontaminate.contaminated_pairs(docs, bench, block_tokens=300)
+    assert {(r["doc_id"], r["item_id"]) for r in cut.collect()} == whole
+    rows = lambda frame: Counter(map(tuple, frame.select("doc_id", "text").collect()))
+    assert rows(decontaminate.clean(docs, bench, block_tokens=300)) == rows(decontaminate.clean(docs, bench))
+
+
+def test_contaminated_pairs_equal_all_pairs(spark, docs):
+    rnd = random.Random(17)
+    items = [(i, sentence(12 + 3 * i, 60 + i)) for i in range(8)] + [(3, sentence(20, 90)), (None, sentence(25, 91)), (11, "of four words only"), (12, None)]
+    more = []
+    for n in range(30):
+        words = sentence(60, 7000 + n).split()
+        for _, t in rnd.sample([x for x in items if x[1]], 2):
+            own = t.split()
+            cut = rnd.randrange(len(own))
+            passage = rnd.choice([own, own[cut:] + own[:cut], own[: cut + 3], changed(own, 2, rnd) if len(own) > 3 else own])
+            at = rnd.randrange(len(words))
+            words[at:at] = passage
+        more.append((2000 + n, " ".join(words)))
+    frame = docs.select("doc_id", "text").where("length(text) < 5000 OR text IS NULL").union(spark.createDataFrame(more, "doc_id bigint, text string"))
+    split = lambda t: re.findall(r"[a-z]+|[0-9]+|[^\x00-\x7f]+", (t or "").lower())
+    want = Counter()
+    for r in frame.collect():
+        text = split(r["text"])
+        for item_id, t in items:
+            own = split(t)
+            k = sum(n for *_, n in decontaminate.tile(own, text)) if len(own) >= 5 else 0
+            if own and k >= 0.6 * len(own):
+                want[(r["doc_id"], item_id, k, len(own))] += 1
+    got = Counter((r["doc_id"], r["item_id"], r["covered"], r["n_tokens"]) for r in decontaminate.contaminated_pairs(frame, spark.createDataFrame(items, "item_id bigint, text string")).collect())
+    assert got == want and sum(want.values()) > 30
 
 
 # mixing
@@ -264,9 +291,28 @@ def test_mix_is_near_its_targets_and_repeats(spark, docs, none):
     assert Counter(map(tuple, mixing.mixed(docs.repartition(7)).collect())) == Counter(map(tuple, rows))
     assert mixing.mixed(none).count() == 0
     sampled = mixing.sample(docs)
-    unique = {r["doc_id"]: r["copies"] for r in rows if r["doc_id"] not in (3, None)}
     assert sampled.columns == docs.columns
-    assert {i: n for i, n in Counter(r["doc_id"] for r in sampled.collect()).items() if i in unique} == {i: n for i, n in unique.items() if n}
+    assert Counter(r["doc_id"] for r in sampled.collect()) == Counter({i: n for i, n in Counter(r["doc_id"] for r in rows for _ in range(r["copies"])).items() if n})
+
+
+def test_sample_takes_repeated_and_nameless_rows_as_often_as_the_mix(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 7)
+    rows = [(None, sentence(5 + i, i), "a") for i in range(30)] + [(7, sentence(9, 50), "a")] * 20 + [(8, sentence(9, 60 + i), "b") for i in range(10)] + [(9, sentence(40, 99), "c")] * 3 + [(10, None, None)] * 2
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    mix = mixing.mixed(frame.repartition(3)).collect()
+    got = Counter(tuple(r) for r in mixing.sample(frame).collect())
+    copies = Counter()
+    for r in mix:
+        copies[(r["doc_id"], r["source"], r["size"])] += r["copies"]
+    have = Counter()
+    for (i, t, s), n in got.items():
+        have[(i, s, len((t or "").split()))] += n
+    assert +have == +copies and got[(7, sentence(9, 50), "a")] > 0
+    words = Counter()
+    for (_, t, s), n in got.items():
+        words[s] += n * len((t or "").split())
+    for r in mix:
+        assert abs(words[r["source"]] - r["target"]) <= 40
 
 
 # quality
@@ -308,11 +354,23 @@ def test_cutoffs_keep_good_documents_and_reject_junk(spark):
     rows = {r["doc_id"]: r for r in quality.judged(frame, marks).collect()}
     assert all(rows[i]["kept"] for i in range(900)) and not any(rows[1000 + i]["kept"] for i in range(50))
     assert rows[5000]["kept"] and not rows[5001]["kept"] and rows[5001]["base_failed"]
+    copies = spark.createDataFrame([(i, sentence(80, 1) + " a% b% c%", "en") for i in range(600)] + [(1000 + i, " ".join(w + "%%%" for w in sentence(80, i).split()), "en") for i in range(50)], "doc_id bigint, text string, lang string")
+    once = quality.cutoffs(quality.figures(copies), labels(spark, [(i, 1, 0) for i in range(600)] + [(1000 + i, 0, 0) for i in range(50)])).collect()
+    assert [r["n_good"] for r in once] == [1] and all(once[0][rule] is None for rule in quality.RULES)  # 600 copies are one trial
     few = quality.judged(frame, labels(spark, [(i, 1, 0) for i in range(30)]))
     assert few.where("kept = base_failed").count() == 0  # too few labels to be sure of anything
     assert not [n for n in quality.judged(frame, marks)._jdf.queryExecution().executedPlan().toString().split() if "Python" in n]
 
 
+def test_every_stratum_has_its_cutoffs(spark):
+    langs = 1500
+    rows = spark.range(langs * 6).selectExpr("id AS doc_id", f"concat(repeat(concat('word', id, ' '), 30), repeat(concat('other', id % 7, ' x', id, ' '), 20)) AS text", f"concat('l', id % {langs}) AS lang")
+    table = quality.cutoffs(quality.figures(rows), rows.selectExpr("doc_id", "1 AS quality", "0 AS toxic"))
+    assert table.count() == langs and table.agg(F.sum("n_good")).first()[0] is not None
+    judged = quality.judged(rows, rows.selectExpr("doc_id", "1 AS quality", "0 AS toxic"))
+    assert judged.count() == langs * 6 and judged.select("stratum").distinct().count() == langs
+
+
 # sharding
 
 
@@ -329,6 +387,40 @@ def test_shards_are_contiguous_near_equal_and_gapless(spark, docs, none):
     assert sharding.sharded(none).count() == 0
 
 
+def signed_hash(text):
+    return int(np.uint64(xxhash.xxh64_intdigest(text.encode(), 42)).astype(np.int64))
+
+
+def brute_shards(rows, shards=24, tolerance=0.01):
+    """(doc_id, size, crc, shard, slot) by one pass over all rows in order."""
+    held = sorted(((signed_hash(t or ""), zlib.crc32((t or "").encode()), d is None, d or 0), d, len((t or "").encode()) + 8) for d, t in rows)
+    total = sum(size for *_, size in held)
+    whole = max(max(size for *_, size in held), int(tolerance * total / shards))
+    cuts = [-(-total * s // shards) for s in range(shards)]
+    shard_of = lambda at: max(s for s in range(shards) if cuts[s] <= at)
+    group = defaultdict(int)
+    for key, _, size in held:
+        group[key[0]] += size
+    out, used, at, begun = [], Counter(), 0, {}
+    for key, d, size in held:
+        begin = begun.setdefault(key[0], at)
+        shard = shard_of(begin + group[key[0]] // 2) if group[key[0]] <= whole else shard_of(at + size // 2)
+        out.append((d, size, key[1], shard, used[shard]))
+        used[shard] += 1
+        at += size
+    return out
+
+
+def test_shards_equal_one_pass_and_are_contiguous(spark, docs):
+    many = [(i, sentence(5 + i % 40, i % 200)) for i in range(600)] + [(1000 + i, "one of a large group of copies") for i in range(300)]
+    frame = docs.select("doc_id", "text").where("length(text) < 1000 OR text IS NULL").union(spark.createDataFrame(many, "doc_id bigint, text string"))
+    want = brute_shards([tuple(r) for r in frame.collect()])
+    assert [x[3] for x in want] == sorted(x[3] for x in want) and len({x[3] for x in want}) == 24
+    for n in (1, 7):
+        got = sharding.sharded(frame.repartition(n)).collect()
+        assert sorted(((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_a_group_larger_than_a_shard_is_cut_by_bytes(spark):
     rows = [(i, "the same text in every row of this group") for i in range(3000)] + [(10_000 + i, sentence(8, i)) for i in range(3000)]
     got = sharding.sharded(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(9)).groupBy("shard").agg(F.sum("size").alias("b"), F.max("slot").alias("s"), F.count("*").alias("n")).collect()
@@ -349,6 +441,42 @@ def test_toxicity_on_held_out_rows(spark, sf):
     assert held["acc"] > 0.96 and held["hit"] / held["said"] > 0.9 and held["hit"] / held["toxic"] > 0.75
 
 
+def brute_bucket(gram):
+    mask = (1 << 64) - 1
+    h = gram[0]
+    for c in gram[1:]:
+        h = (h * 0x100000001B3 & mask) ^ c
+    h = h + len(gram) & mask
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ h >> shift) * factor & mask
+    return (h ^ h >> 31) >> 46
+
+
+def test_scores_are_means_over_the_grams_of_whole_texts():
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(1)
+    model = toxicity.Model(rnd.normal(0, 3, toxicity.BUCKETS).astype(np.float32), -0.25)
+    texts = ["", None, "Ab", "one, two!", "ñandú  über 12", "x" * 40, sentence(900, 4), "\n\t .", "a b c"]
+    want = []
+    for t in texts:
+        stream = b" " + bytes(0x20 if b < 128 and not chr(b).isalnum() else b for b in (t or "").lower().encode()) + b" "
+        grams = [stream[i : i + n] for n in (3, 4, 5) for i in range(len(stream) - n + 1) if 0x20 not in stream[i + 1 : i + n - 1]]
+        mean = sum(float(model.margin[brute_bucket(g)]) for g in grams) / max(1, len(grams))
+        want.append(1 / (1 + math.exp(-(mean + model.bias))))
+    assert np.allclose(model.scores(pa.array(texts, pa.string())), want, atol=1e-6)
+
+
+def test_training_is_the_same_in_every_run(spark):
+    rnd = random.Random(2)
+    bad = ["worthless", "pathetic", "disgusting"]
+    rows = [(i, sentence(40, i) + (" " + " ".join(rnd.choices(bad, k=4)) if i % 3 == 0 else "")) for i in range(120)]
+    rows += [(0, "another text under the same labelled name")] * 2 + [(3, None)]
+    marks = labels(spark, [(i, 1, int(i % 3 == 0)) for i in range(120)])
+    models = [toxicity.train(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(n), marks, epochs=3) for n in (1, 6)]
+    assert np.array_equal(models[0].margin, models[1].margin) and models[0].bias == models[1].bias and models[0].margin.any()
+
+
 def test_unseen_misspellings_share_vectors(spark):
     rnd = random.Random(2)
     bad = ["worthless", "pathetic", "disgusting"]
@@ -385,6 +513,31 @@ def test_tokens_of_sections_add_up(docs, rule):
     assert Counter(r["section"] for r in rows) == dict.fromkeys(["source", "lang", "head", "body", "separator"], docs.count())
 
 
+def test_section_counts_equal_a_count_by_characters(docs):
+    encoder = tokens.Encoder(tokens.read_vocabulary())
+    frame = docs.where("length(text) < 2000 OR text IS NULL")
+    extra = frame.limit(1).select(*[F.lit(v).cast(t).alias(c) for c, v, t in (("doc_id", 900, "bigint"), ("text", "🙂é first\nsecond 🙂🙂 line\n\nthird", "string"), ("lang", "é", "string"), ("source", "a b", "string"))])
+    frame = frame.select("doc_id", "text", "lang", "source").union(extra)
+    want = Counter()
+    for r in frame.collect():
+        head, end, rest = (r["text"] or "").partition("\n")
+        parts = [("source", r["source"] or ""), ("separator", "\n\n"), ("lang", r["lang"] or ""), ("separator", "\n\n"), ("head", head), ("body", end + rest)]
+        owner = [name for name, t in parts for _ in t]
+        number = [i for i, (_, t) in enumerate(parts) for _ in t]
+        at_byte = [i for i, c in enumerate("".join(t for _, t in parts)) for _ in c.encode()]
+        count, at = Counter(), 0
+        for token in encoder._ready().encode_ordinary("".join(t for _, t in parts)):
+            n = len(encoder.encoding.decode_single_token_bytes(token))
+            held = Counter(number[i] for i in set(at_byte[at : at + n]))
+            best = min(held, key=lambda i: (-held[i], i))
+            count[parts[best][0]] += 1
+            at += n
+        for name in ("source", "lang", "head", "body", "separator"):
+            want[(r["doc_id"], name, owner.count(name), float(count[name]))] += 1
+    got = Counter((r["doc_id"], r["section"], r["n_chars"], r["n_tokens"]) for r in tokens.section_tokens(frame).collect())
+    assert got == want
+
+
 def test_spans_are_a_round_trip():
     encoder = tokens.Encoder(tokens.read_vocabulary())
     for text in ("", "plain words", "é🙂ñ — ünïcode 🙂🙂", "a\n\nb  c\t"):
@@ -425,24 +578,39 @@ def test_edit_distance_equals_the_table():
         assert lines.edit_distance(list(a), list(b), k) == min(brute_distance(a, b), k + 1)
 
 
+def test_gaps_bound_the_distance_from_above():
+    rnd = random.Random(9)
+    for _ in range(400):
+        a = rnd.choices(VOCABULARY[:30], k=rnd.randrange(1, 20))
+        b = list(a)
+        for _ in range(rnd.randrange(5)):
+            at = rnd.randrange(len(b) + 1)
+            b[at : at + rnd.randrange(2)] = rnd.choices(VOCABULARY[:30], k=rnd.randrange(2))
+        d = brute_distance(" ".join(a), " ".join(b))
+        gaps = lines._gaps(a, b)
+        assert d <= sum(brute_distance(x, y) for x, y in gaps) <= sum(max(len(x), len(y)) for x, y in gaps)
+        assert bool(gaps) == (a != b)
+
+
 def test_similarity_is_over_characters_at_every_length():
     rnd = random.Random(31)
     for n in (30, 60, 200):
         words = sentence(n, 900 + n).split()
         texts = [" ".join(words), ", ".join(words), " ".join(w[:-1] + "q" if i % 2 else w for i, w in enumerate(words)), " ".join(words[: n // 10] + ["new"] + words[n // 10 + 2 :])]
         texts += [" ".join(rnd.choice((w, w[::-1])) for w in words), sentence(n, 950 + n)]
-        held = lines._Texts(texts, 0.8)
+        held = lines._Texts(texts, np.zeros(len(texts), np.uint64), 0.8)
         for i, a in enumerate(texts):
-            want = [j for j, b in enumerate(texts) if brute_distance(a, b) <= max(len(a), len(b)) * 0.2 + 1e-9]
-            assert held.like(i, np.arange(len(texts))) == want
+            plain = lambda t: Counter(t.replace(",", "").split())
+            common = lambda b: (plain(a) & plain(b)).total() >= 0.5 * max(plain(a).total(), plain(b).total())  # noqa: B023, E731
+            want = [j for j, b in enumerate(texts) if brute_distance(a, b) <= max(len(a), len(b)) * 0.2 + 1e-9 and common(b)]
+            assert held.like(i, np.arange(len(texts))) == want  # also where commas leave no word in common
             assert i > 3 or len(want) > 1
 
 
 def brute_line_dedup(rows):
     """Texts without the later lines of each group: every pair of lines inside a bucket's candidate group is compared."""
-    row_hash = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64))
     named = {(r["doc_id"], r["text"]) for r in rows if r["text"]}
-    held = [(d is None, d or 0, i, row_hash(t), x.decode(), d, t) for d, t in named for i, x in enumerate(lines.normal_lines(t)) if x]
+    held = [(d is None, d or 0, i, signed_hash(t), x.decode(), d, t) for d, t in named for i, x in enumerate(lines.normal_lines(t)) if x]
     forms = sorted({x[4] for x in held})
     sims, keys = lines.signatures([x.encode() for x in forms])
     keys = keys.to_pylist()
@@ -467,7 +635,11 @@ def brute_line_dedup(rows):
             for j in members:
                 a, b = forms[i], forms[j]
                 most = int(max(len(a), len(b)) * 0.2 + 1e-9)
-                if i < j and find(near, i) == find(near, j) and lines.edit_distance(a, b, most) <= most:
+                reach = lines.NEAR_SHORT if min(len(a.split(" ")), len(b.split(" "))) <= lines.FEW_WORDS else lines.NEAR
+                x, y = (Counter("".join(c if c.isalnum() or ord(c) > 127 else " " for c in t).split()) for t in (a, b))
+                if max(x.total(), y.total()) > lines.FEW_WORDS and (x & y).total() < 0.5 * max(x.total(), y.total()):
+                    continue
+                if i < j and find(near, i) == find(near, j) and int(sims[i] ^ sims[j]).bit_count() <= reach and sum(brute_distance(x, y) for x, y in lines._gaps(a.split(" "), b.split(" "))) <= most:
                     group[find(group, a)] = find(group, b)
     first = {}
     for x in held:
@@ -533,7 +705,7 @@ def test_blocks_find_nine_of_ten_changed_lines(low, high, most):
 def test_a_large_group_of_variants_is_walked_from_its_first_text(spark):
     words = sentence(40, 77).split()
     rows = [(i, " ".join([*words[:20], f"variant{i:04d}", *words[20:]])) for i in range(400)]
-    links = lines._similar(spark.createDataFrame([(1, i, t) for i, t in rows], "gid long, h long, line string"), 0.8, 20)
+    links = spread.links_within(spark.createDataFrame([(1, i, (0, t)) for i, t in rows], "gid long, h long, own struct<sim:long,line:string>"), "own", F.lit(1), 20, lambda b: lines._edit_links(b, 0.8))
     assert links.count() < 1200
     got = lines.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), group=20)
     assert got.where("text <> ''").count() == 1

@@ -7,23 +7,24 @@ runs of tokens not yet marked, marks them in both, and halves the search length
 down to MIN_MATCH. The share of the item's tokens under tiles is its coverage,
 whatever order the document has its passages in.
 
-The benchmark is the query set. Its index goes to every task while it holds at
-most BLOCK_TOKENS tokens; a larger benchmark is worked through in blocks of
-items of that size, each against all documents.
+The benchmark is the query set, against all documents. It is read in blocks of items of about BLOCK_TOKENS tokens; each
+block's seeds go to every task, and its job is done before the next block is read, so driver and tasks hold one block (and
+one partition of the benchmark) however large the benchmark is.
 
 Nulls, empty and ties: a null or empty text or item has no tokens; an item of
-fewer than MIN_MATCH tokens never matches; of items covered alike the smallest
-item_id is named; repeated rows are judged alike; other columns pass through.
+fewer than MIN_MATCH tokens never matches; a null or repeated item_id names its items alike; repeated rows are judged alike; other columns pass through.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import textkit
+from . import spread, textkit
 
 MIN_MATCH = 5
 COVERAGE = 0.6
@@ -149,7 +150,7 @@ class Benchmark:
 
 
 def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_tokens: int = BLOCK_TOKENS):
-    """Blocks of items, read through an iterator: the driver holds one partition of them at a time."""
+    """Blocks of items, read through an iterator: the driver holds one partition of them and one block at a time."""
     block, size = [], 0
     for r in benchmark.select(F.col(item_id).cast("long"), F.col(text)).where(F.col(text).isNotNull()).toLocalIterator():
         block.append((r[0], r[1]))
@@ -174,20 +175,43 @@ def _judge(block: list[tuple[int, str]], coverage: float, min_match: int):
     return judge
 
 
-def contamination(benchmark: DataFrame, text: Column, item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, min_match: int = MIN_MATCH) -> Column:
-    """Array of the items that a text covers to at least that share, most covered first within each block."""
-    judged = [_judge(block, coverage, min_match)(text) for block in item_blocks(benchmark, item_id, item_text)]
-    if not judged:
-        return F.array().cast(HITS)
-    return judged[0] if len(judged) == 1 else F.concat(*judged)
+def _by_block(benchmark: DataFrame, item_id: str, item_text: str, block_tokens: int, one: Callable[[list], DataFrame], none: Callable[[], DataFrame]) -> DataFrame:
+    """one(block) of the only block, or the union over all blocks, each of them its own job that is done before the next block is read."""
+    blocks = item_blocks(benchmark, item_id, item_text, block_tokens)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return none()
+    if second is None:
+        return one(first)
+    out = spread.durable(one(first)).union(spread.durable(one(second)))
+    del first, second
+    for block in blocks:
+        out = out.union(spread.durable(one(block)))
+    return out
 
 
-def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, min_match: int = MIN_MATCH) -> DataFrame:
+def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, min_match: int = MIN_MATCH, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(doc_id, item_id, coverage, covered, n_tokens) of every document and item that it covers."""
-    hits = docs.select("doc_id", F.explode(contamination(benchmark, F.col("text"), coverage=coverage, min_match=min_match)).alias("hit"))
-    return hits.select("doc_id", "hit.*")
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, min_match: int = MIN_MATCH) -> DataFrame:
-    """The rows of docs that cover no item."""
-    return docs.where(F.size(contamination(benchmark, F.col("text"), coverage=coverage, min_match=min_match)) == 0)
+    def one(block: list) -> DataFrame:
+        return docs.select("doc_id", F.explode(_judge(block, coverage, min_match)(F.col("text").cast("string"))).alias("hit")).select("doc_id", "hit.*")
+
+    return _by_block(benchmark, "item_id", "text", block_tokens, one, lambda: docs.select("doc_id", F.explode(F.array().cast(HITS)).alias("hit")).select("doc_id", "hit.*"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, min_match: int = MIN_MATCH, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """The rows of docs that cover no item. Where the benchmark is one block, rows are only filtered."""
+    text = F.col("text").cast("string")
+    blocks = item_blocks(benchmark, "item_id", "text", block_tokens)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return docs
+    if second is None:
+        return docs.where(F.size(_judge(first, coverage, min_match)(text)) == 0)
+    found = None
+    while first is not None:
+        leaks = docs.where(F.size(_judge(first, coverage, min_match)(text)) > 0).select(F.xxhash64(text).alias("__h"), F.xxhash64(text, F.lit(1)).alias("__g")).distinct()
+        found = spread.durable(leaks if found is None else found.union(leaks))
+        first, second = second, next(blocks, None)
+    maybe, others = spread.split_by(docs, F.xxhash64(text), found.select(F.col("__h").alias("h")))
+    kept = maybe.join(found, (F.xxhash64(text) == F.col("__h")) & (F.xxhash64(text, F.lit(1)) == F.col("__g")), "left_anti")
+    return others.unionByName(kept)

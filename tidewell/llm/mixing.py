@@ -1,7 +1,7 @@
 """Mixing sources to target weights by systematic sampling.
 
 Every document of a source expects ``target / source_size`` copies. Documents are
-put in one global order (source, size, seeded hash, doc_id); the prefix sum of expected
+put in one global order (source, size, seeded hash, doc_id, hash of the row); the prefix sum of expected
 copies within the source, moved by one random offset, emits a document once for
 each integer boundary crossed. In order of size, the taken words differ from the target by
 no more than the source's largest document.
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spread
@@ -53,9 +53,14 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
     return out
 
 
+def _row(docs: DataFrame) -> Column:
+    """Hash of a row's columns."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: float = LIMIT, seed: int = SEED, max_sources: int = MAX_SOURCES) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) of every row of docs."""
-    sized = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """(doc_id, source, size, source_size, target, copies, taken, row) of every row of docs; row is the hash of all its columns."""
+    sized = docs.select(F.col("doc_id"), _row(docs).alias("row"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sized = spread.durable(sized.withColumn("turn", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))))
     rows = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(max_sources + 1).collect()
     if len(rows) > max_sources:
@@ -67,13 +72,13 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: float =
     first = np.concatenate([[0], np.cumsum([r["n"] for r in rows], dtype=np.int64)])[:-1]
     plan = {r["source"]: (sizes[r["source"]], target[r["source"]], min(limit, target[r["source"]] / sizes[r["source"]]) if sizes[r["source"]] else 0.0, int(at)) for r, at in zip(rows, first, strict=True)}
 
-    ordered = spread.in_order(sized, ["source", "size", "turn", "doc_id"])
+    ordered = spread.in_order(sized, ["source", "size", "turn", "doc_id", "row"])
     counts = spread.fold_partitions(ordered, lambda: {"n": 0}, _count, "n long")
     base, total = {}, 0
     for pid in sorted(counts):
         base[pid], total = total, total + counts[pid]["n"]
 
-    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("size", pa.int64()), ("source_size", pa.int64()), ("target", pa.float64()), ("copies", pa.int64()), ("taken", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("size", pa.int64()), ("source_size", pa.int64()), ("target", pa.float64()), ("copies", pa.int64()), ("taken", pa.int64()), ("row", pa.int64())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = base.get(TaskContext.get().partitionId(), 0)
@@ -86,22 +91,31 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: float =
             copies = (np.floor(rate * (k + 1) + offset) - np.floor(rate * k + offset)).astype(np.int64)
             size = batch.column("size").to_numpy(zero_copy_only=False)
             rank += batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("source").cast(pa.string()), batch.column("size"), *map(pa.array, (source_size, goal, copies, copies * size))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("source").cast(pa.string()), batch.column("size"), *map(pa.array, (source_size, goal, copies, copies * size)), batch.column("row")], schema=schema)
 
-    return ordered.mapInArrow(emit, "doc_id long, source string, size long, source_size long, target double, copies long, taken long")
+    return ordered.mapInArrow(emit, "doc_id long, source string, size long, source_size long, target double, copies long, taken long, row long")
 
 
 def _count(state: dict, batch: pa.RecordBatch) -> None:
     state["n"] += batch.num_rows
 
 
+CHUNK = 100_000
+
+
 def sample(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes it.
 
-    Rows that repeat a doc_id are taken as often as all of them together, spread evenly over them.
+    Rows are told apart by all their columns; of rows that are equal in all, one is repeated as often as the mix takes all of them.
     """
-    taken = mixed(docs, **options).groupBy("doc_id").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"), F.sum("size").alias("__size"))
-    taken = taken.where("__copies > 0").select(F.col("doc_id").alias("__id"), "__copies", "__rows")
-    joined = docs.join(taken, docs.doc_id.eqNullSafe(F.col("__id")))
-    times = F.when(F.col("__rows") == 1, F.col("__copies")).otherwise(F.ceil(F.col("__copies") / F.col("__rows")).cast("long"))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), times))).select(docs.columns)
+    taken = mixed(docs, **options).groupBy("doc_id", "row").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
+    taken = spread.durable(taken.where("__copies > 0").select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "__copies", "__rows"))
+    joined = docs.join(taken, docs.doc_id.eqNullSafe(F.col("__id")) & (_row(docs) == F.col("__row")))
+    alone = joined.where("__rows = 1").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    if taken.where("__rows > 1").isEmpty():
+        return alone.select(docs.columns)
+    one = joined.where("__rows > 1").dropDuplicates(["__id", "__row"])
+    # a row that is taken very often is repeated in several tasks
+    chunk = one.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1, F.lit(CHUNK).cast("long")))).repartition("__row", "__from")
+    many = chunk.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(CHUNK).cast("long"), F.col("__copies") - F.col("__from")))))
+    return alone.select(docs.columns).unionByName(many.select(docs.columns))

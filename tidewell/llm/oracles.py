@@ -44,7 +44,7 @@ def op8() -> str:
     rejected = " OR ".join(f"coalesce({value[rule]} > (SELECT cutoff FROM chosen c WHERE c.rule = '{rule}' AND c.stratum IS NOT DISTINCT FROM base.stratum), FALSE)" for rule in quality.RULES)
     return f"""
 WITH word AS (
-  SELECT doc_id, lang AS stratum, {_WORDS} AS w,
+  SELECT doc_id, lang AS stratum, md5(coalesce(text, '')) AS m, {_WORDS} AS w,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: {_BARE.format("x")} <> '') AS l,
          length({_BARE.format("coalesce(text, '')")}) AS word_chars,
          length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM documents),
@@ -53,12 +53,16 @@ gram AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM gram) WHERE n >= 2),
 cov AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY doc_id),
 base AS (
-  SELECT doc_id, stratum, len(w)::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
+  SELECT doc_id, stratum, m, len(w)::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
          (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM word LEFT JOIN cov USING (doc_id)),
 flagged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
 marks AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IN (0, 1) GROUP BY doc_id),
-held AS (SELECT *, count(*) FILTER (quality = 1) OVER (PARTITION BY stratum) AS n_good, count(*) FILTER (quality = 0) OVER (PARTITION BY stratum) AS n_bad FROM flagged JOIN marks USING (doc_id) WHERE NOT base_failed),
+trial AS (
+  SELECT stratum, m, min(quality) AS quality, any_value(n_words) AS n_words, any_value(word_chars) AS word_chars, any_value(n_symbols) AS n_symbols,
+         any_value(n_lines) AS n_lines, any_value(n_dup_lines) AS n_dup_lines, any_value(n_repeat_words) AS n_repeat_words
+  FROM flagged JOIN marks USING (doc_id) WHERE NOT base_failed GROUP BY stratum, m),
+held AS (SELECT *, count(*) FILTER (quality = 1) OVER (PARTITION BY stratum) AS n_good, count(*) FILTER (quality = 0) OVER (PARTITION BY stratum) AS n_bad FROM trial),
 tested AS ({" UNION ALL ".join(tests)}),
 judged AS (
   SELECT *, CASE WHEN k >= n * {share!r} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i:

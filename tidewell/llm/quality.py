@@ -2,7 +2,7 @@
 
 Base figures are exact counts over whole texts. On top of them each rule of
 RULES rejects a document whose figure lies beyond a cutoff. Cutoffs are not
-guessed: on the labelled rows of quality 1, for each stratum (``lang``) and rule,
+guessed: on the labelled texts of quality 1, each distinct text of a stratum being one trial, for each stratum (``lang``) and rule,
 the candidates are tested from the most lenient to the strictest, up to the first
 whose exact binomial test fails. A cutoff passes if, were
 its true rate of false rejections RISK / len(RULES) or more, as few false rejections
@@ -10,18 +10,17 @@ as seen would have a probability of at most CONFIDENCE / (strata x rules). Testi
 fixed order needs no correction for the number of candidates, Bonferroni's
 correction covers strata and rules, so with probability 1 - CONFIDENCE every
 stratum loses at most RISK of its good documents to these rules. Of the cutoffs
-that pass, the one is taken that rejects most of the labelled rows of quality 0 less those of
+that pass, the one is taken that rejects most of the labelled texts of quality 0 less those of
 quality 1, both as shares, the most lenient on ties. A stratum or rule for which no
 candidate passes or gains MIN_GAIN rejects nothing.
 
-Strata: the MAX_STRATA with the most labelled rows; documents of others are
-judged by the base figures alone. That bound makes the cutoff table small enough to send to
-every task.
+Every stratum has its cutoffs, however many there are: those of the most frequent strata go to every task,
+at most spread.HOT of them, and the others meet their rows by an equi-join.
 
 Windows are compared by 64-bit hashes.
 
 Nulls, empty and ties: a null or wordless text has zeros everywhere and fails
-the base; a null lang is a stratum of its own; of labels that repeat a doc_id the
+the base; a null lang is a stratum of its own; of labels that repeat a doc_id, or of copies of one text, the
 lowest quality counts; repeated rows are judged alike; other columns are not looked at.
 """
 
@@ -34,7 +33,6 @@ from . import spread
 
 RISK = 0.05
 CONFIDENCE = 0.05
-MAX_STRATA = 1000
 MIN_GAIN = 0.02
 SPACE = "\t\n\x0b\x0c\r "
 SYMBOLS = "#*$%&|<>"
@@ -73,7 +71,7 @@ def _repeated(words: Column) -> Column:
 
 
 def figures(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words) of every row of docs."""
+    """(doc_id, lang, text_hash, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words) of every row of docs."""
     text = F.coalesce(F.col("text"), F.lit(""))
     bare = lambda c: F.translate(c, SPACE, "")
     words = F.array_remove(F.split(F.translate(text, SPACE, " " * len(SPACE)), " "), "")
@@ -82,13 +80,14 @@ def figures(docs: DataFrame) -> DataFrame:
     by_line = _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     found = docs.select(
         "doc_id",
-        F.col("lang"),
+        F.col("lang").cast("string").alias("lang"),
+        F.xxhash64(text).alias("text_hash"),
         counted.alias("w"),
         by_line.alias("l"),
         F.length(bare(text)).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
     )
-    return found.select("doc_id", "lang", F.col("w.n_words").alias("n_words"), "word_chars", "n_symbols", F.col("l.n_lines").alias("n_lines"), F.col("l.n_dup_lines").alias("n_dup_lines"), F.col("w.n_repeat_words").alias("n_repeat_words"))
+    return found.select("doc_id", "lang", "text_hash", F.col("w.n_words").alias("n_words"), "word_chars", "n_symbols", F.col("l.n_lines").alias("n_lines"), F.col("l.n_dup_lines").alias("n_dup_lines"), F.col("w.n_repeat_words").alias("n_repeat_words"))
 
 
 def base_failed() -> Column:
@@ -114,15 +113,17 @@ def binomial_at_most(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(tail)
 
 
-def cutoffs(base: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE, max_strata: int = MAX_STRATA) -> DataFrame:
+def cutoffs(base: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
     """(stratum, n_good, and for each rule its cutoff or null), one row for each stratum."""
     marks = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    held = base.where(~base_failed()).join(marks, "doc_id")
+    known = base.where(~base_failed()).join(marks, "doc_id")
+    parts = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
+    held = known.groupBy("lang", "text_hash").agg(F.min("quality").alias("quality"), *(F.first(c).alias(c) for c in parts))
     good, bad = F.col("quality") == 1, F.col("quality") == 0
     counts = [F.count_if(good).alias("n_good"), F.count_if(bad).alias("n_bad")]
     for rule, (_, steps) in RULES.items():
         counts.append(F.array(*[F.struct(F.count_if(good & (_value(rule) > c)).alias("good"), F.count_if(bad & (_value(rule) > c)).alias("bad")) for c in steps]).alias(rule))
-    strata = held.groupBy(F.col("lang").alias("stratum")).agg(*counts).orderBy(F.desc("n_good"), F.asc_nulls_last("stratum")).limit(max_strata)
+    strata = held.groupBy(F.col("lang").alias("stratum")).agg(*counts)
     strata = spread.durable(strata)
     n_strata = max(1, strata.count())
     share = risk / len(RULES)
@@ -143,8 +144,11 @@ def cutoffs(base: DataFrame, labels: DataFrame, risk: float = RISK, confidence:
 def judged(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lines, stratum) of every row of docs."""
     base = spread.durable(figures(docs))
-    table = spread.durable(cutoffs(base, labels, **options))
-    joined = base.join(F.broadcast(table.drop("n_good")), F.col("lang").eqNullSafe(F.col("stratum")), "left")
+    strata = base.groupBy("lang").agg(F.count("*").alias("n"))
+    table = strata.join(cutoffs(base, labels, **options).drop("n_good"), F.col("lang").eqNullSafe(F.col("stratum")), "left")
+    named = lambda lang: F.coalesce(F.concat(F.lit("="), lang), F.lit("")).alias("stratum_key")
+    table = spread.durable(table.select(named(F.col("lang")), "n", *RULES))
+    joined = spread.skewed_join(base.select("*", named(F.col("lang"))), table, "stratum_key", "n")
     rejected = F.lit(False)
     for rule in RULES:
         rejected = rejected | F.coalesce(_value(rule) > F.col(rule), F.lit(False))

@@ -162,24 +162,22 @@ def links(distinct: DataFrame, distance: int = DISTANCE, count: int | None = Non
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fingerprint: 16 hex digits, component_id: smallest doc_id reachable) of every row of docs."""
     marked = spread.durable(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text)).alias("fp")))
-    distinct = spread.durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = spread.durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     n = distinct.count()
     roots = spread.connected_components(links(distinct, distance, n))
-    joined = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    component = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.join(component, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    joined = spread.durable(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+    component = spread.durable(joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")))
+    named = spread.durable(spread.skewed_join(joined, component, "root", "members").select("fp", "component_id", "n"))
+    return spread.skewed_join(marked, named, "fp", "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 # Near duplicates by similarity: shingle sets give the candidates and decide.
 
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
-#: Bits in which the fingerprints of similar texts may differ: all of them, since fingerprints are not asked.
-REACH = 64
 #: One shingle of so many is looked up before all shingles of a text are.
 SAMPLE = 4
-#: Shingles that a block of a component may hold; a task holds two blocks.
+#: Shingles that a block of a component may hold.
 BLOCK = 2_000_000
 
 
@@ -274,8 +272,7 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle:
     Similarity alone decides. A text whose sampled shingles lack more others than the similarity allows is out; the
     shingle sets of the rest give candidates(), and inside each component of these, which holds every
     text once, sets are compared along a walk that links each text once. Equal
-    texts are one. A component of more than block shingles is cut into blocks, each pair of
-    which is a part of its own.
+    texts are one. A component of more than block shingles is cut into blocks (see spread.links_within()).
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
@@ -286,7 +283,7 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle:
         return pa.StructArray.from_arrays([pa.array(map(len, sets), pa.int32()), some], ["n", "some"])
 
     marked = spread.durable(docs.select("doc_id", F.xxhash64(text).alias("h"), sampled(text).alias("s")).select("doc_id", "h", "s.n", "s.some"))
-    units = spread.durable(marked.groupBy("h").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first(F.size("some")).alias("m")))
+    units = spread.durable(marked.groupBy("h").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first(F.size("some")).alias("m"), F.count("*").alias("copies")))
     one = marked.select("h", F.explode("some").alias("g"))
     shared = one.repartition("g").sortWithinPartitions("g", "h").mapInArrow(_shared, "h long, g long, df long").groupBy("h").agg(F.count("*").alias("met"))
     lacking = F.col("m") - F.coalesce("met", F.lit(0))
@@ -300,17 +297,12 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle:
 
     sets = spread.durable(found.dropDuplicates(["h"]).select(F.xxhash64("text").alias("h"), grams("text").alias("grams")))
     roots = spread.durable(spread.connected_components(candidates(sets, similarity)))
-    sizes = roots.join(units, F.col("node") == F.col("h")).groupBy("root").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
-    members = sets.join(roots, F.col("h") == F.col("node")).join(sizes, "root")
-    members = members.withColumn("block", F.pmod(F.xxhash64("h"), F.greatest("blocks", F.lit(1))).cast("int"))
-    others = F.filter(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1), lambda o: o != F.col("block"))
-    pairs = F.when(F.col("blocks") <= 2, F.array(F.lit(0))).otherwise(F.transform(others, lambda o: F.least(o, "block") * F.col("blocks") + F.greatest(o, "block")))
-    parts = members.withColumn("pair", F.explode(pairs)).select(F.xxhash64("root", "pair").alias("part"), "h", "grams")
-    similar = parts.repartition("part").sortWithinPartitions("part").mapInArrow(lambda b: _similar_links(b, similarity), "a long, b long")
-    joined = units.join(spread.connected_components(similar), F.col("h") == F.col("node"), "left").select("h", "least", F.coalesce("root", "h").alias("root"))
-    component = joined.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "h")).alias("first"))
-    named = joined.join(component, "root").select("h", F.col("first.least").alias("component_id"), F.col("first.h").alias("kept_h"))
-    return marked.join(named, "h").select("doc_id", "h", "component_id", "kept_h")
+    members = spread.durable(sets.join(roots, F.col("h") == F.col("node")).select(F.col("root").alias("gid"), "h", "grams"))
+    similar = spread.links_within(members, "grams", F.size("grams"), block, lambda b: _similar_links(b, similarity))
+    joined = spread.durable(units.join(spread.connected_components(similar), F.col("h") == F.col("node"), "left").select("h", "least", "copies", F.coalesce("root", "h").alias("root")))
+    component = spread.durable(joined.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "h")).alias("first"), F.count("*").alias("members")))
+    named = spread.durable(spread.skewed_join(joined, component, "root", "members").select("h", F.col("first.least").alias("component_id"), F.col("first.h").alias("kept_h"), "copies"))
+    return spread.skewed_join(marked.select("doc_id", "h"), named, "h", "copies").select("doc_id", "h", "component_id", "kept_h")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

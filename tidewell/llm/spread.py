@@ -5,7 +5,6 @@ Nothing here gathers rows on the driver except one row for each partition.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,18 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.session import remove as remove
+from tidewell.session import shared_folder as shared_folder
 
 ROWS_A_FILE = 100_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for cut lineage: the one that the cluster names, or our own where none is set."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewell-checkpoint-"))
-    return context.getCheckpointDir()
-
-
 def durable(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df behind a checkpoint() in the shared folder; with about so many rows, in no more files than they fill."""
     shared_folder(df.sparkSession)
@@ -139,26 +132,63 @@ def skewed_join(left: DataFrame, right: DataFrame, key: str, n: str) -> DataFram
     return left.join(F.broadcast(hot), key).unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
 
 
+def links_within(members: DataFrame, payload: str, weight: Column, block: int, walk: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Links (a, b) that connect what is similar inside each group of members (gid, h, payload), h being distinct in a group.
+
+    walk links, inside each part of a partition that is sorted by home, part and h, what is similar; groups that begin with the
+    same member have one home, the least of them. A group of more
+    weight than block is cut into blocks, and each is walked with the group's first member. Only members which that leaves
+    unconnected with the first one are compared with the other blocks, so a large group of variants of one text isn't multiplied.
+    """
+    def links(parts: DataFrame) -> DataFrame:
+        if "home" not in parts.columns:
+            parts = parts.withColumn("home", F.col("part"))
+        return parts.repartition("home").sortWithinPartitions("home", "part", "h").mapInArrow(walk, "a long, b long")
+
+    sizes = members.groupBy("gid").agg(F.count("*").alias("n"), F.min("h").alias("head"), F.ceil(F.sum(weight) / block).cast("int").alias("blocks"))
+    sizes = durable(sizes.where("n > 1"))
+    dealt = skewed_join(members, sizes, "gid", "n")
+    small = links(dealt.where("blocks <= 1").select(F.col("head").alias("home"), F.col("gid").alias("part"), "h", payload))
+    if sizes.where("blocks > 1").isEmpty():
+        return small
+    dealt = durable(dealt.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")))
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    heads = dealt.where("h = head").select("gid", "h", payload, each)
+    first = dealt.where("h <> head").select("gid", "h", payload, "block").unionByName(heads)
+    first = durable(links(first.select(F.xxhash64("gid", "block").alias("part"), "h", payload)))
+    roots = durable(connected_components(first))
+    root_of = lambda h, name: roots.select(F.col("node").alias(h), F.col("root").alias(name))
+    heads = sizes.where("blocks > 1").select("gid", "head").join(root_of("head", "first"), "head", "left").select("gid", F.coalesce("first", "head").alias("first"))
+    named = dealt.join(root_of("h", "mine"), "h", "left").withColumn("mine", F.coalesce("mine", "h"))
+    named = skewed_join(named, heads.join(sizes.select("gid", "n"), "gid"), "gid", "n")
+    named = durable(named.select("gid", "h", payload, "block", "blocks", (F.col("mine") != F.col("first")).alias("apart")))
+    turns = durable(named.where("apart").groupBy("gid").agg(F.ceil(F.sum(weight) / block).cast("int").alias("turns")).join(sizes.select("gid", "n"), "gid"))
+    if turns.isEmpty():
+        return small.union(first)
+    left = skewed_join(named, turns, "gid", "n")
+    lone = left.where("apart").select("gid", "h", payload, F.pmod(F.xxhash64("h", F.lit(1)), F.col("turns")).cast("int").alias("turn"), each)
+    others = left.select("gid", "h", payload, F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "block")
+    both = lone.unionByName(others).select(F.xxhash64("gid", "turn", "block").alias("part"), "h", payload).dropDuplicates(["part", "h"])
+    return small.union(first).union(links(both))
+
+
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
-    """The batches of a partition sorted by key, recut so that no key goes over a cut."""
+    """The batches of a partition in which equal keys are neighbours, recut so that no key goes over a cut."""
     rest: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         k = batch.column(key).to_numpy(zero_copy_only=False)
-        last = int(np.searchsorted(k, k[-1], "left"))
-        if last == 0 and rest and rest[-1].column(key)[0].as_py() == k[0]:
-            rest.append(batch)
-            continue
         if rest:
-            same = int(np.searchsorted(k, rest[-1].column(key)[0].as_py(), "right"))
-            whole = pa.Table.from_batches([*rest, batch.slice(0, same)]).combine_chunks().to_batches()
-            yield from whole
-            rest = []
-            batch, last = batch.slice(same), last - same
-            if not batch.num_rows:
+            other = np.flatnonzero(k != rest[-1].column(key)[0].as_py())
+            if not len(other):
+                rest.append(batch)
                 continue
-            last = max(last, 0)
+            same = int(other[0])
+            yield from pa.Table.from_batches([*rest, batch.slice(0, same)]).combine_chunks().to_batches()
+            batch, k = batch.slice(same), k[same:]
+        other = np.flatnonzero(k != k[-1])
+        last = int(other[-1]) + 1 if len(other) else 0
         if last:
             yield batch.slice(0, last)
         rest = [batch.slice(last)]

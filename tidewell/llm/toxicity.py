@@ -16,7 +16,7 @@ counts of at most BUCKETS buckets.
 
 Nulls, empty and ties: a null or wordless text has an empty bag and gets the
 bias alone; without labelled rows of both classes every score is 0 (only label 0, or none) or 1 (only label 1);
-repeated rows get equal scores; other columns are not looked at.
+repeated rows get equal scores; of different texts under a labelled doc_id one is trained on, the same one in every run; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -183,8 +183,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, epochs
     for c in (0, 1):
         one = own.where(F.col("toxic") == c).orderBy(turn, "doc_id").limit(per_class)
         picked = one if picked is None else picked.union(one)
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", _features("text").alias("f"))
-    rows = texts.select("doc_id", "toxic", "f.*").dropDuplicates(["doc_id"]).toLocalIterator(prefetchPartitions=True)
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", F.xxhash64("text").alias("h"), _features("text").alias("f"))
+    one = texts.groupBy("doc_id").agg(F.min_by(F.struct("toxic", "f.*"), "h").alias("r"))  # of texts that share an id, that of the least hash
+    rows = one.select("doc_id", "r.*").toLocalIterator(prefetchPartitions=True)
     got = sorted(((r["doc_id"], r["toxic"], np.frombuffer(r["bucket"], np.int32), np.frombuffer(r["share"], np.float32)) for r in rows), key=lambda r: r[0])
     got = [r for r in got if len(r[2])]
     y = np.array([r[1] for r in got], np.int64)
