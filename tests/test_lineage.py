@@ -39,6 +39,24 @@ def test_orphans_roots_resolve(spark):
         g.resolve("m")
 
 
+def test_an_exact_id_is_never_ambiguous(spark):
+    nodes = spark.createDataFrame([(f"a{i:03}.orders", "tabla", "", "") for i in range(60)] + [("orders", "tabla", "", "")], "id string, tipo string, capa string, detalle string")
+    g = lineage.Graph.of([nodes], [spark.createDataFrame([("orders", "a001.orders", "sql")], "origen string, destino string, motivo string")])
+    assert g.resolve("Orders") == "orders" and g.resolve("a007.orders") == "a007.orders"
+    with pytest.raises(lineage.AmbiguousNode) as e:
+        lineage.Graph(g.nodes.where("id <> 'orders'"), g.edges).resolve("orders")
+    assert len(e.value.candidates) == 50
+
+
+def test_a_cycle_is_seen_when_a_round_peels_nothing(spark, monkeypatch):
+    edges = [(f"n{i:02}", f"n{i + 1:02}") for i in range(3)] + [(f"m{i:02}", f"m{(i + 1) % 3:02}") for i in range(3)]
+    ids = sorted({n for e in edges for n in e} | {f"z{i}" for i in range(25)})
+    cuts = []
+    monkeypatch.setattr(lineage, "durable", lambda df, real=lineage.durable: cuts.append(1) or real(df))
+    got = dict(rows(lineage.longest_levels(spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(edges, "origen string, destino string"), small=0)))
+    assert got == lineage.cut_levels(ids, edges) and len(cuts) < 20
+
+
 def test_both_ways_of_walking_agree(spark):
     rnd = random.Random(7)
     for size, chance in ((8, 0.2), (12, 0.12)):
@@ -139,8 +157,8 @@ def test_causal_cycles_never_leave_links_out(spark):
         register.causal_cycles(frame, limit=2)
 
 
-def test_register_checks_all_reads_every_order(spark, sf):
+def test_register_checks_reads_every_order(spark, sf):
     path = sf.replace("sf0.001", "sf0.01")
     n = spark.read.parquet(f"{path}/orders.parquet").where("o_orderkey % 2 = 0").count()
-    got = {r["control"]: r["filas"] for r in registry.QUERIES["register_checks_all"](spark, path).collect()}
+    got = {r["control"]: r["filas"] for r in registry.QUERIES["register_checks"](spark, path).collect()}
     assert n > 1501 and got["publicas"] == n

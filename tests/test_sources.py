@@ -11,10 +11,10 @@ T0 = datetime(2026, 9, 24, tzinfo=timezone.utc)
 
 
 def test_retries_only_what_may_pass():
-    answers = [(503, {}, ""), (429, {"Retry-After": "7"}, ""), (200, {}, "ok")]
+    answers = [(503, {}, ""), (429, {"Retry-After": "7"}, ""), (200, {}, '"ok"')]
     waits = []
     body, attempts = api.fetch(lambda u, h: answers[len(waits)], "u", {}, sleep=waits.append)
-    assert (body, attempts, waits) == ("ok", 3, [1.0, 7.0])
+    assert (body, attempts, waits) == ('"ok"', 3, [1.0, 7.0])
     with pytest.raises(api.RequestFailed):
         api.fetch(lambda u, h: (404, {}, ""), "u", {}, sleep=waits.append)
     with pytest.raises(api.BudgetSpent):
@@ -31,6 +31,27 @@ def test_api_reader_makes_a_partition_for_each_window():
         api._Reader({"url": "http://x", "windows": json.dumps(windows), "max_requests": "2"}).partitions()
 
 
+def test_failures_say_how_often_was_asked():
+    def fails(transport, **options):
+        with pytest.raises(api.RequestFailed) as e:
+            api.fetch(transport, "u", {}, sleep=lambda s: None, **options)
+        return e.value.code, e.value.attempts
+
+    def dead(u, h):
+        raise TimeoutError("timed out")
+
+    assert fails(lambda u, h: (404, {}, "")) == (404, 1) and fails(lambda u, h: (503, {}, "")) == (503, 3)
+    assert fails(dead) == (None, 3) and fails(dead, tries=1) == (None, 1) and fails(lambda u, h: (200, {}, "<html>")) == (200, 1)
+
+
+def test_retries_stay_within_the_budget():
+    for windows in range(1, 20):
+        for most in range(windows, 70):
+            given = api.allowances(windows, most)
+            assert len(given) == windows and sum(given) <= most and all(1 <= n <= api.TRIES for n in given)
+            assert sum(given) == min(most, windows * api.TRIES)
+
+
 def test_append_keeps_versions_and_reads_days(spark, tmp_path):
     rows = spark.createDataFrame([(1, T0, 1.0, None, None), (1, T0 + timedelta(days=1), 2.0, 3, "z")], "indicador_id bigint, instante timestamp, valor double, geo_id bigint, geo_nombre string")
     path = str(tmp_path / "raw")
@@ -75,5 +96,14 @@ def test_schema_files_list_columns_in_order():
         assert [c["name"] for c in json.loads(table.to_json())] == [f.name for f in table.schema]
 
 
+def test_accents_go_by_decomposition(spark):
+    from tidewell.functions import scalars
+
+    texts = ["Ñandú ÇÀ", "ŁÓDŹ ǅ", "ἀρχή", "Việt Nam", "e\u0301", "ß", "й"]
+    strip = lambda t: "".join(c for c in __import__("unicodedata").normalize("NFD", t.lower()) if not __import__("unicodedata").combining(c))
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(scalars.folded(F.col("t"))).collect()]
+    assert got == [strip(t) for t in texts]
+
+
 def test_names_of_layers():
     assert store.dataset_name("marts", "prod") == "marts" and store.dataset_name("marts", "dev") == "dev_marts"

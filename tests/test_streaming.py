@@ -2,12 +2,13 @@ from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
+from tidewell import schemas
 from tidewell.streaming import flow, gates, panes
 
-HOUR = datetime(2026, 9, 29, 10, tzinfo=timezone.utc)
+HOUR = datetime(2025, 3, 11, 10, tzinfo=timezone.utc)
 
 
-def message(at, value, indicator=551):
+def message(at, value, indicator=77):
     return f'{{"indicador_id": {indicator}, "instante": "{at}", "valor": {value}}}'
 
 
@@ -24,28 +25,28 @@ def feed(spark, tmp_path, batches, **options):
     return rows, rejects
 
 
-FAR = message("2027-01-01T00:00:00Z", 0, -1)
+FAR = message("2025-07-01T00:00:00Z", 0, -1)
 
 
 def test_late_reading_makes_a_second_pane(spark, tmp_path):
-    rows, rejects = feed(spark, tmp_path, [[message("2026-09-29T10:05:00Z", 3000)], [message("2026-09-29T12:00:00Z", 1, -1)], [message("2026-09-29T10:10:00+00:00", 2000)], [FAR], [FAR]])
-    assert [(r["potencia_media_mw"], r["panel"], r["es_tardio"], r["lecturas"]) for r in rows] == [(3000.0, 0, False, 1), (2500.0, 1, True, 2)]
+    rows, rejects = feed(spark, tmp_path, [[message("2025-03-11T10:05:00Z", 640)], [message("2025-03-11T12:00:00Z", 1, -1)], [message("2025-03-11T10:10:00+00:00", 260)], [FAR], [FAR]])
+    assert [(r["potencia_media_mw"], r["panel"], r["es_tardio"], r["lecturas"]) for r in rows] == [(640.0, 0, False, 1), (450.0, 1, True, 2)]
     assert not rejects
 
 
 def test_beyond_the_tolerance_is_dropped(spark, tmp_path):
-    rows, _ = feed(spark, tmp_path, [[message("2026-09-29T10:05:00Z", 3000)], [message("2026-10-01T11:00:00Z", 1, -1)], [message("2026-09-29T10:10:00Z", 9)], [FAR], [FAR]])
-    assert [(r["potencia_media_mw"], r["panel"]) for r in rows] == [(3000.0, 0)]
+    rows, _ = feed(spark, tmp_path, [[message("2025-03-11T10:05:00Z", 640)], [message("2025-03-13T11:00:00Z", 1, -1)], [message("2025-03-11T10:10:00Z", 9)], [FAR], [FAR]])
+    assert [(r["potencia_media_mw"], r["panel"]) for r in rows] == [(640.0, 0)]
 
 
 def test_just_inside_the_tolerance_counts(spark, tmp_path):
-    rows, _ = feed(spark, tmp_path, [[message("2026-09-29T10:05:00Z", 10)], [message("2026-10-01T10:45:00Z", 1, -1)], [message("2026-09-29T10:10:00Z", 20)], [FAR], [FAR]])
+    rows, _ = feed(spark, tmp_path, [[message("2025-03-11T10:05:00Z", 10)], [message("2025-03-13T10:45:00Z", 1, -1)], [message("2025-03-11T10:10:00Z", 20)], [FAR], [FAR]])
     assert [r["potencia_media_mw"] for r in rows] == [10.0, 15.0]
 
 
 def test_malformed_messages_are_rejected_whole(spark):
-    bad = ["{no", "[1, 2]", '{"indicador_id": 1, "valor": 2}', '{"indicador_id": 1, "instante": "ayer", "valor": 2}', '{"indicador_id": 1, "instante": "2026-09-29T10:00:00", "valor": 2}', '{"indicador_id": 1, "instante": "2026-09-29T10:00:00Z", "valor": null}', ""]
-    frame = spark.createDataFrame([(b.encode(),) for b in [*bad, message("2026-09-29T10:00:00Z", 5)]] + [(b"\xff\xfe{}",), (None,)], "value binary")
+    bad = ["{no", "[1, 2]", '{"indicador_id": 1, "valor": 2}', '{"indicador_id": 1, "instante": "ayer", "valor": 2}', '{"indicador_id": 1, "instante": "2025-03-11T10:00:00", "valor": 2}', '{"indicador_id": 1, "instante": "2025-03-11T10:00:00Z", "valor": null}', ""]
+    frame = spark.createDataFrame([(b.encode(),) for b in [*bad, message("2025-03-11T10:00:00Z", 5)]] + [(b"\xff\xfe{}",), (None,)], "value binary")
     readings, rejects = gates.split(frame, F.lit(HOUR).cast("timestamp"))
     assert readings.collect()[0]["valor"] == 5.0 and readings.count() == 1
     why = {r["original"]: r["motivo"] for r in rejects.collect()}
@@ -54,10 +55,64 @@ def test_malformed_messages_are_rejected_whole(spark):
 
 
 def test_messages_round_trip(spark):
-    readings = spark.createDataFrame([(551, HOUR, 2.5)], "indicador_id bigint, instante timestamp, valor double")
+    readings = spark.createDataFrame([(77, HOUR, 2.5)], "indicador_id bigint, instante timestamp, valor double")
     again, rejects = gates.split(gates.to_messages(readings), F.current_timestamp())
     assert again.collect() == readings.collect() and rejects.count() == 0
 
 
 def test_tolerance_is_that_of_the_batch():
     assert panes.TOLERANCE_MS == 48 * panes.HOUR_MS
+
+
+def test_requests_are_bounded_and_carry_every_row(spark, tmp_path):
+    sink = str(tmp_path / "sent")
+
+    def send(messages):
+        import os
+        import pickle
+        import uuid
+
+        os.makedirs(sink, exist_ok=True)
+        with open(f"{sink}/{uuid.uuid4().hex}", "wb") as f:
+            pickle.dump(messages, f)
+
+    rows = spark.range(0, 1203, 1, 2).selectExpr("timestamp_seconds(id) AS hora", "id AS indicador_id", "id / 2 AS potencia_media_mw", "0D AS potencia_min_mw", "1D AS potencia_max_mw", "0L AS lecturas", "false AS hora_completa", "0L AS panel", "id % 2 = 0 AS es_tardio", "timestamp_seconds(id) AS emitido_en")
+    flow.batched(rows, schemas.PANES, send)
+    import pickle
+
+    requests = [pickle.loads(p.read_bytes()) for p in (tmp_path / "sent").iterdir()]
+    assert sum(map(len, requests)) == 1203 and max(map(len, requests)) <= 500
+    first = next(m for r in requests for m in r if read_wire(m)[2] == 5)
+    assert read_wire(first) == {1: 5_000_000, 2: 5, 3: 2.5, 4: 0.0, 5: 1.0, 6: 0, 7: 0, 8: 0, 9: 0, 10: 5_000_000}
+
+
+def read_wire(message):
+    """Fields of a message in the protocol-buffer wire format."""
+    import struct
+
+    def varint(at):
+        n = shift = 0
+        while True:
+            b = message[at]
+            n |= (b & 0x7F) << shift
+            at, shift = at + 1, shift + 7
+            if b < 0x80:
+                return n, at
+
+    fields, at = {}, 0
+    while at < len(message):
+        tag, at = varint(at)
+        if tag & 7 == 0:
+            fields[tag >> 3], at = varint(at)
+        elif tag & 7 == 1:
+            fields[tag >> 3], at = struct.unpack("<d", message[at : at + 8])[0], at + 8
+        else:
+            n, at = varint(at)
+            fields[tag >> 3], at = message[at : at + n].decode(), at + n
+    return fields
+
+
+def test_wire_leaves_nulls_out_and_writes_text():
+    kinds = [("a", "STRING"), ("b", "INTEGER"), ("c", "FLOAT")]
+    assert read_wire(schemas.wire(kinds, ("ñandú", None, -1.5))) == {1: "ñandú", 3: -1.5}
+    assert read_wire(schemas.wire(kinds, (None, -1, None))) == {2: (1 << 64) - 1}

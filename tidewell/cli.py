@@ -5,14 +5,14 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell import schemas, session
-from tidewell.operators import ask, lineage, planner, series, usage
+from tidewell.operators import ask, lineage, planner, register, series, usage
 from tidewell.plans import render
 from tidewell.sources import api, metadata, store
 from tidewell.streaming import flow, gates
@@ -41,7 +41,7 @@ def parser() -> argparse.ArgumentParser:
     add("buscar", a("texto"), a("--catalogo", required=True))
     add("plan", *policy)
     add("ingesta", *policy, a("--url", required=True), a("--token"), a("--catalogo"), a("--datos", required=True), a("--auditoria", required=True), a("--publicar"))
-    add("diagnostico", a("indicador", type=int), a("--datos", required=True), a("--dia", type=when, required=True))
+    add("diagnostico", a("indicador", type=int), a("--datos"), a("--horario"), a("--url"), a("--token"), a("--dia", type=when, required=True))
     for name in ("linaje", "impacto"):
         add(name, a("tabla"), a("--saltos", type=int), *graph)
     add("huerfanas", *graph, a("--externas", action="store_true"), a("--historial"), a("--dias", type=int, default=180))
@@ -50,8 +50,10 @@ def parser() -> argparse.ArgumentParser:
     add("visor", *graph, a("--salida", required=True))
     add("pregunta", a("texto"), a("--explicar", action="store_true"), *graph)
     add("evaluar", a("--banco", required=True), a("--proyecto", default=""), a("--minimo-f2", type=float, default=0.0), *graph)
-    add("flujo", a("--entrada", required=True), a("--salida", required=True), a("--estado", required=True), a("--segundos", type=float))
-    add("publicar", a("--fichero", required=True), a("--tema", required=True))
+    kafka = a("--kafka", help="servers; the folder's argument then names the topic")
+    add("flujo", kafka, a("--entrada", required=True), a("--salida", required=True), a("--estado", required=True), a("--segundos", type=float))
+    add("publicar", kafka, a("--fichero", required=True), a("--tema", required=True))
+    add("registro", a("--fichero", required=True), a("--salida", required=True), a("--publico", action="store_true"))
     add("cuadrar", a("--indicador", type=int, required=True), a("--datos", required=True), a("--flujo", required=True), a("--tolerancia", type=float, default=0.001))
     return p
 
@@ -86,8 +88,24 @@ def planned(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     return planner.plan(asked, marks, args.ahora or datetime.now(timezone.utc), policy)
 
 
+def fetched_windows(spark: SparkSession, url: str, token: str | None, windows: list[list], most: int, trunc: str | None = None) -> DataFrame:
+    """What the API answers for windows [indicator, start, end], kept so that nothing is asked twice."""
+    spark.dataSource.register(api.ReadingsApi)
+    reader = spark.read.format("readings_api").option("url", url).option("windows", json.dumps(windows)).option("max_requests", str(most))
+    for name, value in (("token", token), ("time_trunc", trunc)):
+        reader = reader.option(name, value) if value else reader
+    return lineage.durable(reader.load())
+
+
+def unbroken(fetched: DataFrame) -> DataFrame:
+    """(indicador_id, hasta): the end of each indicator's windows before its first one that failed, so that a mark never passes a hole."""
+    bad = fetched.where("codigo IS NULL OR codigo <> 200").groupBy("indicador_id").agg(F.min("inicio").alias("roto"))
+    good = fetched.where("codigo = 200").join(bad, "indicador_id", "left").where("roto IS NULL OR inicio < roto")
+    return good.groupBy("indicador_id").agg(F.max("fin").alias("hasta"))
+
+
 def ingest(spark: SparkSession, args: argparse.Namespace) -> int:
-    """Fetch, append, publish, advance, audit, in this order: a mark moves only after its readings are stored."""
+    """Fetch, append, publish, advance, audit, in this order: a mark moves only after its readings, and all before them, are stored."""
     if args.catalogo:
         missing = metadata.Catalog.load(spark, args.catalogo).missing(spark.createDataFrame([(i,) for i in args.indicador], "id bigint"))
         if not missing.isEmpty():
@@ -95,19 +113,37 @@ def ingest(spark: SparkSession, args: argparse.Namespace) -> int:
     windows = [[r["indicador_id"], r["inicio"].replace(tzinfo=timezone.utc).isoformat(), r["fin"].replace(tzinfo=timezone.utc).isoformat()] for r in planned(spark, args).collect()]
     if not windows:
         return 0
-    spark.dataSource.register(api.ReadingsApi)
-    reader = spark.read.format("readings_api").option("url", args.url).option("windows", json.dumps(windows)).option("max_requests", str(args.max_peticiones))
-    fetched = lineage.durable((reader.option("token", args.token) if args.token else reader).load())
+    fetched = fetched_windows(spark, args.url, args.token, windows, args.max_peticiones)
     good = fetched.where("codigo = 200")
     store.append_readings(api.readings(good), args.datos, F.current_timestamp())
     if args.publicar:
         gates.to_messages(api.readings(good)).write.mode("append").text(args.publicar)
     if args.marcas:
-        store.Watermarks(spark, args.marcas).advance(good.select("indicador_id", F.col("fin").alias("hasta")), F.current_timestamp())
+        store.Watermarks(spark, args.marcas).advance(unbroken(fetched), F.current_timestamp())
     store.append_requests(api.audit(fetched, F.current_timestamp()), args.auditoria)
     return 4 if fetched.where("codigo IS NULL OR codigo <> 200").count() else 0
 
 
+def diagnose(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Zones of a day's fine and hourly readings, from the API (two windows, four requests at most) or from stored folders; then whether the first hour is the sum or the mean."""
+    day = args.dia
+    if args.url:
+        window = [[args.indicador, day.isoformat(), (day + timedelta(days=1)).isoformat()]]
+        fine, hourly = (api.readings(fetched_windows(spark, args.url, args.token, window, 2, trunc).where("codigo = 200")) for trunc in (None, "hour"))
+    elif args.datos:
+        own = lambda path: store.load(spark, path, schemas.READINGS).where((F.col("indicador_id") == args.indicador) & (F.to_date("instante") == F.lit(day.date())))
+        fine, hourly = own(args.datos), own(args.horario) if args.horario else None
+    else:
+        raise ValueError("--url or --datos is needed")
+    nothing = show(series.by_zone(fine))
+    first = None if hourly is None or show(series.by_zone(hourly)) else hourly.orderBy("instante", F.asc_nulls_last("geo_id")).first()
+    if first is not None:
+        zone = F.col("geo_id").eqNullSafe(F.lit(first["geo_id"]))
+        coarse = hourly.where(zone & (F.col("instante") == F.lit(first["instante"]))).select("indicador_id", F.col("instante").alias("hora"), "valor")
+        show(series.sum_or_mean(fine.where(zone), coarse))
+    return nothing
+
+
 def run(args: argparse.Namespace) -> int:
     spark = session.build("tidewell")
     command = args.command
@@ -118,12 +154,19 @@ def run(args: argparse.Namespace) -> int:
     if command == "ingesta":
         return ingest(spark, args)
     if command == "diagnostico":
-        rows = store.load(spark, args.datos, schemas.READINGS).where((F.col("indicador_id") == args.indicador) & (F.to_date("instante") == F.lit(args.dia.date())))
-        return show(series.by_zone(rows))
+        return diagnose(spark, args)
     if command == "flujo":
-        return int(not flow.run(flow.messages(spark, args.entrada), args.salida, args.estado, args.segundos))
+        kafka = {"kafka.bootstrap.servers": args.kafka, "subscribe": args.entrada, "startingOffsets": "earliest"} if args.kafka else None
+        return int(not flow.run(flow.messages(spark, args.entrada, kafka), args.salida, args.estado, args.segundos))
     if command == "publicar":
-        store.raw_lines(spark, args.fichero).write.mode("append").text(args.tema)
+        lines = store.raw_lines(spark, args.fichero)
+        if args.kafka:
+            flow.to_kafka(lines, {"kafka.bootstrap.servers": args.kafka, "topic": args.tema})
+        else:
+            lines.write.mode("append").text(args.tema)
+        return 0
+    if command == "registro":
+        Path(args.salida).write_text(register.script(spark, register.read_register(args.fichero), only_public=args.publico), encoding="utf-8")
         return 0
     if command == "cuadrar":
         raw = store.load(spark, args.datos, schemas.READINGS).where(F.col("indicador_id") == args.indicador)

@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ACCENTS = ("áàäâãéèëêíìïîóòöôõúùüûñç", "aaaaaeeeeiiiiooooouuuunc")
+def _bare_letters() -> tuple[str, str]:
+    """Lower-case letters that are a letter with marks by canonical decomposition, and the letters without them."""
+    pairs = []
+    for code in range(0xC0, 0x2000):
+        base, *marks = unicodedata.normalize("NFD", chr(code))
+        if marks and chr(code) == chr(code).lower() and all(unicodedata.combining(m) for m in marks) and not unicodedata.combining(base):
+            pairs.append((chr(code), base))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_ACCENTS = _bare_letters()
 
 
 def utc(text: Column) -> Column:
@@ -20,13 +32,12 @@ def zoned(text: Column) -> Column:
 
 def plain(text: Column) -> Column:
     """Lower case, without accents, punctuation or repeated spaces."""
-    low = F.translate(F.lower(text), *_ACCENTS)
-    return F.trim(F.regexp_replace(F.regexp_replace(low, "[¿?¡!,;.]", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(folded(text), "[¿?¡!,;.]", " "), r"\s+", " "))
 
 
 def folded(text: Column) -> Column:
-    """Lower case without accents, for searching."""
-    return F.translate(F.lower(text), *_ACCENTS)
+    """Lower case without accents or other marks, joined to their letter or standing alone, for searching."""
+    return F.regexp_replace(F.translate(F.lower(text), *_ACCENTS), r"\p{Mn}", "")
 
 
 def ratio(a: Column, b: Column) -> Column:

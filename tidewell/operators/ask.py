@@ -34,15 +34,21 @@ SIGNALS: dict[str, tuple[str, ...]] = {
     "resumen": ("cuantas tablas", "cuantos nodos", "resumen", "que hay en", "como es el grafo", "cuantas dependencias", "tamano del grafo"),
 }
 NUMBER_WORDS = (("un", 1), ("primer", 1), ("dos", 2), ("segundo", 2), ("tres", 3), ("tercer", 3), ("cuatro", 4), ("cinco", 5))
+# The shapes of a depth ("a dos saltos") and of a table's name (back-ticked, dotted, with underscores, or a loose word); which
+# questions name a table or a depth depends on these alone.
 HOPS = r"(?i)(?:a|hasta|solo|en)\s+(?:el\s+|los\s+|las\s+)?(\d+|un|uno|una|dos|tres|cuatro|cinco|primer\w*|segundo|tercer\w*)\s*(?:salto|nivel|paso|capa)"
 SHAPED = r"(?i)`[^`]+`|\b[a-z0-9_-]+(?:\.[a-z0-9_-]+){1,2}\b|\b[a-z]+(?:_+[a-z0-9]+)+\b"
 LOOSE = r"\b([a-z][a-z0-9_]{3,})\b"
-NO_TABLES = tuple(
-    "afecta aguas abajo arriba algun alguna algo antes borrar borro cambio columna como consume consulta consultan consumidores cual cuando cuanto "
-    "cuantas cuantos datos deja depende dependencias desde dime donde ejemplo entonces esta estan este esto funcionar grafo hasta impacto linaje "
-    "modifico nadie nivel niveles origen para pasa puedo puede quien rompe rompo salto saltos sale salen sobra tabla tablas toco todas todos usan "
-    "circulares circular ciclo ciclos muerde cola resumen llovido madrid hoy pedidos etc p.ej ej".split()
+# Words that are no tables, and abbreviations with a dot.
+WORDS = (
+    "afecta", "aguas", "abajo", "arriba", "algun", "alguna", "algo", "antes", "borrar", "borro", "cambio", "columna", "como", "consume", "consulta",
+    "consultan", "consumidores", "cual", "cuando", "cuanto", "cuantas", "cuantos", "datos", "deja", "depende", "dependencias", "desde", "dime", "donde",
+    "ejemplo", "entonces", "esta", "estan", "este", "esto", "funcionar", "grafo", "hasta", "impacto", "linaje", "modifico", "nadie", "nivel", "niveles",
+    "origen", "para", "pasa", "puedo", "puede", "quien", "rompe", "rompo", "salto", "saltos", "sale", "salen", "sobra", "tabla", "tablas", "toco",
+    "todas", "todos", "usan", "circulares", "circular", "ciclo", "ciclos", "muerde", "cola", "resumen", "llovido", "madrid", "hoy", "pedidos",
 )
+ABBREVIATIONS = ("etc", "p.ej", "ej")
+NO_TABLES = (*WORDS, *ABBREVIATIONS)
 ABOUT_A_TABLE = ("impacto", "linaje")
 
 

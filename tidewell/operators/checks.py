@@ -63,3 +63,17 @@ def freshness(df: DataFrame, column: str, as_of: Column, warn_hours: int = 6, er
     age = F.expr("timestampdiff(SECOND, ultimo, __now)") / 3600.0
     state = F.when(F.col("ultimo").isNull() | (age > error_hours), "error").when(age > warn_hours, "warn").otherwise("pass")
     return row.select("ultimo", F.round(age, 4).alias("horas"), state.alias("estado"))
+
+
+#: Column of a mart, least and greatest value.
+MART_RANGES = {"generacion": (("razon_generacion_demanda", 0.5, 2.5), ("porcentaje_renovable", 0.0, 100.0)), "tecnologia": (("porcentaje_del_mix", -100.0, 100.0),)}
+
+
+def mart_ranges(generation: DataFrame, technologies: DataFrame) -> DataFrame:
+    """Q7: (mart, columna, hora, valor) of the marts' values beyond their ranges; nulls are none."""
+    out = None
+    for (name, ranges), mart in zip(MART_RANGES.items(), (generation, technologies), strict=True):
+        for column, low, high in ranges:
+            rows = between(mart, column, low, high).select(F.lit(name).alias("mart"), F.lit(column).alias("columna"), "hora", F.col(column).cast("double").alias("valor"))
+            out = rows if out is None else out.unionByName(rows)
+    return out

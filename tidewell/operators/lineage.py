@@ -9,13 +9,14 @@ paths, layout) always work on collected edges, bounded by ``limit``.
 
 from __future__ import annotations
 
-import tempfile
 from collections import defaultdict
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.session import shared_folder
+
 NODE_TYPES = ("tabla", "vista", "modelo", "semilla", "fuente", "prueba", "externo", "desconocido")
 UNKNOWN = ("desconocido", "externo")
 COLLECT_LIMIT = 200_000
@@ -39,10 +40,8 @@ class AmbiguousNode(LookupError):
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """df behind a checkpoint() in the cluster's folder, or in our own where none is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewell-checkpoint-"))
+    """df behind a checkpoint() in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -122,11 +121,11 @@ class Graph:
         return self.nodes.join(into, "id", "left").join(out, "id", "left").fillna(0, ["entradas", "salidas"]).orderBy(F.coalesce("capa", F.lit("~")), "id")
 
     def resolve(self, name: str) -> str:
-        """The id itself, or the only id that ends with ``.name``."""
+        """The id itself, or the only id that ends with ``.name``; an error names up to 50 candidates."""
         name = name.lower()
-        found = [r["id"] for r in self.nodes.where((F.col("id") == name) | F.col("id").endswith(f".{name}")).select("id").orderBy("id").limit(50).collect()]
-        if name in found:
+        if not self.nodes.where(F.col("id") == name).isEmpty():
             return name
+        found = [r["id"] for r in self.nodes.where(F.col("id").endswith(f".{name}")).select("id").distinct().orderBy("id").limit(50).collect()]
         if len(found) > 1:
             raise AmbiguousNode(name, found)
         if not found:
@@ -182,6 +181,7 @@ def reach(pairs: DataFrame, start: str, hops: int | None = None, small: int = SM
         return spark.createDataFrame(sorted(rows, key=lambda r: (r[1], r[0])), "id string, salto int, via string")
     pairs = pairs.distinct()
     seen = frontier = durable(spark.createDataFrame([(start, 0, [start])], "id string, salto int, path array<string>"))
+    pairs = durable(pairs)
     step = 0
     while hops is None or step < hops:
         step += 1
@@ -190,7 +190,7 @@ def reach(pairs: DataFrame, start: str, hops: int | None = None, small: int = SM
         frontier = durable(frontier)
         if frontier.isEmpty():
             break
-        seen = durable(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)  # every level is written once
     return seen.where("salto > 0").select("id", "salto", F.get("path", F.size("path") - 2).alias("via")).orderBy("salto", "id")
 
 
@@ -320,25 +320,26 @@ def _least_reaching(pairs: DataFrame, colour: DataFrame) -> DataFrame:
 
 
 def longest_levels(ids: DataFrame, edges: DataFrame, limit: int = COLLECT_LIMIT, small: int = SMALL) -> DataFrame:
-    """(id, nivel) by relaxation, a level a round; a graph with cycles falls back to a walk on collected edges."""
+    """(id, nivel): each round peels the nodes that nothing left leads to. What stays when a round peels none has cycles, and is walked on collected edges."""
     spark = ids.sparkSession
     total = ids.count()
     few = collected(edges.select("origen", "destino"), small) if total <= small else None
     if few is not None:
         return spark.createDataFrame(sorted(cut_levels([r["id"] for r in ids.collect()], few).items()), "id string, nivel int")
-    level = durable(ids.select("id", F.lit(0).alias("nivel")))
     pairs = durable(edges.select("origen", "destino").distinct())
-    frontier = level.select("id")
-    rounds = 0
-    while True:
-        rounds += 1
-        reached = pairs.join(frontier, pairs.origen == frontier.id, "left_semi").select(F.col("destino").alias("id")).distinct()
-        frontier = durable(reached)
-        if frontier.isEmpty():
-            return level
-        if rounds > total:
+    left = durable(ids.select("id").union(pairs.select("origen")).distinct())
+    waiting, found, step = pairs, None, 0
+    while not left.isEmpty():
+        ready = durable(left.join(waiting.select(F.col("destino").alias("id")).distinct(), "id", "left_anti"))
+        if ready.isEmpty():
             break
-        level = durable(level.join(frontier.withColumn("__r", F.lit(rounds)), "id", "left").select("id", F.coalesce("__r", "nivel").alias("nivel")))
+        level = ready.withColumn("nivel", F.lit(step))
+        found = level if found is None else found.union(level)
+        left = durable(left.join(ready, "id", "left_anti"))
+        waiting = durable(waiting.join(ready, waiting.origen == ready.id, "left_anti"))
+        step += 1
+    else:
+        return spark.createDataFrame([], "id string, nivel int") if found is None else found
     rows = pairs.limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"a cyclic graph of more than {limit} edges")

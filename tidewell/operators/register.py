@@ -6,9 +6,11 @@ alternativas (array of struct elegida, motivo), enlaces (array of struct tipo, d
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lineage import back_edge_paths
@@ -93,3 +95,58 @@ def inventory(decisions: DataFrame) -> DataFrame:
 def ordered(decisions: DataFrame) -> DataFrame:
     """F8"""
     return decisions.orderBy("fecha", "orden", "id")
+
+
+LINKS = ("causada_por", "supera_a", "superada_por")  # fixed values: kinds of links in a register file
+SCHEMA = "id string, titulo string, fecha date, orden int, carril string, hito string, publica boolean, alternativas array<struct<elegida:boolean,motivo:string>>, enlaces array<struct<tipo:string,destino:string>>"
+
+
+def read_register(path: str) -> dict:
+    """A register file (YAML): proyecto, vocabulario (carriles, hitos), decisiones."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        try:
+            found = yaml.safe_load(f)
+        except yaml.YAMLError as e:
+            raise ValueError(f"{path}: {e}") from e
+    if not isinstance(found, dict) or not (found.get("vocabulario") or {}).get("carriles"):
+        raise ValueError(f"{path}: a register needs vocabulario with carriles")
+    return found
+
+
+def as_list(value) -> list:
+    return [] if value is None else list(value) if isinstance(value, (list, tuple)) else [value]
+
+
+def decisions_of(spark: SparkSession, register: dict) -> DataFrame:
+    """The decisions of a register file, as the checks want them."""
+    rows = []
+    for d in register.get("decisiones") or []:
+        day = d.get("fecha")
+        options = [(bool(a.get("elegida")), a.get("motivo")) for a in as_list(d.get("alternativas"))]
+        links = [(kind, str(t)) for kind in LINKS for t in as_list(d.get(kind))]
+        rows.append((d.get("id"), d.get("titulo"), date.fromisoformat(str(day)) if day else None, d.get("orden"), d.get("carril"), d.get("hito"), bool(d.get("publica", True)), options, links))
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def problems(decisions: DataFrame, vocabulary: dict) -> list[str]:
+    """What keeps a register from being published, one line for each fault."""
+    names = lambda key: [str(x["id"] if isinstance(x, dict) else x) for x in as_list(vocabulary.get(key))]
+    faults = [("incompleta", incomplete(decisions)), ("id repetido", repeated_ids(decisions)), ("alternativas", badly_chosen(decisions)), ("orden repetido", clashing_order(decisions)), ("enlace suelto", dangling(decisions)), ("sin reciproco", one_sided(decisions))]
+    faults += [("vocabulario", outside_vocabulary(decisions, column, names(key))) for column, key in (("carril", "carriles"), ("hito", "hitos"))]
+    found = [f"{name}: {row}" for name, rows in faults for row in rows.toJSON().collect()]
+    return found + [f"ciclo: {' -> '.join(path)}" for path in causal_cycles(decisions)]
+
+
+def script(spark: SparkSession, register: dict, variable: str = "REGISTRO", only_public: bool = False) -> str:
+    """A checked register as JavaScript: project, vocabulary, open questions, and decisions by day and place."""
+    decisions, vocabulary = decisions_of(spark, register), register["vocabulario"]
+    if faults := problems(decisions, vocabulary):
+        raise ValueError("; ".join(faults))
+    shown = public(decisions).select(decisions.columns) if only_public else decisions
+    rows = [json.loads(r) for r in ordered(shown).toJSON().collect()]
+    answered = {r.get("hito") for r in rows}
+    asked = [h for h in as_list(vocabulary.get("hitos")) if (h["id"] if isinstance(h, dict) else h) not in answered]
+    body = {"proyecto": register.get("proyecto") or {}, "vocabulario": vocabulary, "carriles": vocabulary["carriles"], "preguntas_abiertas": asked, "decisiones": rows}
+    return f"// Generado; no se edita a mano.\nwindow.{variable} = {json.dumps(body, ensure_ascii=False, indent=2, default=str)};\n"

@@ -25,7 +25,10 @@ def latest(df: DataFrame, key: Sequence[str], newest: Sequence[str]) -> DataFram
 
 
 def latest_by_hash(df: DataFrame, key: Sequence[str], newest: Sequence[str]) -> DataFrame:
-    """latest() as one partial aggregation: versions meet before the shuffle, so hot keys send one row a task."""
+    """latest() as one partial aggregation: versions meet before the shuffle, so hot keys send one row a task.
+
+    Structs can't be updated in place, so both sides of the aggregation sort; what is saved is the rows that are sent.
+    """
     rest = [c for c in df.columns if c not in key]
     row = F.struct(*rest)
     order = F.struct(*newest)
@@ -174,6 +177,33 @@ def sum_or_mean(fine: DataFrame, coarse: DataFrame) -> DataFrame:
     return coarse.join(hour, ["indicador_id", "hora"]).select("indicador_id", "hora", "valor", "suma", "media", F.when(far("suma") < far("media"), "SUM").otherwise("AVG").alias("veredicto"))
 
 
+def outcomes(requests: DataFrame) -> DataFrame:
+    """One row: requests, those with an HTTP answer of success, those without, points and attempts; cuadra says that the first is the sum of the next two."""
+    ok = F.coalesce("exito", F.lit(False))
+    sums = requests.agg(F.count("*").alias("peticiones"), F.count_if(ok).alias("peticiones_ok"), F.count_if(~ok).alias("peticiones_fallidas"), F.sum("puntos").alias("puntos"), F.sum("intentos").alias("intentos_http"))
+    return sums.withColumn("cuadra", F.col("peticiones_ok") + F.col("peticiones_fallidas") == F.col("peticiones"))
+
+
+def on_page(mart: DataFrame, last_hours: int | None = None) -> DataFrame:
+    """The dashboard's rows: hours that are covered (where the mart says so), and of these the newest hour or the last so many."""
+    covered = mart.where("cobertura_completa") if "cobertura_completa" in mart.columns else mart
+    return covered.where("es_ultima_hora") if last_hours is None else covered.where(F.col("horas_de_antiguedad") < last_hours)
+
+
+def cards(mart: DataFrame, quality: DataFrame, last_hours: int | None = None) -> DataFrame:
+    """One row: mean generation, renewable share and demand of the page's hours, greatest age of the data, and its colour."""
+    age = F.col("antiguedad_min")
+    now = on_page(mart, last_hours).agg(F.avg("potencia_total_mw").alias("generacion_mw"), F.avg("porcentaje_renovable").alias("porcentaje_renovable"), F.avg("demanda_mw").alias("demanda_mw"))
+    old = quality.agg(F.max("minutos_desde_el_ultimo_dato").alias("antiguedad_min"))
+    colour = F.when(age < 15, "verde").when(age < 90, "ambar").when(age >= 90, "rojo")  # fixed values: the page's limits in minutes
+    return now.crossJoin(F.broadcast(old)).withColumn("color", colour)
+
+
+def by_renewable(technologies: DataFrame) -> DataFrame:
+    """Energy and mean power of technologies that generate, by whether they are renewable."""
+    return technologies.where("potencia_media_mw > 0").groupBy("renovable").agg(F.sum("energia_mwh").alias("energia_mwh"), F.avg("potencia_media_mw").alias("potencia_media_mw"), F.max("potencia_max_mw").alias("potencia_max_mw"))
+
+
 def hour_profile(hours: DataFrame) -> DataFrame:
     """Mean power of each hour of the day."""
     return hours.groupBy(F.hour("hora").alias("hora_del_dia")).agg(F.avg("potencia_media_mw").alias("potencia_media_mw"), F.count("*").alias("horas"))

@@ -64,7 +64,7 @@ def read(spark: SparkSession, sql: str | None) -> Reading:
     ctes: set[str] = set()
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(bare.strip().rstrip(";"))
-        parsed, ctes = _unresolved(plan)
+        parsed, ctes = _unresolved(spark, plan)
     except Exception as e:  # noqa: BLE001  any text may come here
         out.approximate, out.error, parsed = True, str(e).strip().splitlines()[0][:300], set()
         ctes = {x.lower() for x in re.findall(r"(?i)(?:\bwith\s+(?:recursive\s+)?|,\s*)`?([a-z_][a-z0-9_]*)`?\s+as\s*\(", bare)}
@@ -73,9 +73,15 @@ def read(spark: SparkSession, sql: str | None) -> Reading:
     return out
 
 
-def _unresolved(plan) -> tuple[set[str], set[str]]:
+def _unresolved(spark: SparkSession, plan) -> tuple[set[str], set[str]]:
     """Multipart names of the unresolved relations and procedures of a parsed plan, subqueries included, and its CTE names."""
-    text = plan.toString()
+    fields = "spark.sql.debug.maxToStringFields"
+    before = spark.conf.get(fields)
+    spark.conf.set(fields, str(2**31 - 1))  # no list of names is cut short
+    try:
+        text = plan.toString()
+    finally:
+        spark.conf.set(fields, before)
     names = re.findall(r"'?Unresolved(?:Relation|Procedure|TableOrView|Table|Identifier) \[([^\]]+)\]", text)
     ctes = {x.strip().lower() for group in re.findall(r"CTE \[([^\]]+)\]", text) for x in group.split(",")}
     found = {".".join(p.strip().strip("`") for p in n.split(",")).lower() for n in names}

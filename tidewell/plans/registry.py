@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -186,6 +187,28 @@ def ranking_energy(spark, sf):
     return series.energy_ranking(_hours(spark, sf), 3)
 
 
+@query(f"WITH {x.REQUESTS_SQL} SELECT count(*) AS peticiones, count(*) FILTER (exito) AS peticiones_ok, count(*) FILTER (exito IS NOT TRUE) AS peticiones_fallidas, sum(puntos)::BIGINT AS puntos, sum(intentos)::BIGINT AS intentos_http, TRUE AS cuadra FROM req")
+def request_outcomes(spark, sf):
+    return series.outcomes(series.staged_requests(x.requests(spark, sf)))
+
+
+_AGE_SQL = f"d AS (SELECT hora::DATE AS dia, date_sub('minute', max(ingerido_en), TIMESTAMP '{x.AS_OF}') AS m FROM hor GROUP BY ALL), edad AS (SELECT max(m) AS m FROM d)"
+
+
+@query(f"""WITH {x.MART_SQL}, {_AGE_SQL}
+SELECT round(avg(potencia_total_mw), 4) AS generacion_mw, round(avg(porcentaje_renovable), 4) AS porcentaje_renovable, round(avg(demanda_mw), 4) AS demanda_mw, (SELECT m FROM edad) AS antiguedad_min,
+       (SELECT CASE WHEN m < 15 THEN 'verde' WHEN m < 90 THEN 'ambar' WHEN m >= 90 THEN 'rojo' END FROM edad) AS color
+FROM mart WHERE cobertura_completa AND horas_de_antiguedad < 480""")
+def dashboard_cards(spark, sf):
+    quality = series.quality_mart(_hours(spark, sf), x.readings(spark, sf), series.staged_requests(x.requests(spark, sf)), F.lit(x.AS_OF).cast("timestamp"))
+    return series.cards(_mart(spark, sf), quality, 480)
+
+
+@query(f"WITH {x.HOURLY_SQL} SELECT renovable, round(sum(energia_mwh), 4) AS energia_mwh, round(avg(potencia_media_mw), 4) AS potencia_media_mw, round(max(potencia_max_mw), 4) AS potencia_max_mw FROM hor WHERE hora_completa AND familia = 'generacion' AND sumable AND potencia_media_mw > 0 GROUP BY renovable")
+def dashboard_by_renewable(spark, sf):
+    return series.by_renewable(series.technology_mart(_hours(spark, sf), _mart(spark, sf)))
+
+
 # data checks
 
 
@@ -234,6 +257,15 @@ def generation_balance(spark, sf):
     return checks.balance(total("generacion", "generacion_mw"), total("demanda", "demanda_mw"))
 
 
+@query(f"""WITH {x.MART_SQL}, own AS (SELECT hor.hora, CASE WHEN cobertura_completa THEN round(100.0 * potencia_media_mw / nullif(potencia_total_mw, 0), 2) END AS mix
+  FROM hor LEFT JOIN mart ON hor.hora = mart.hora AND hor.geo_id = mart.geo_id WHERE hora_completa AND familia = 'generacion' AND sumable)
+SELECT 'generacion' AS mart, 'razon_generacion_demanda' AS columna, hora, razon_generacion_demanda::DOUBLE AS valor FROM mart WHERE razon_generacion_demanda NOT BETWEEN 0.5 AND 2.5
+UNION ALL SELECT 'generacion', 'porcentaje_renovable', hora, porcentaje_renovable::DOUBLE FROM mart WHERE porcentaje_renovable NOT BETWEEN 0 AND 100
+UNION ALL SELECT 'tecnologia', 'porcentaje_del_mix', hora, mix::DOUBLE FROM own WHERE mix NOT BETWEEN -100 AND 100""")
+def mart_ranges(spark, sf):
+    return checks.mart_ranges(_mart(spark, sf), series.technology_mart(_hours(spark, sf), _mart(spark, sf)))
+
+
 # lineage
 
 
@@ -309,9 +341,59 @@ def roots(spark, sf):
     return _graph(spark).roots()
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def anti_orphans(spark, sf):
-    return x.table(spark, sf, "customer").join(x.table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    returned = x.table(spark, sf, "lineitem").where("l_returnflag = 'R'")
+    return x.table(spark, sf, "orders").join(returned, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+
+
+# A graph of the driver's tables: regions, nations, customers, orders. With small=0 the questions take the joins.
+
+_TABLE_EDGES_SQL = """e AS (
+  SELECT DISTINCT 'r' || n_regionkey AS origen, 'n' || n_nationkey AS destino FROM nation
+  UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer
+  UNION SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders)"""
+_RING_SQL = "e AS (SELECT DISTINCT 'k' || (c_custkey % 60) AS origen, 'k' || ((c_custkey % 60) * 2 + 1) % 60 AS destino FROM customer)"
+
+
+def _table_edges(spark, sf):
+    pair = lambda t, a, x0, b, y0: x.table(spark, sf, t).select(F.concat(F.lit(x0), a).alias("origen"), F.concat(F.lit(y0), b).alias("destino"))
+    return pair("nation", "n_regionkey", "r", "n_nationkey", "n").union(pair("customer", "c_nationkey", "n", "c_custkey", "c")).union(pair("orders", "o_custkey", "c", "o_orderkey", "o"))
+
+
+@query(f"""WITH {_TABLE_EDGES_SQL},
+a AS (SELECT min(origen) AS via, destino AS id FROM e WHERE origen = 'r1' GROUP BY destino),
+b AS (SELECT min(origen) AS via, destino AS id FROM e JOIN a ON origen = a.id GROUP BY destino),
+c AS (SELECT min(origen) AS via, destino AS id FROM e JOIN b ON origen = b.id GROUP BY destino)
+SELECT id, 1 AS salto, via FROM a UNION ALL SELECT id, 2, via FROM b UNION ALL SELECT id, 3, via FROM c""")
+def reach_by_joins(spark, sf):
+    edges = _table_edges(spark, sf)
+    return lineage.reach(edges.select(F.col("origen").alias("a"), F.col("destino").alias("b")), "r1", small=0)
+
+
+@query(f"""WITH RECURSIVE {_TABLE_EDGES_SQL},
+l AS (SELECT origen AS id, 0 AS nivel FROM e WHERE origen NOT IN (SELECT destino FROM e) UNION SELECT destino, nivel + 1 FROM l JOIN e ON id = origen)
+SELECT id, max(nivel)::INT AS nivel FROM l GROUP BY id""")
+def levels_by_joins(spark, sf):
+    edges = _table_edges(spark, sf)
+    return lineage.longest_levels(lineage.endpoints(edges), edges, small=0)
+
+
+@query(f"""WITH RECURSIVE {_RING_SQL}, c AS (SELECT * FROM e WHERE origen <> destino),
+t AS (SELECT origen AS a, destino AS b FROM c UNION SELECT a, destino FROM t JOIN c ON b = origen)
+SELECT p.a AS id, min(p.b) AS componente FROM t p JOIN t q ON p.a = q.b AND p.b = q.a GROUP BY p.a""")
+def cycle_members_by_joins(spark, sf):
+    k = F.col("c_custkey") % 60
+    name = lambda c: F.concat(F.lit("k"), c.cast("string"))
+    edges = x.table(spark, sf, "customer").select(name(k).alias("origen"), name((k * 2 + 1) % 60).alias("destino")).distinct()
+    return lineage.strongly_connected(edges, small=0)
+
+
+@query(f"WITH {_TABLE_EDGES_SQL} SELECT 'consume' AS lado, destino AS id FROM e WHERE origen = 'n3' UNION ALL SELECT 'produce', origen FROM e WHERE destino = 'n3'")
+def neighbours(spark, sf):
+    edges = _table_edges(spark, sf)
+    graph = lineage.Graph(lineage.endpoints(edges), edges)
+    return graph.consumers("n3").select(F.lit("consume").alias("lado"), "id").unionByName(graph.producers("n3").select(F.lit("produce").alias("lado"), "id"))
 
 
 @query(f"WITH {x.EDGES_SQL}, {x.NODES_SQL} SELECT 'nodos' AS medida, count(*) AS valor FROM nodes UNION ALL SELECT 'tipo:' || tipo, count(*) FROM nodes GROUP BY tipo UNION ALL SELECT 'aristas', count(*) FROM edges UNION ALL SELECT 'confirmadas', count(*) FROM edges WHERE len(fuentes) > 1")
@@ -361,9 +443,7 @@ _SQLS = (
     (1, "SELECT * FROM p.raw.orders o JOIN `p.stg.lines` USING (k)"), (2, "-- was: p.old.table\nselect 1 from d.t /* join p.gone.x */"), (3, "MERGE INTO p.m.target USING p.m.source ON a = b"),
     (4, "CALL p.ops.refresh(1); INSERT INTO p.out.t SELECT 1"), (5, "select * from unnest(x)"), (6, None), (7, "with c as (select 1 from a.b) select * from c"),
 )
-_RE = r"(?i)\b(?:from|join|merge\s+into|merge|using|update|insert\s+into|into)\s+`?([a-z0-9_\-]+(?:\.[a-z0-9_\-]+){1,2})`?"
-_RE_CALL = r"(?i)\bcall\s+`?([a-z0-9_\-]+(?:\.[a-z0-9_\-]+){1,2})`?"
-_RE_NOTE = r"(?i)([a-z_][a-z0-9_\-]*(?:\.[a-z_][a-z0-9_\-]*){1,2})"
+_RE, _RE_CALL, _RE_NOTE = sqlrefs.AFTER_KEYWORD, sqlrefs.AFTER_CALL, sqlrefs.IN_COMMENT
 
 
 @query(rf"""WITH t AS (SELECT n, coalesce(sql, '') AS sql FROM (VALUES {x.values(_SQLS)}) v(n, sql)), b AS (SELECT n, sql, regexp_replace(regexp_replace(sql, '(?s)/\*.*?\*/', ' ', 'g'), '--[^\n]*', ' ', 'g') AS bare, regexp_replace(sql, '(?s)/\*.*?\*/', ' ', 'g') AS noblock FROM t)
@@ -392,6 +472,12 @@ def intent_match(spark, sf):
     return read.select("n", "pregunta", "operacion", "tabla", "saltos", "confianza")
 
 
+@query("SELECT * FROM (VALUES (1, ['raw.orders', 'orders']), (2, ['w.mart.sales', 'mart', 'sales']), (3, []), (4, []), (5, []), (6, []), (7, ['mart_quality']), (8, [])) t(n, candidatos)")
+def question_candidates(spark, sf):
+    read = ask.interpret(spark.createDataFrame([(q[0], q[1]) for q in _QUESTIONS], "n int, pregunta string"))
+    return read.select("n", "candidatos")
+
+
 _CASES = ((1, "impacto", "impacto", ("a", "b", "c"), ("a", "b")), (2, "linaje", "impacto", (), ("x",)), (3, "ciclos", "ciclos", (), ()), (4, "linaje", "linaje", ("a",), ("a", "b", "c", "d")), (5, "resumen", "resumen", ("a", "b"), ("b", "a")), (6, "impacto", "impacto", ("q",), ()))
 _CASE_SQL = f"""c AS (SELECT n, op, got_op, want, got, list_intersect(want, got) AS hit, len(want) = 0 AND len(got) = 0 AS ambos FROM (VALUES {", ".join(f"({n}, '{a}', '{b}', {x.array(w)}::VARCHAR[], {x.array(g)}::VARCHAR[])" for n, a, b, w, g in _CASES)}) t(n, op, got_op, want, got)),
 pr AS (SELECT *, CASE WHEN ambos THEN 1.0 ELSE coalesce(len(hit)::DOUBLE / nullif(len(got), 0), 0) END AS p, CASE WHEN ambos THEN 1.0 ELSE coalesce(len(hit)::DOUBLE / nullif(len(want), 0), 0) END AS r FROM c),
@@ -449,6 +535,14 @@ def plan_pending(spark, sf):
     return planner.pending(*_plan_inputs(spark))
 
 
+@query(f"""WITH {_WINDOW_SQL}, p AS (SELECT * FROM win ORDER BY turno, pos LIMIT 2),
+q AS (SELECT CASE WHEN (SELECT count(*) FROM win WHERE win.indicador_id = i.indicador_id) = 0 THEN 'al_dia' WHEN (SELECT count(*) FROM p WHERE p.indicador_id = i.indicador_id) = 0 THEN 'presupuesto_agotado' END AS motivo FROM i)
+SELECT motivo, count(*) AS indicadores FROM q WHERE motivo IS NOT NULL GROUP BY motivo""")
+def plan_skipped(spark, sf):
+    asked, marks, now, policy = _plan_inputs(spark)
+    return planner.skipped(planner.pending(asked, marks, now, replace(policy, max_requests=2)))
+
+
 @query("SELECT user_id AS indicador_id, arg_max(ts, ts) AS hasta, max(ts) AS actualizado_en FROM events GROUP BY user_id")
 def watermark_upsert(spark, sf):
     e = x.table(spark, sf, "events").select(F.col("user_id").alias("indicador_id"), F.col("ts").cast("timestamp").alias("hasta"), F.col("event_id"))
@@ -471,6 +565,19 @@ def json_gate(spark, sf):
     return read.groupBy(kind.alias("clase")).agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH m AS (SELECT * FROM (VALUES {x.values((b,) for b in _BAD)}) t(value)
+ UNION ALL SELECT '{{"indicador_id":' || event_id || ',"valor":1}}' FROM events WHERE event_type = 'error'
+ UNION ALL SELECT '{{"indicador_id":' || event_id || ',"instante":"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '","valor":1}}' FROM events)
+SELECT value AS original, CASE WHEN NOT json_valid(value) THEN 'JSONDecodeError' WHEN json_type(value) <> 'OBJECT' THEN 'TypeError' ELSE 'ValueError' END AS clase
+FROM m WHERE NOT coalesce(try_cast(value->>'indicador_id' AS BIGINT) IS NOT NULL AND regexp_matches(value->>'instante', '(Z|[+-]\\d\\d:?\\d\\d)$') AND try_cast(value->>'instante' AS TIMESTAMPTZ) IS NOT NULL AND try_cast(value->>'valor' AS DOUBLE) IS NOT NULL, FALSE)""".replace("FROM m WHERE NOT coalesce(", "FROM m WHERE NOT json_valid(value) OR NOT coalesce("))
+def stream_rejects(spark, sf):
+    e = x.table(spark, sf, "events")
+    short = e.where("event_type = 'error'").select(F.format_string('{"indicador_id":%d,"valor":1}', "event_id").alias("value"))
+    whole = e.select(F.format_string('{"indicador_id":%d,"instante":"%s","valor":1}', "event_id", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("value"))
+    _, rejects = gates.split(spark.createDataFrame([(b,) for b in _BAD], "value string").unionByName(short).unionByName(whole), F.current_timestamp())
+    return rejects.select("original", F.split("motivo", ":")[0].alias("clase"))
+
+
 _BODY = '{"indicator": {"id": 551, "name": "Eolica", "values": [{"value": 1.5, "datetime_utc": "2026-09-24T00:00:00Z", "geo_id": 8741, "geo_name": "P"}, {"value": null, "datetime_utc": "2026-09-24T00:05:00Z"}, {"value": 2.5, "datetime": "2026-09-24T02:10:00+02:00", "geo_id": 8741, "geo_name": "P"}, {"value": 9.0, "datetime_utc": "2026-09-25T00:00:00Z"}, {"value": 3.0}, {"value": 4.0, "datetime": "2026-09-24T05:00:00"}]}}'
 
 
@@ -480,9 +587,9 @@ def api_response(spark, sf):
     return api.readings(body)
 
 
-@query("SELECT p_partkey AS id, p_name AS nombre FROM part WHERE contains(lower(strip_accents(p_name)), '1') ORDER BY id LIMIT 40")
+@query("SELECT c_custkey AS id, c_name AS nombre FROM customer WHERE contains(lower(strip_accents(c_name)), '1') ORDER BY id LIMIT 40")
 def catalog_search(spark, sf):
-    return metadata.Catalog(x.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("nombre"))).search("1")
+    return metadata.Catalog(x.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("nombre"))).search("1")
 
 
 @query("SELECT DISTINCT l_partkey + 100 AS id FROM lineitem WHERE l_partkey + 100 NOT IN (SELECT p_partkey FROM part)")
@@ -512,27 +619,84 @@ def catalog_edges(spark, sf):
     return metadata.from_catalog(tables, views, routines, "p")[1]
 
 
-def _decisions(spark, sf, which="o_orderkey <= 3000"):
-    o = x.table(spark, sf, "orders").where(which)
+def _decisions(spark, sf):
+    """Every order as a decision: some lack a title, links lead five keys on, alternatives and dates are often wrong."""
+    o = x.table(spark, sf, "orders")
     key = F.col("o_orderkey")
     name = lambda c: F.concat(F.lit("d"), c.cast("string"))
+    link = lambda kind, c: F.struct(F.lit(kind).alias("tipo"), name(c).alias("destino"))
+    none = F.array().cast("array<struct<tipo:string,destino:string>>")
+    question = lambda c: F.concat(F.lit("q"), c.cast("string"))
+    links = F.concat(F.array(link("causada_por", key + 5)), F.when(key % 2 == 0, F.array(link("supera_a", key + 5))).otherwise(none), F.when(key % 3 == 0, F.array(link("superada_por", key - 5))).otherwise(none))
     return o.select(
-        name(key).alias("id"), F.when(key % 17 != 0, F.col("o_orderpriority")).alias("titulo"), F.to_date("o_orderdate").alias("fecha"), (key % 3).cast("int").alias("orden"), F.col("o_orderpriority").alias("carril"), (key % 2 == 0).alias("publica"),
-        F.array(F.struct(F.lit("causada_por").alias("tipo"), name(key + 5).alias("destino"))).alias("enlaces"), F.to_date("o_orderdate").alias("f0"), (key % 5).alias("lag"), (key % 40).cast("string").alias("commit"),
-        F.array(F.struct((key % 2 == 0).alias("elegida"), F.lit("r").alias("motivo")), F.struct((key % 3 == 0).alias("elegida"), F.when(key % 10 != 0, "s").alias("motivo"))).alias("alternativas")).withColumn("fecha_commit", F.expr("date_add(f0, CAST(lag AS INT))")).drop("f0", "lag")
+        name(key).alias("id"),
+        F.when(key % 17 != 0, F.col("o_orderpriority")).alias("titulo"),
+        F.to_date("o_orderdate").alias("fecha"),
+        (key % 3).cast("int").alias("orden"),
+        F.col("o_orderpriority").alias("carril"),
+        (key % 2 == 0).alias("publica"),
+        links.alias("enlaces"),
+        (key % 40).cast("string").alias("commit"),
+        F.array(F.struct((key % 2 == 0).alias("elegida"), F.lit("r").alias("motivo")), F.struct((key % 3 == 0).alias("elegida"), F.when(key % 10 != 0, "s").alias("motivo"))).alias("alternativas"),
+        F.array(question(key)).alias("abre"),
+        F.when(key % 2 == 0, F.array(question(key - 1))).otherwise(F.array().cast("array<string>")).alias("cierra"),
+        F.date_add(F.to_date("o_orderdate"), (key % 5).cast("int")).alias("fecha_commit"))
+
+
+_LINKS_SQL = """l AS (
+  SELECT o_orderkey AS k, 'causada_por' AS tipo, o_orderkey + 5 AS d FROM orders
+  UNION ALL SELECT o_orderkey, 'supera_a', o_orderkey + 5 FROM orders WHERE o_orderkey % 2 = 0
+  UNION ALL SELECT o_orderkey, 'superada_por', o_orderkey - 5 FROM orders WHERE o_orderkey % 3 = 0)"""
+_CHOSEN_SQL = "(o_orderkey % 2 = 0)::INT + (o_orderkey % 3 = 0)::INT"
+
+
+@query(f"""WITH {_LINKS_SQL}
+SELECT 'incompletas' AS control, count(*) AS filas FROM orders WHERE o_orderkey % 17 = 0
+UNION ALL SELECT 'enlaces sueltos', count(*) FROM l WHERE d NOT IN (SELECT o_orderkey FROM orders)
+UNION ALL SELECT 'mal elegidas', count(*) FROM orders WHERE {_CHOSEN_SQL} <> 1 OR o_orderkey % 10 = 0
+UNION ALL SELECT 'fuera de vocabulario', count(*) FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')
+UNION ALL SELECT 'orden repetido', count(*) FROM (SELECT o_orderdate::DATE AS f, o_orderkey % 3 AS k FROM orders GROUP BY ALL HAVING count(*) > 1)
+UNION ALL SELECT 'publicas', count(*) FROM orders WHERE o_orderkey % 2 = 0
+UNION ALL SELECT 'commits con deriva', count(DISTINCT o_orderkey % 40) FROM orders WHERE o_orderkey % 5 > 1
+UNION ALL SELECT 'carriles', count(DISTINCT o_orderpriority) FROM orders""")
+def register_checks(spark, sf):
+    return _register_counts(_decisions(spark, sf))
 
 
-_DEC = "WITH o AS (SELECT * FROM orders WHERE o_orderkey <= 3000)"
+@query("SELECT 'd' || o_orderkey AS id, o_orderdate::DATE AS fecha FROM orders WHERE o_orderkey % 17 = 0")
+def register_incomplete(spark, sf):
+    return register.incomplete(_decisions(spark, sf)).select("id", "fecha")
 
 
-@query(f"{_DEC} SELECT 'incompletas' AS control, count(*) AS filas FROM o WHERE o_orderkey % 17 = 0 UNION ALL SELECT 'enlaces sueltos', count(*) FROM o WHERE o_orderkey + 5 NOT IN (SELECT o_orderkey FROM o) UNION ALL SELECT 'mal elegidas', count(*) FROM o WHERE ((o_orderkey % 2 = 0)::INT + (o_orderkey % 3 = 0)::INT) <> 1 OR o_orderkey % 10 = 0 UNION ALL SELECT 'fuera de vocabulario', count(*) FROM o WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH') UNION ALL SELECT 'orden repetido', count(*) FROM (SELECT o_orderdate::DATE AS d, o_orderkey % 3 AS k FROM o GROUP BY ALL HAVING count(*) > 1) UNION ALL SELECT 'publicas', count(*) FROM o WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'commits con deriva', count(DISTINCT o_orderkey % 40) FROM o WHERE o_orderkey % 5 > 1 UNION ALL SELECT 'carriles', count(DISTINCT o_orderpriority) FROM o")
-def register_checks(spark, sf):
-    return _register_counts(_decisions(spark, sf))
+@query(f"WITH {_LINKS_SQL} SELECT 'd' || k AS id, tipo, 'd' || d AS destino FROM l WHERE d NOT IN (SELECT o_orderkey FROM orders)")
+def register_dangling(spark, sf):
+    return register.dangling(_decisions(spark, sf))
+
+
+@query(f"""WITH {_LINKS_SQL}, a AS (SELECT k, d FROM l WHERE tipo = 'supera_a'), b AS (SELECT d AS k, k AS d FROM l WHERE tipo = 'superada_por')
+SELECT 'd' || k AS id, 'd' || d AS destino FROM (FROM a EXCEPT ALL FROM b) UNION ALL SELECT 'd' || k, 'd' || d FROM (FROM b EXCEPT ALL FROM a)""")
+def register_one_sided(spark, sf):
+    return register.one_sided(_decisions(spark, sf))
 
 
-@query("WITH o AS (SELECT * FROM orders) SELECT 'incompletas' AS control, count(*) AS filas FROM o WHERE o_orderkey % 17 = 0 UNION ALL SELECT 'enlaces sueltos', count(*) FROM o WHERE o_orderkey + 5 NOT IN (SELECT o_orderkey FROM o) UNION ALL SELECT 'mal elegidas', count(*) FROM o WHERE ((o_orderkey % 2 = 0)::INT + (o_orderkey % 3 = 0)::INT) <> 1 OR o_orderkey % 10 = 0 UNION ALL SELECT 'fuera de vocabulario', count(*) FROM o WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH') UNION ALL SELECT 'orden repetido', count(*) FROM (SELECT o_orderdate::DATE AS d, o_orderkey % 3 AS k FROM o GROUP BY ALL HAVING count(*) > 1) UNION ALL SELECT 'publicas', count(*) FROM o WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'commits con deriva', count(DISTINCT o_orderkey % 40) FROM o WHERE o_orderkey % 5 > 1 UNION ALL SELECT 'carriles', count(DISTINCT o_orderpriority) FROM o")
-def register_checks_all(spark, sf):
-    return _register_counts(_decisions(spark, sf, "true"))
+@query(f"SELECT 'd' || o_orderkey AS id, {_CHOSEN_SQL} AS elegidas FROM orders WHERE {_CHOSEN_SQL} <> 1 OR o_orderkey % 10 = 0")
+def register_badly_chosen(spark, sf):
+    return register.badly_chosen(_decisions(spark, sf))
+
+
+@query("SELECT o_orderdate::DATE AS fecha, (o_orderkey % 3)::INT AS orden, count(*) AS veces, list_sort(list('d' || o_orderkey)) AS ids FROM orders GROUP BY 1, 2 HAVING count(*) > 1")
+def register_clashing(spark, sf):
+    return register.clashing_order(_decisions(spark, sf))
+
+
+@query("SELECT (o_orderkey % 40)::VARCHAR AS commit, count(*) AS decisiones, max(o_orderkey % 5)::INT AS dias FROM orders WHERE o_orderkey % 5 > 1 GROUP BY 1")
+def register_drifted(spark, sf):
+    return register.drifted(_decisions(spark, sf)).select("commit", F.size("ids").cast("long").alias("decisiones"), "dias")
+
+
+@query("SELECT 'q' || o_orderkey AS cuestion, 'd' || o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey - 1 FROM orders WHERE o_orderkey % 2 = 0)")
+def register_open_questions(spark, sf):
+    return register.open_questions(_decisions(spark, sf))
 
 
 def _register_counts(d):
@@ -555,3 +719,28 @@ def stream_hourly_panes(spark, sf):
     from tidewell.streaming import replay
 
     return replay.last_panes(spark, x.readings(spark, sf), x.PER_HOUR)
+
+
+_ARRIVAL_DAYS = 9
+
+
+@query(f"""WITH e AS (SELECT event_id % 40 + 1 AS indicador_id, ts, value, floor(date_diff('day', (SELECT min(ts) FROM events)::DATE, (ts + (event_id % 5) * INTERVAL 20 HOURS)::DATE) / {_ARRIVAL_DAYS}) AS lote FROM events),
+w AS (SELECT l.lote, (SELECT max(epoch_ms(ts)) FROM e WHERE e.lote < l.lote) AS agua FROM (SELECT DISTINCT lote FROM e) l),
+r AS (SELECT indicador_id, date_trunc('hour', ts) AS hora, value, coalesce(agua, 0) AS agua, epoch_ms(date_trunc('hour', ts)) + 3600000 AS fin FROM e JOIN w USING (lote)),
+k AS (SELECT * FROM r WHERE agua < fin + 48 * 3600000),
+g AS (SELECT hora, indicador_id, count(*) FILTER (agua < fin) AS a_tiempo, count(*) FILTER (agua >= fin) AS tardios, count(*) AS lecturas, avg(value) AS media FROM k GROUP BY ALL)
+SELECT hora, indicador_id, (a_tiempo > 0)::BIGINT + tardios AS paneles, tardios, (a_tiempo > 0)::BIGINT + tardios - 1 AS ultimo, lecturas, round(media, 4) AS potencia_media_mw FROM g""")
+def stream_late_panes(spark, sf):
+    """Readings in the order of their arrival, up to eighty hours late, in micro-batches of some days: every pane, and what lateness drops."""
+    from tidewell.streaming import replay
+
+    e = x.table(spark, sf, "events").select((F.col("event_id") % 40 + 1).alias("indicador_id"), F.col("ts").cast("timestamp").alias("instante"), F.col("value").alias("valor"), "event_id")
+    first = e.agg(F.min("instante").alias("first"))
+    came = F.to_date(F.timestamp_millis(F.unix_millis("instante") + (F.col("event_id") % 5) * 20 * 3_600_000))
+    e = e.crossJoin(F.broadcast(first)).withColumn("lote", F.floor(F.datediff(came, F.to_date("first")) / _ARRIVAL_DAYS).cast("int"))
+    last = e.agg(F.max("lote")).first()[0]
+    batches = [e.where(F.col("lote") == i).select("indicador_id", "instante", "valor") for i in range((last if last is not None else -1) + 1)]
+    panes = replay.all_panes(spark, batches, x.PER_HOUR)
+    newest = F.max_by(F.struct("lecturas", "potencia_media_mw"), "panel")
+    out = panes.groupBy("hora", "indicador_id").agg(F.count("*").alias("paneles"), F.count_if("es_tardio").alias("tardios"), F.max("panel").alias("ultimo"), newest.alias("r"))
+    return out.select("hora", "indicador_id", "paneles", "tardios", "ultimo", "r.lecturas", "r.potencia_media_mw")

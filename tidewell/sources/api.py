@@ -23,7 +23,11 @@ Transport = Callable[[str, dict], tuple[int, dict, str]]
 
 
 class RequestFailed(RuntimeError):
-    """The API answered with an error after all tries."""
+    """The API gave no usable answer; code is null where there was no answer at all."""
+
+    def __init__(self, why: str, code: int | None = None, attempts: int = 0) -> None:
+        super().__init__(why)
+        self.code, self.attempts = code, attempts
 
 
 class BudgetSpent(RuntimeError):
@@ -45,17 +49,29 @@ def wait_seconds(headers: dict, attempt: int, base: float = 1.0) -> float:
 
 
 def fetch(transport: Transport, url: str, headers: dict, tries: int = TRIES, sleep: Callable[[float], None] = time.sleep, budget: list[int] | None = None) -> tuple[str, int]:
-    """(body, attempts). Only RETRIED codes are tried again; budget[0] falls with each attempt."""
+    """(body, attempts). RETRIED codes and connections that fail are tried again; budget[0] falls with each attempt.
+
+    An answer that is no JSON is a failure, and isn't asked for again.
+    """
     for attempt in range(1, tries + 1):
         if budget is not None:
             if budget[0] <= 0:
                 raise BudgetSpent("no requests left")
             budget[0] -= 1
-        code, answer, body = transport(url, headers)
+        try:
+            code, answer, body = transport(url, headers)
+        except OSError as e:
+            code, answer, why = None, {}, f"{type(e).__name__}: {e}"
+        else:
+            why = f"HTTP {code}"
         if code == 200:
+            try:
+                json.loads(body)
+            except ValueError as e:
+                raise RequestFailed(f"unreadable answer: {e}", code, attempt) from e
             return body, attempt
-        if code not in RETRIED or attempt == tries:
-            raise RequestFailed(f"HTTP {code}")
+        if code is not None and code not in RETRIED or attempt == tries:
+            raise RequestFailed(why, code, attempt)
         sleep(wait_seconds(answer, attempt))
     raise RequestFailed("no tries")
 
@@ -66,7 +82,7 @@ def http(url: str, headers: dict, timeout: float = 30.0) -> tuple[int, dict, str
 
     try:
         with urlopen(Request(url, headers=headers), timeout=timeout) as r:  # noqa: S310
-            return r.status, dict(r.headers), r.read().decode()
+            return r.status, dict(r.headers), r.read().decode("utf-8", "replace")
     except HTTPError as e:
         return e.code, dict(e.headers), ""
 
@@ -88,6 +104,13 @@ class Window(InputPartition):
     indicator: int
     start: str
     end: str
+    tries: int = TRIES
+
+
+def allowances(windows: int, most: int, tries: int = TRIES) -> list[int]:
+    """How often each window may be asked for, so that all of them together, retries among them, stay within ``most`` requests."""
+    spare = most - windows
+    return [1 + min(tries - 1, spare // windows + (i < spare % windows)) for i in range(windows)]
 
 
 class ReadingsApi(DataSource):
@@ -108,13 +131,14 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.options = dict(options)
         self.transport: Transport = http
+        self.sleep: Callable[[float], None] = time.sleep
 
     def partitions(self) -> list[InputPartition]:
-        windows = [Window(int(i), a, b) for i, a, b in json.loads(self.options["windows"])]
+        windows = json.loads(self.options["windows"])
         most = int(self.options.get("max_requests", "50"))
-        if len(windows) * TRIES > most * TRIES or len(windows) > most:
+        if len(windows) > most:
             raise BudgetSpent(f"{len(windows)} windows, {most} requests")
-        return windows
+        return [Window(int(i), a, b, tries) for (i, a, b), tries in zip(windows, allowances(len(windows), most), strict=True)]
 
     def read(self, partition: Window) -> Iterator[tuple]:
         url = f"{self.options['url']}/{partition.indicator}?start_date={partition.start}&end_date={partition.end}"
@@ -126,10 +150,10 @@ class _Reader(DataSourceReader):
         began = time.monotonic()
         span = (partition.indicator, datetime.fromisoformat(partition.start), datetime.fromisoformat(partition.end))
         try:
-            body, attempts = fetch(self.transport, url, headers)
+            body, attempts = fetch(self.transport, url, headers, partition.tries, self.sleep)
             yield (*span, body, attempts, time.monotonic() - began, 200, None)
         except RequestFailed as e:
-            yield (*span, None, TRIES, time.monotonic() - began, int(str(e).split()[-1]) if str(e).split()[-1].isdigit() else None, str(e))
+            yield (*span, None, e.attempts, time.monotonic() - began, e.code, str(e))
 
 
 def saved_bodies(spark: SparkSession, path: str) -> DataFrame:

@@ -4,24 +4,25 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.schemas import READINGS, REQUESTS, TECHNOLOGIES, Table
 
 
 def append(df: DataFrame, path: str, table: Table) -> int:
-    """Appends conforming rows, partitioned by day and sorted by the clustering columns; nothing is written for no rows. Returns the rows."""
+    """Appends conforming rows, partitioned by day and sorted by the clustering columns; nothing is written for no rows. Returns the rows, as counted by the write."""
     rows = table.conform(df)
     if rows.isEmpty():
         return 0
-    before = 0
+    written = Observation()
+    rows = rows.observe(written, F.count(F.lit(1)).alias("n"))
     if table.partition:
         rows = rows.withColumn("dia", F.to_date(table.partition)).repartition("dia", *table.clustering).sortWithinPartitions("dia", *table.clustering)
         rows.write.mode("append").partitionBy("dia").parquet(path)
     else:
         rows.write.mode("append").parquet(path)
-    return rows.count() - before
+    return written.get["n"]
 
 
 def append_readings(df: DataFrame, path: str, ingested: Column) -> int:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from tidewell.schemas import PANES, REJECTS
+from tidewell.schemas import PANES, REJECTS, Table
 
 from .gates import split
 from .panes import PER_HOUR, TOLERANCE_MS, hourly_panes
@@ -28,11 +31,11 @@ def assemble(source: DataFrame, tolerance_ms: int = TOLERANCE_MS, per_hour: int
     return hourly_panes(readings, tolerance_ms, per_hour), rejects
 
 
-def start(source: DataFrame, out: str, checkpoint: str, tolerance_ms: int = TOLERANCE_MS, per_hour: int = PER_HOUR, available_now: bool = False) -> list[StreamingQuery]:
-    """Both queries, into Parquet under out; files and checkpoints make each row arrive once."""
-    panes, rejects = assemble(source, tolerance_ms, per_hour)
+def start(source: DataFrame, out: str, checkpoint: str, tolerance_ms: int = TOLERANCE_MS, per_hour: int = PER_HOUR, available_now: bool = False, rejects: bool = True) -> list[StreamingQuery]:
+    """Both queries, into Parquet under out; files and checkpoints make each row arrive once. Without rejects, only the panes."""
+    panes, refused = assemble(source, tolerance_ms, per_hour)
     queries = []
-    for name, frame in (("panes", PANES.conform(panes)), ("rejects", REJECTS.conform(rejects))):
+    for name, frame in (("panes", PANES.conform(panes)), ("rejects", REJECTS.conform(refused)))[: 2 if rejects else 1]:
         writer = frame.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{checkpoint}/{name}")
         if available_now:
             writer = writer.trigger(availableNow=True)
@@ -41,12 +44,54 @@ def start(source: DataFrame, out: str, checkpoint: str, tolerance_ms: int = TOLE
 
 
 def run(source: DataFrame, out: str, checkpoint: str, seconds: float | None = None, **options) -> bool:
-    """Runs until the source ends, or stops after some seconds. True if all went well."""
+    """Runs until the source ends, or stops all queries after some seconds. True if all went well."""
     started = start(source, out, checkpoint, **options)
+    until = None if seconds is None else time.monotonic() + seconds
     well = True
     for query in started:
-        query.awaitTermination(seconds) if seconds is not None else query.awaitTermination()
+        query.awaitTermination() if until is None else query.awaitTermination(max(1, round(until - time.monotonic())))
+    for query in started:
         if query.isActive:
             query.stop()
         well = well and query.exception() is None
     return well
+
+
+ROWS_A_REQUEST = 500  # fixed value: rows that the sink takes in one request
+
+
+def batched(rows: DataFrame, table: Table, send: Callable[[list[bytes]], None], most: int = ROWS_A_REQUEST) -> None:
+    """Sends each partition's rows, encoded by the table's schema, in requests of at most ``most`` rows; a failed request fails the task, which is tried again.
+
+    The sink therefore sees every row at least once. send must be picklable.
+    """
+    encoded = table.encoded(rows)
+
+    def partition(batches):
+        import pyarrow as pa
+
+        held: list[bytes] = []
+        n = 0
+        for batch in batches:
+            for message in batch.column(0).to_pylist():
+                held.append(message)
+                if len(held) == most:
+                    send(held)
+                    n, held = n + len(held), []
+        if held:
+            send(held)
+            n += len(held)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["sent"])
+
+    encoded.mapInArrow(partition, "sent long").agg(F.sum("sent")).collect()
+
+
+def stream_to(rows: DataFrame, table: Table, send: Callable[[list[bytes]], None], checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """An append stream into a sink that takes requests of encoded rows, at least once."""
+    writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: batched(batch, table, send))
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def to_kafka(messages: DataFrame, options: dict[str, str]) -> None:
+    """Publishes messages (value) to a topic; options name the servers and the topic."""
+    messages.select("value").write.format("kafka").options(**options).save()

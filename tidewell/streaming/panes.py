@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +45,8 @@ class HourlyPanes(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         end = key[1] + HOUR_MS
         now = timerValues.getCurrentWatermarkInMs() + self.tolerance_ms + HOUR_MS
-        values = [float(v) for part in rows for v in part["valor"]]
-        if now >= end + self.tolerance_ms:
+        values = np.concatenate([np.zeros(0), *(part["valor"].to_numpy(dtype=float) for part in rows)])
+        if now >= end + self.tolerance_ms or not len(values):
             return
         panes = []
         if self.hour.exists():
@@ -58,8 +59,8 @@ class HourlyPanes(StatefulProcessor):
         if late and state[0] and state[4] < 0:  # the batch's rows come before its timers
             state = (*state[:4], 0)
             panes.append(self._pane(key, state, False))
-        for v in values:
-            state = (state[0] + 1, state[1] + v, min(state[2], v), max(state[3], v), state[4] + 1 if late else state[4])
+        for some in np.split(values, len(values)) if late else [values]:  # a late reading is a pane of its own
+            state = (state[0] + len(some), state[1] + float(some.sum()), min(state[2], float(some.min())), max(state[3], float(some.max())), state[4] + 1 if late else state[4])
             if late:
                 panes.append(self._pane(key, state, True))
         self.hour.update(state)
