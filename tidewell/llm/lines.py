@@ -283,30 +283,31 @@ def edit_distance(a: Sequence, b: Sequence, limit: int) -> int:
 class _Texts:
     """Lines of a group, with what bounds their edit distances."""
 
-    def __init__(self, texts: list[str], sims: np.ndarray, similarity: float) -> None:
+    def __init__(self, texts: list[str], sims: np.ndarray, similarity: float, names: list[int] | None = None, counts: dict[int, Counter] | None = None) -> None:
+        """counts keeps the words of lines by their names, for the groups that share them."""
         self.texts, self.sims, self.similarity = texts, sims, similarity
         self.words = [t.split(" ") for t in texts]
-        self.counts: dict[int, Counter] = {}
+        self.counts = {} if counts is None else counts
+        self.names = range(len(texts)) if names is None else names
         self.reach = np.where(np.array(list(map(len, self.words))) <= FEW_WORDS, NEAR_SHORT, NEAR)
         self.n_chars = np.array([len(t) for t in texts])
-        self.char_bins = np.stack([np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32) & 31, minlength=32) for t in texts]).astype(np.int32)
 
     def like(self, pivot: int, others: np.ndarray) -> list[int]:
         """Places in others of the lines whose SimHash is near the pivot's and whose edit similarity to it is enough.
 
-        One edit changes the size by at most 1 and the bins by at most 2, so most others need no comparison.
+        One edit changes the size by at most 1.
         """
         near = np.flatnonzero(np.bitwise_count(self.sims[others] ^ self.sims[pivot]) <= np.maximum(self.reach[others], self.reach[pivot]))
         others = others[near]
         size, own = self.n_chars[others], self.n_chars[pivot]
         limit = (np.maximum(size, own) * (1 - self.similarity) + 1e-9).astype(np.int64)
-        apart = np.abs(self.char_bins[others] - self.char_bins[pivot]).sum(1)
-        return [int(near[i]) for i in np.flatnonzero((np.abs(size - own) <= limit) & (apart <= 2 * limit)) if self._near(pivot, others[i], int(limit[i]))]
+        return [int(near[i]) for i in np.flatnonzero(np.abs(size - own) <= limit) if self._near(pivot, others[i], int(limit[i]))]
 
     def _count(self, i: int) -> Counter:
-        if i not in self.counts:
-            self.counts[i] = Counter(_PLAIN.findall(self.texts[i]))
-        return self.counts[i]
+        name = self.names[i]
+        if name not in self.counts:
+            self.counts[name] = Counter(_PLAIN.findall(self.texts[i]))
+        return self.counts[name]
 
     def _near(self, i: int, j: int, limit: int) -> bool:
         a, b = self._count(i), self._count(j)
@@ -369,6 +370,7 @@ def _root(links: dict[int, int], x: int) -> int:
 def _edit_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """Links (a, b) of line hashes that connect what is similar inside each part."""
     links: dict[int, int] = {}
+    counts: dict[int, Counter] = {}
     now = None
     for batch in spread.runs(batches, "part"):
         part, h, (sim, line) = batch.column("part").to_numpy(), batch.column("h").to_numpy(), batch.column("own").flatten()
@@ -379,10 +381,10 @@ def _edit_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterato
         for lo, hi in zip(starts[:-1], starts[1:], strict=True):
             if hi - lo < 2:
                 continue
-            texts = _Texts(line.slice(lo, hi - lo).to_pylist(), sim[lo:hi], similarity)
             own = h[lo:hi].tolist()
             if home[lo] != now:
-                now, links = home[lo], {}
+                now, links, counts = home[lo], {}, {}
+            texts = _Texts(line.slice(lo, hi - lo).to_pylist(), sim[lo:hi], similarity, own, counts)
             left = np.arange(hi - lo)
             while len(left):
                 queue, left = [left[0]], left[1:]
@@ -407,42 +409,13 @@ def _edit_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterato
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, line) of the normal lines whose h is in wanted. A bitmap of fixed size keeps most others off the shuffle."""
-    table = spread.bitmap(wanted)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                lines = list({x for text in batch.column("text").slice(lo, 256).to_pylist() for x in normal_lines(text) if x})
-                h = np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, len(lines)).view(np.int64)
-                keep = np.flatnonzero(spread.inside(table, h))
-                if len(keep):
-                    yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array([lines[i].decode() for i in keep], pa.string())], ["h", "line"])
-
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, line string")
-    return found.join(wanted, "h", "left_semi").dropDuplicates(["h"])
-
-
-def line_groups(docs: DataFrame, similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
-    """(h, n, root) of the lines that occur n > 1 times or have a similar line; root is the least hash of their group."""
-    units = _units(docs)
-    at_key = F.transform("keys", lambda k, i: F.struct(k.alias("key"), F.when(i == 0, F.col("n")).otherwise(0).alias("n")))
-    rows = units.select("h", "sim", F.explode(at_key).alias("x")).select("x.key", "h", "sim", "x.n")
-    found = spread.durable(rows.repartition("key").sortWithinPartitions("key", "h").mapInArrow(_bucket_groups, "gid long, h long, sim long, n long"))
-    groups = spread.durable(found.where("gid IS NOT NULL").select("gid", "h", "sim").distinct())
-    often = found.where("gid IS NULL").select("h", "n")
-    members = groups.join(_texts_of(docs, groups.select("h").distinct()), "h")
-    members = spread.durable(members.select("gid", "h", F.struct("sim", "line").alias("own")))
-    roots = spread.connected_components(spread.links_within(members, "own", F.lit(1), group, lambda b: _edit_links(b, similarity)))
-    both = often.withColumn("root", F.lit(None).cast("long")).unionByName(roots.select(F.col("node").alias("h"), F.lit(1).cast("long").alias("n"), "root"))
-    return both.groupBy("h").agg(F.max("n").alias("n"), F.coalesce(F.max("root"), F.col("h")).alias("root"))
-
-
 def _places(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, row, line, h) of the lines whose h may be in wanted; row is the hash of the text."""
+    """(doc_id, row, line, h, text) of the lines whose h may be in wanted; row is the hash of the document's text, and the line's own text is told once for each few documents.
+
+    A bitmap of fixed size keeps most other lines off.
+    """
     table = spread.bitmap(wanted)
-    kind = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("line", pa.int32()), ("h", pa.int64())])
+    kind = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("line", pa.int32()), ("h", pa.int64()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -458,18 +431,41 @@ def _places(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 h = np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, len(lines)).view(np.int64)
                 keep = np.flatnonzero(spread.inside(table, h))
                 if len(keep):
+                    h = h[keep]
+                    first = np.zeros(len(h), bool)
+                    first[np.unique(h, return_index=True)[1]] = True
                     own = pa.array(np.array(at)[keep])
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(own), part.column("row").take(own), pa.array(np.array(number, np.int32)[keep]), pa.array(h[keep])], schema=kind)
+                    texts = pa.array([lines[i].decode() if new else None for i, new in zip(keep, first, strict=True)], pa.string())
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(own), part.column("row").take(own), pa.array(np.array(number, np.int32)[keep]), pa.array(h), texts], schema=kind)
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text")).mapInArrow(run, "doc_id long, row long, line int, h long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text")).mapInArrow(run, "doc_id long, row long, line int, h long, text string")
+
+
+def line_groups(docs: DataFrame, similarity: float = SIMILARITY, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+    """(places, groups): (doc_id, row, line, h) of the lines that may repeat or be similar to another, and (h, n, root) of those that
+    occur n > 1 times or have a similar line; root is the least hash of their group."""
+    units = _units(docs)
+    at_key = F.transform("keys", lambda k, i: F.struct(k.alias("key"), F.when(i == 0, F.col("n")).otherwise(0).alias("n")))
+    rows = units.select("h", "sim", F.explode(at_key).alias("x")).select("x.key", "h", "sim", "x.n")
+    found = spread.durable(rows.repartition("key").sortWithinPartitions("key", "h").mapInArrow(_bucket_groups, "gid long, h long, sim long, n long"))
+    groups = spread.durable(found.where("gid IS NOT NULL").select("gid", "h", "sim").distinct())
+    often = found.where("gid IS NULL").select("h", "n")
+    places = spread.durable(_places(docs, found.select("h")))
+    # the texts of the lines in groups, one row each
+    texts = places.where("text IS NOT NULL").join(groups.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min("text").alias("line"))
+    members = spread.durable(groups.join(texts, "h").select("gid", "h", F.struct("sim", "line").alias("own")))
+    roots = spread.connected_components(spread.links_within(members, "own", F.lit(1), group, lambda b: _edit_links(b, similarity)))
+    both = often.withColumn("root", F.lit(None).cast("long")).unionByName(roots.select(F.col("node").alias("h"), F.lit(1).cast("long").alias("n"), "root"))
+    named = both.groupBy("h").agg(F.max("n").alias("n"), F.coalesce(F.max("root"), F.col("h")).alias("root"))
+    return places.select("doc_id", "row", "line", "h"), spread.durable(named)
 
 
 def later_lines(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, row, lines: sorted numbers of the lines that an earlier line of their group makes superfluous); row is the hash of the text."""
-    groups = spread.durable(line_groups(docs, **options))
-    places = _places(docs, groups.select("h")).dropDuplicates(["doc_id", "row", "line"])
-    named = spread.durable(spread.skewed_join(places, groups, "h", "n").select("doc_id", "row", "line", "root"))
+    places, groups = line_groups(docs, **options)
+    named = spread.skewed_join(places, groups, "h", "n").select("doc_id", "row", "line", "root").dropDuplicates(["doc_id", "row", "line"])
+    named = spread.durable(named)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line", "row")
     first = spread.durable(named.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1"))
     later = spread.skewed_join(named, first, "root", "n").where(~order.eqNullSafe(F.col("first")))
@@ -495,7 +491,7 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
     drop = spread.durable(later_lines(docs, **options)).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("lines").alias("__lines"))
     text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
     cut, whole = spread.split_by(docs, F.xxhash64(doc_id, F.xxhash64(text)), drop.select(F.xxhash64("__id", "__row").alias("h")))
-    joined = cut.join(drop, doc_id.eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__row")), "left").drop("__id", "__row")
-    both = joined.unionByName(whole.withColumn("__lines", F.lit(None).cast("array<int>")))
+    joined = cut.join(drop, doc_id.eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__row")), "left")
     rest = [c for c in docs.columns if c not in ("text", "n_cut")]
-    return both.select(*rest, _without(text, F.col("__lines")).alias("text"), F.coalesce(F.array_size("__lines"), F.lit(0)).alias("n_cut"))
+    shorter = joined.select(*rest, _without(text, F.col("__lines")).alias("text"), F.coalesce(F.array_size("__lines"), F.lit(0)).alias("n_cut"))
+    return shorter.unionByName(whole.select(*rest, text.alias("text"), F.lit(0).alias("n_cut")))
