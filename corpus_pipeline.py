@@ -18,7 +18,7 @@ def _civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, distance=simhash.DISTANCE)
 
 
 def _clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -176,6 +176,35 @@ def test_keep_one_keeps_different_texts_of_one_id(spark):
     assert [r["doc_id"] for r in kept if r["text"].startswith(f)] == [9]
 
 
+def test_keep_one_links_by_fingerprint_and_by_similarity(spark):
+    texts = []
+    for i in range(6):  # many repeats of a passage and endings of their own: fingerprints agree, shingle sets do not
+        passage = (sentence(61, 5000 + i) + " ") * 20
+        texts += [passage + sentence(15, 5100 + i), passage + sentence(15, 5200 + i)]
+    for i in range(12):  # a few words changed: shingle sets agree, most fingerprints do not
+        words = sentence(130, 5300 + i).split()
+        other = list(words)
+        other[30] = other[90] = f"changed{i}"
+        texts += [" ".join(words), " ".join(other)]
+    words = texts[0].split()
+    words[-1] = words[-9] = "elsewhere"  # leads on from a text that only its fingerprint links to the first
+    texts.append(" ".join(words))
+    sets = [set(simhash.shingle_set(t.encode()).tolist()) for t in texts]
+    prints = [brute_fingerprint(t) for t in texts]
+    group, only = list(range(len(texts))), [0, 0]
+    for i in range(len(texts)):
+        for j in range(i):
+            near = (prints[i] ^ prints[j]).bit_count() <= 4
+            alike = len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+            only[0] += near and not alike
+            only[1] += alike and not near
+            if near or alike:
+                group = [group[j] if g == group[i] else g for g in group]
+    assert min(only) > 3
+    kept = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({group.index(g) for g in group})
+
+
 # decontamination
 
 

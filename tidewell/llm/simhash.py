@@ -159,19 +159,24 @@ def links(distinct: DataFrame, distance: int = DISTANCE, count: int | None = Non
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: bucket_links(b, distance), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, fingerprint: 16 hex digits, component_id: smallest doc_id reachable) of every row of docs."""
-    marked = spread.durable(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text)).alias("fp")))
+def grouped(marked: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(doc_id, fp, component_id: smallest doc_id reachable) of every row of marked (doc_id, fp)."""
     distinct = spread.durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     n = distinct.count()
     roots = spread.connected_components(links(distinct, distance, n))
     joined = spread.durable(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
     component = spread.durable(joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")))
     named = spread.durable(spread.skewed_join(joined, component, "root", "members").select("fp", "component_id", "n"))
-    return spread.skewed_join(marked, named, "fp", "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return spread.skewed_join(marked, named, "fp", "n").select("doc_id", "fp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
+    """(doc_id, fingerprint: 16 hex digits, component_id: smallest doc_id reachable) of every row of docs."""
+    marked = spread.durable(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text)).alias("fp")))
+    return grouped(marked, distance).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# Near duplicates by similarity: shingle sets give the candidates and decide.
+# Near duplicates by similarity: shingle sets give the candidates and decide; keep_one() adds them to what the fingerprints link.
 
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
@@ -265,11 +270,12 @@ def _similar_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iter
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, block: int = BLOCK) -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, block: int = BLOCK, distance: int | None = None) -> DataFrame:
     """(doc_id, h, component_id, kept_h) of every row of docs: documents connected by a Jaccard similarity of at least ``similarity``.
 
     component_id is the least doc_id of a component, kept_h the least text hash under it.
-    Similarity alone decides. A text whose sampled shingles lack more others than the similarity allows is out; the
+    Similarity alone decides, unless a distance is given: then documents whose fingerprints differ in at most so many bits, as
+    near_duplicates() links them, are connected too, whatever their similarity. A text whose sampled shingles lack more others than the similarity allows is out; the
     shingle sets of the rest give candidates(), and inside each component of these, which holds every
     text once, sets are compared along a walk that links each text once. Equal
     texts are one. A component of more than block shingles is cut into blocks (see spread.links_within()).
@@ -282,8 +288,9 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle:
         some = pa.array([x[x % np.uint64(SAMPLE) == 0].view(np.int64) for x in sets], pa.list_(pa.int64()))
         return pa.StructArray.from_arrays([pa.array(map(len, sets), pa.int32()), some], ["n", "some"])
 
-    marked = spread.durable(docs.select("doc_id", F.xxhash64(text).alias("h"), sampled(text).alias("s")).select("doc_id", "h", "s.n", "s.some"))
-    units = spread.durable(marked.groupBy("h").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first(F.size("some")).alias("m"), F.count("*").alias("copies")))
+    fp = F.lit(None).cast("long") if distance is None else fingerprints(text)
+    marked = spread.durable(docs.select("doc_id", F.xxhash64(text).alias("h"), fp.alias("fp"), sampled(text).alias("s")).select("doc_id", "h", "fp", "s.n", "s.some"))
+    units = spread.durable(marked.groupBy("h").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first(F.size("some")).alias("m"), F.count("*").alias("copies")))
     one = marked.select("h", F.explode("some").alias("g"))
     shared = one.repartition("g").sortWithinPartitions("g", "h").mapInArrow(_shared, "h long, g long, df long").groupBy("h").agg(F.count("*").alias("met"))
     lacking = F.col("m") - F.coalesce("met", F.lit(0))
@@ -299,19 +306,23 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle:
     roots = spread.durable(spread.connected_components(candidates(sets, similarity)))
     members = spread.durable(sets.join(roots, F.col("h") == F.col("node")).select(F.col("root").alias("gid"), "h", "grams"))
     similar = spread.links_within(members, "grams", F.size("grams"), block, lambda b: _similar_links(b, similarity))
+    if distance is not None:  # a text and the least one that fingerprints lead to
+        printed = grouped(units.select(F.col("h").alias("doc_id"), "fp"), distance)
+        similar = similar.union(printed.where("doc_id <> component_id").select("doc_id", "component_id"))
     joined = spread.durable(units.join(spread.connected_components(similar), F.col("h") == F.col("node"), "left").select("h", "least", "copies", F.coalesce("root", "h").alias("root")))
     component = spread.durable(joined.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "h")).alias("first"), F.count("*").alias("members")))
     named = spread.durable(spread.skewed_join(joined, component, "root", "members").select("h", F.col("first.least").alias("component_id"), F.col("first.h").alias("kept_h"), "copies"))
     return spread.skewed_join(marked.select("doc_id", "h"), named, "h", "copies").select("doc_id", "h", "component_id", "kept_h")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs with one document of each component of similar_documents(): the text kept_h under the component's doc_id.
+def keep_one(docs: DataFrame, distance: int = DISTANCE, **options) -> DataFrame:
+    """The rows of docs with one document of each component: the text kept_h under the component's doc_id.
 
+    Fingerprints link at distance bits, as in near_duplicates(); similar_documents() adds what is similar and further apart than that.
     Of rows that repeat both one stays; another text under that doc_id is a matter of its own component. A row without doc_id stays only
     if no row of its component has one, once for each text.
     """
-    groups = spread.durable(similar_documents(docs, **options))
+    groups = spread.durable(similar_documents(docs, distance=distance, **options))
     named = docs.where("doc_id IS NOT NULL").withColumn("__h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     key = ["doc_id", "__h"]
     dropped = groups.where("doc_id <> component_id OR h <> kept_h").select("doc_id", F.col("h").alias("__h")).distinct()
