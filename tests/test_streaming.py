@@ -44,6 +44,32 @@ def test_just_inside_the_tolerance_counts(spark, tmp_path):
     assert [r["potencia_media_mw"] for r in rows] == [10.0, 15.0]
 
 
+def test_readings_are_added_one_after_another_in_order_of_instants(spark, tmp_path):
+    values = [44.66, 123.42, 121.97, 5.65, 32.77, 23.42, 8.37, 81.59]
+    total = 0.0
+    for v in values:
+        total += v
+    assert total != sum(sorted(values))
+    lines = [message(f"2025-03-11T10:{5 * i:02}:00Z", v) for i, v in enumerate(values)]
+    rows, _ = feed(spark, tmp_path, [lines[::-1], [FAR], [FAR]])
+    assert [r["potencia_media_mw"] for r in rows] == [total / 8]
+
+
+def test_hourly_panes_equal_their_sql_where_means_end_in_a_tie(spark):
+    import duckdb
+
+    from tidewell.plans import registry
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"SET TimeZone = 'UTC'; CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    want = con.execute(registry.ORACLE_SQL["stream_hourly_panes"]).fetchall()
+    assert sorted(map(tuple, registry.QUERIES["stream_hourly_panes"](spark, sf).collect())) == sorted(want)
+    odd = [44.64125, -57.996249999999996, 0.00005, -0.0, 0.0, 1e300, -1e15, 3.3e14 + 0.0625, float("inf"), None]
+    got = spark.createDataFrame([(v,) for v in odd], "v double").select(registry.rounded_like_oracle("v")).collect()
+    assert [r[0] for r in got] == [con.execute("SELECT round(?::DOUBLE, 4)", [v]).fetchone()[0] for v in odd]
+
+
 def test_malformed_messages_are_rejected_whole(spark):
     bad = ["{no", "[1, 2]", '{"indicador_id": 1, "valor": 2}', '{"indicador_id": 1, "instante": "ayer", "valor": 2}', '{"indicador_id": 1, "instante": "2025-03-11T10:00:00", "valor": 2}', '{"indicador_id": 1, "instante": "2025-03-11T10:00:00Z", "valor": null}', ""]
     frame = spark.createDataFrame([(b.encode(),) for b in [*bad, message("2025-03-11T10:00:00Z", 5)]] + [(b"\xff\xfe{}",), (None,)], "value binary")

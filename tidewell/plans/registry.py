@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +47,14 @@ def plain_types(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def rounded_like_oracle(c: str) -> Column:
+    """A double to four digits as DuckDB rounds it: the product with 10^4, not the decimal digits, decides on which side of a tie it is."""
+    scaled = F.abs(F.col(c)) * 1e4
+    whole = F.floor(scaled).cast("double")
+    near = whole + F.when(scaled - whole >= 0.5, 1.0).otherwise(0.0)
+    return F.when(scaled < 2.0**52, F.signum(c) * near / 1e4).otherwise(F.col(c))  # beyond, doubles have no digits to round
+
+
 def rounded(select: str, doubles: str) -> str:
     """The oracle's rows with the named doubles to four digits."""
     return f"SELECT * REPLACE ({', '.join(f'round({d}, 4) AS {d}' for d in doubles.split())}) FROM ({select})"
@@ -718,7 +726,8 @@ def scalar_functions(spark, sf):
 def stream_hourly_panes(spark, sf):
     from tidewell.streaming import replay
 
-    return replay.last_panes(spark, x.readings(spark, sf), x.PER_HOUR)
+    panes = replay.last_panes(spark, x.readings(spark, sf), x.PER_HOUR)
+    return panes.withColumns({c: rounded_like_oracle(c) for c in ("potencia_media_mw", "potencia_min_mw", "potencia_max_mw")})
 
 
 _ARRIVAL_DAYS = 9

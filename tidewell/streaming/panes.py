@@ -5,6 +5,9 @@ this is a stateful processor. With tolerance L and window H the query's watermar
 delayed by D = L + H, so that Spark never drops a reading that is still due, and the
 processor holds the exact rule against ``watermark + D``. State is a running count,
 sum, least and greatest for each hour and series, cleared when the tolerance ends.
+A batch's readings are added one after another in the order of their instants, so that
+the sum depends neither on how the shuffle brings them nor on the cut into batches
+of a stream in order; readings of one instant stay as they come.
 """
 
 from __future__ import annotations
@@ -45,7 +48,10 @@ class HourlyPanes(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         end = key[1] + HOUR_MS
         now = timerValues.getCurrentWatermarkInMs() + self.tolerance_ms + HOUR_MS
-        values = np.concatenate([np.zeros(0), *(part["valor"].to_numpy(dtype=float) for part in rows)])
+        parts = list(rows)
+        values = np.concatenate([np.zeros(0), *(part["valor"].to_numpy(dtype=float) for part in parts)])
+        if parts:
+            values = values[np.argsort(np.concatenate([part["instante"].to_numpy() for part in parts]), kind="stable")]
         if now >= end + self.tolerance_ms or not len(values):
             return
         panes = []
@@ -60,7 +66,8 @@ class HourlyPanes(StatefulProcessor):
             state = (*state[:4], 0)
             panes.append(self._pane(key, state, False))
         for some in np.split(values, len(values)) if late else [values]:  # a late reading is a pane of its own
-            state = (state[0] + len(some), state[1] + float(some.sum()), min(state[2], float(some.min())), max(state[3], float(some.max())), state[4] + 1 if late else state[4])
+            total = float(np.cumsum([state[1], *some])[-1])  # unlike sum(), one after another
+            state = (state[0] + len(some), total, min(state[2], float(some.min())), max(state[3], float(some.max())), state[4] + 1 if late else state[4])
             if late:
                 panes.append(self._pane(key, state, True))
         self.hour.update(state)
