@@ -53,6 +53,8 @@ LONG_WORD, FEW = 4, 5
 #: Share of the words that lines of more than FEW_WORDS must have in common to be compared at all.
 COMMON = 0.5
 _PLAIN = re.compile(r"[^\x00-/:-@\[-`{-\x7f]+")
+#: ASCII characters that are no letters, digits or blanks, as exclamation marks.
+_MARKED = bytes(c if c == 0x20 or c > 0x7F or chr(c).isalnum() else 0x21 for c in range(256))
 KNOWN = 100_000
 _DIGITS = bytes(0x30 if 0x31 <= c <= 0x39 else c for c in range(256))
 
@@ -156,15 +158,32 @@ def _named(sums: np.ndarray, short: bool) -> np.ndarray:
     return textkit.mix(sums) >> np.uint64(1) << np.uint64(1) | np.uint64(short)
 
 
-def _units(docs: DataFrame) -> DataFrame:
-    """(h, n, sim, keys) of the lines of each few documents, n being how often a line occurs in them.
+#: Rows that a task holds before it deals them to buckets, and buckets for each partition of the documents.
+HELD, BUCKETS = 500_000, 32
 
-    A line that a task has met before has its first key only; of the latest KNOWN lines that is remembered.
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(bucket, rows) of the lines of each few documents; rows are packed, four longs each: key, h, n, sim, n being how often a line occurs there, told at its first key.
+
+    A line that a task has met before has its first key only; of the latest KNOWN lines that is remembered. Equal keys have one bucket. Rows go
+    packed since there are some eight a line: sorted and shuffled one by one they take more time than anything else here.
     """
-    kind = pa.schema([("h", pa.int64()), ("n", pa.int64()), ("sim", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    n_buckets = max(256, BUCKETS * docs.rdd.getNumPartitions())
+    small = np.uint16 if n_buckets < 1 << 16 else np.uint32  # those of two bytes are sorted by radix
+
+    def dealt(held: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(held)
+        bucket = ((rows[:, 0].view(np.uint64) >> np.uint64(32)) % np.uint64(n_buckets)).astype(small)
+        order = np.argsort(bucket, kind="stable")
+        bucket, rows = bucket[order], rows[order]
+        starts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1])
+        at = np.concatenate([starts, [len(rows)]]) * 32
+        packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(rows)])
+        return pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int32)), packed], ["bucket", "rows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, tuple[int, int]] = {}
+        held, n_held = [], 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 count = Counter(x for text in batch.column("text").slice(lo, 256).to_pylist() for x in normal_lines(text) if x)
@@ -174,16 +193,25 @@ def _units(docs: DataFrame) -> DataFrame:
                 n = np.fromiter(count.values(), np.int64, len(count))
                 met = np.fromiter((x in known for x in h.tolist()), bool, len(h))
                 sim, keys = signatures([x for x, old in zip(count, met, strict=True) if not old])
-                yield pa.RecordBatch.from_arrays([pa.array(h[~met]), pa.array(n[~met]), pa.array(sim.view(np.int64)), keys], schema=kind)
+                sim, at, key = sim.view(np.int64), keys.offsets.to_numpy(), keys.values.to_numpy()
+                rows = np.zeros((len(key), 4), np.int64)
+                rows[:, 0], rows[:, 1], rows[:, 3] = key, np.repeat(h[~met], np.diff(at)), np.repeat(sim, np.diff(at))
+                rows[at[:-1], 2] = n[~met]
+                held.append(rows)
                 if met.any():
-                    again = [known[x] for x in h[met].tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(h[met]), pa.array(n[met]), pa.array([x[0] for x in again], pa.int64()), pa.array([[x[1]] for x in again], pa.list_(pa.int64()))], schema=kind)
+                    again = np.array([known[x] for x in h[met].tolist()], np.int64)
+                    held.append(np.stack([again[:, 1], h[met], n[met], again[:, 0]], axis=1))
                 if len(known) > KNOWN:
                     known.clear()
-                first = keys.flatten().to_numpy()[keys.offsets.to_numpy()[:-1]]
-                known.update(zip(h[~met].tolist(), zip(sim.view(np.int64).tolist(), first.tolist(), strict=True), strict=True))
+                known.update(zip(h[~met].tolist(), zip(sim.tolist(), key[at[:-1]].tolist(), strict=True), strict=True))
+                n_held += len(rows) + int(met.sum())
+                if n_held > HELD:
+                    yield dealt(held)
+                    held, n_held = [], 0
+        if n_held:
+            yield dealt(held)
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, n long, sim long, keys array<long>")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "bucket int, rows binary")
 
 
 def _near(values: np.ndarray, near: int) -> Iterator[np.ndarray]:
@@ -202,15 +230,24 @@ def _near(values: np.ndarray, near: int) -> Iterator[np.ndarray]:
 
 
 def _bucket_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gid, h, sim, n) of the candidate groups inside the buckets of a partition that is sorted by key; equal groups have equal ids.
+    """(gid, h, sim, n) of the candidate groups, lines of one key, of a partition of _keyed() that is sorted by bucket; equal groups have equal ids.
 
     A line has n, how often it occurs, at its first key, once for each task that met it. Lines that occur more than once are told without gid.
     """
-    for batch in spread.runs(batches, "key"):
-        key, h, n = (batch.column(c).to_numpy() for c in ("key", "h", "n"))
+    for batch in spread.runs(batches, "bucket"):
+        rows = np.frombuffer(b"".join(batch.column("rows").to_pylist()), np.int64).reshape(-1, 4)
+        rows = rows[np.argsort(rows[:, 0])]
+        key, h, n, sim = (np.ascontiguousarray(rows[:, c]) for c in range(4))
+        # the lines of the few keys that have several
+        alike = key[1:] == key[:-1]
+        several = np.flatnonzero(np.concatenate([[False], alike]) | np.concatenate([alike, [False]]))
+        if len(several):
+            order = np.arange(len(key))
+            order[several] = several[np.lexsort((h[several], key[several]))]
+            h, n, sim = h[order], n[order], sim[order]
         fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (key[1:] != key[:-1])])
         total = np.add.reduceat(n, np.flatnonzero(fresh))
-        key, h, sim = key[fresh], h[fresh], batch.column("sim").to_numpy().view(np.uint64)[fresh]
+        key, h, sim = key[fresh], h[fresh], sim.view(np.uint64)[fresh]
         often = total > 1
         if often.any():
             nulls = pa.nulls(int(often.sum()), pa.int64())
@@ -219,15 +256,21 @@ def _bucket_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             continue
         starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
         sizes = np.diff(np.concatenate([starts, [len(key)]]))
-        most = np.where(key & 1, NEAR_SHORT, NEAR)
+        most = np.where(key[starts] & 1, NEAR_SHORT, NEAR)
         gids, members, prints = [], [], []
-        # most buckets have no two members near: those of up to 64 members are tried by shifting
+        # most buckets have one member, or no two near: those of up to 64 members are tried by shifting
         tried = np.zeros(len(sizes), bool)
-        bucket = np.repeat(np.arange(len(sizes)), sizes)
-        for d in range(1, int(min(64, sizes.max()))):
-            tried[bucket[:-d][(key[d:] == key[:-d]) & (np.bitwise_count(sim[d:] ^ sim[:-d]) <= most[d:])]] = True
+        many = np.repeat(sizes > 1, sizes)
+        bucket, own = np.repeat(np.arange(len(sizes)), sizes)[many], sim[many]
+        d = 1
+        while d < 64 and len(bucket) > d:
+            tried[bucket[:-d][(bucket[d:] == bucket[:-d]) & (np.bitwise_count(own[d:] ^ own[:-d]) <= most[bucket[d:]])]] = True
+            d += 1
+            if d & (d - 1) == 0:  # at each power of two, buckets that are too small or settled are left out
+                stay = (sizes[bucket] > d) & ~tried[bucket]
+                bucket, own = bucket[stay], own[stay]
         for s in np.flatnonzero((sizes > 1) & (tried | (sizes > 64))):
-            for group in _near(sim[starts[s] : starts[s] + sizes[s]], most[starts[s]]):
+            for group in _near(sim[starts[s] : starts[s] + sizes[s]], most[s]):
                 group = starts[s] + group[np.argsort(h[starts[s] + group])]
                 prints.append(sim[group])
                 group = h[group]
@@ -261,35 +304,49 @@ def edit_distance(a: Sequence, b: Sequence, limit: int) -> int:
     places: dict = {}
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << i
-    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
-    up, down, score = full, 0, len(a)
-    for j, c in enumerate(b):
-        eq = places.get(c, 0)
-        diagonal = (((eq & up) + up) ^ up) | eq | down
-        rise = down | (~(diagonal | up) & full)
-        fall = up & diagonal
-        if rise & top:
-            score += 1
-        elif fall & top:
-            score -= 1
-        if score - (len(b) - 1 - j) > limit:
+    full = (1 << len(a)) - 1
+    up, down, n = full, 0, len(b)
+    for lo in range(0, n, 32):
+        for c in b[lo : lo + 32]:
+            eq = places.get(c, 0)
+            diagonal = (((eq & up) + up) ^ up) | eq | down
+            rise = (down | ~(diagonal | up)) << 1 | 1
+            up, down = ((up & diagonal) << 1 | ~(diagonal | rise)) & full, rise & diagonal & full
+        done = min(lo + 32, n)  # the differences down the last column add up to the distance of all of a from b[:done]
+        if done + up.bit_count() - down.bit_count() - (n - done) > limit:
             return limit + 1
-        rise = rise << 1 | 1
-        up = (fall << 1 | (~(diagonal | rise) & full)) & full
-        down = rise & diagonal & full
-    return min(score, limit + 1)
+    return min(n + up.bit_count() - down.bit_count(), limit + 1)
+
+
+class _Line:
+    """What comparisons ask of a line: its words, the places of those that it has once, the number of its words of letters and digits, and of words that begin otherwise."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.words = text, text.split(" ")
+        self.once = dict(zip(self.words, range(len(self.words)), strict=True))
+        if len(self.once) < len(self.words):
+            count = Counter(self.words)
+            self.once = {w: k for w, k in self.once.items() if count[w] == 1}
+        marked = text.encode().translate(_MARKED)
+        self.plain = len(marked.replace(b"!", b" ").split())
+        self.odd = marked.startswith(b"!") + marked.count(b" !")
+        self._count: Counter | None = None
+
+    def count(self) -> Counter:
+        if self._count is None:
+            self._count = Counter(_PLAIN.findall(self.text))
+        return self._count
 
 
 class _Texts:
     """Lines of a group, with what bounds their edit distances."""
 
-    def __init__(self, texts: list[str], sims: np.ndarray, similarity: float, names: list[int] | None = None, counts: dict[int, Counter] | None = None) -> None:
-        """counts keeps the words of lines by their names, for the groups that share them."""
+    def __init__(self, texts: list[str], sims: np.ndarray, similarity: float, names: list[int] | None = None, known: dict[int, _Line] | None = None) -> None:
+        """known keeps lines by their names, for the groups that share them."""
         self.texts, self.sims, self.similarity = texts, sims, similarity
-        self.words = [t.split(" ") for t in texts]
-        self.counts = {} if counts is None else counts
+        self.known = {} if known is None else known
         self.names = range(len(texts)) if names is None else names
-        self.reach = np.where(np.array(list(map(len, self.words))) <= FEW_WORDS, NEAR_SHORT, NEAR)
+        self.reach = np.where(np.array([t.count(" ") for t in texts]) < FEW_WORDS, NEAR_SHORT, NEAR)
         self.n_chars = np.array([len(t) for t in texts])
 
     def like(self, pivot: int, others: np.ndarray) -> list[int]:
@@ -303,59 +360,74 @@ class _Texts:
         limit = (np.maximum(size, own) * (1 - self.similarity) + 1e-9).astype(np.int64)
         return [int(near[i]) for i in np.flatnonzero(np.abs(size - own) <= limit) if self._near(pivot, others[i], int(limit[i]))]
 
-    def _count(self, i: int) -> Counter:
+    def _line(self, i: int) -> _Line:
         name = self.names[i]
-        if name not in self.counts:
-            self.counts[name] = Counter(_PLAIN.findall(self.texts[i]))
-        return self.counts[name]
+        if name not in self.known:
+            self.known[name] = _Line(self.texts[i])
+        return self.known[name]
 
     def _near(self, i: int, j: int, limit: int) -> bool:
-        a, b = self._count(i), self._count(j)
-        most = max(a.total(), b.total())
-        if most > FEW_WORDS and (a & b).total() < COMMON * most:
+        a, b = self._line(i), self._line(j)
+        most = max(a.plain, b.plain)
+        shared = [w for w in a.once if w in b.once]
+        # shared words that begin with a letter or digit are common ones; all are counted only if these don't suffice
+        if most > FEW_WORDS and len(shared) - a.odd < COMMON * most and (a.count() & b.count()).total() < COMMON * most:
             return False
-        gaps = _gaps(self.words[i], self.words[j])
-        if sum(max(len(x), len(y)) for x, y in gaps) <= limit:
-            return True
-        total = 0
+        gaps = _pieces(a, b, shared)
+        # what is left to compare costs no more than the longer sides, and no less than the differences of size
+        most, least = sum([max(len(x), len(y)) for x, y in gaps]), sum([abs(len(x) - len(y)) for x, y in gaps])
         for x, y in gaps:
-            total += edit_distance(x, y, limit - total)
-            if total > limit:
+            if most <= limit:
+                return True
+            if least > limit:
                 return False
-        return True
+            least -= abs(len(x) - len(y))
+            cost = edit_distance(x, y, limit - least)
+            most += cost - max(len(x), len(y))
+            least += cost
+        return most <= limit
 
 
 def _gaps(a: list[str], b: list[str]) -> list[tuple[str, str]]:
-    """Pieces of two lines that differ, between words that both have once and in the same order.
+    """_pieces() of two lines, given by their words."""
+    one, other = _Line(" ".join(a)), _Line(" ".join(b))
+    return _pieces(one, other, [w for w in one.once if w in other.once])
+
+
+def _pieces(one: _Line, other: _Line, shared: list[str]) -> list[tuple[str, str]]:
+    """Pieces of two lines that differ, between words that both have once (shared, in the order of the first) and in the same order.
 
     Editing each piece for itself is one way of editing the lines, so the pieces' distances add up to no less than the lines' distance.
     """
-    count_a, count_b = Counter(a), Counter(b)
-    place = {w: k for k, w in enumerate(b) if count_b[w] == 1}
-    shared = [(k, place[w]) for k, w in enumerate(a) if count_a[w] == 1 and w in place]
-    # the longest run of shared words that is in order on both sides
-    tails: list[int] = []
-    last: list[int] = []
-    before: list[int] = []
-    for n, (_, y) in enumerate(shared):
-        at = bisect_left(tails, y)
-        before.append(last[at - 1] if at else -1)
-        tails[at : at + 1] = [y]
-        last[at : at + 1] = [n]
-    chain, n = [(len(a), len(b))], last[-1] if last else -1
-    while n >= 0:
-        chain.append(shared[n])
-        n = before[n]
-    out, x, y = [], 0, 0
-    for k, m in reversed(chain):
-        end, stop = k, m
+    a, b = one.words, other.words
+    xs, ys = [one.once[w] for w in shared], [other.once[w] for w in shared]
+    if ys != sorted(ys):
+        # the longest run of shared words that is in order on both sides
+        tails: list[int] = []
+        last: list[int] = []
+        before: list[int] = []
+        for n, y in enumerate(ys):
+            at = bisect_left(tails, y)
+            before.append(last[at - 1] if at else -1)
+            tails[at : at + 1] = [y]
+            last[at : at + 1] = [n]
+        chain, n = [], last[-1]
+        while n >= 0:
+            chain.append(n)
+            n = before[n]
+        chain.reverse()
+        xs, ys = [xs[n] for n in chain], [ys[n] for n in chain]
+    xs.append(len(a))
+    ys.append(len(b))
+    out = []
+    for x, y, end, stop in [c for c in zip([-1, *xs], [-1, *ys], xs, ys, strict=False) if c[2] - c[0] > 1 or c[3] - c[1] > 1]:
+        x, y = x + 1, y + 1
         while x < end and y < stop and a[x] == b[y]:
             x, y = x + 1, y + 1
         while x < end and y < stop and a[end - 1] == b[stop - 1]:
             end, stop = end - 1, stop - 1
         if x < end or y < stop:
-            out.append(("".join(w + " " for w in a[x:end]), "".join(w + " " for w in b[y:stop])))
-        x, y = k + 1, m + 1
+            out.append(("".join([w + " " for w in a[x:end]]), "".join([w + " " for w in b[y:stop]])))
     return out
 
 
@@ -370,7 +442,7 @@ def _root(links: dict[int, int], x: int) -> int:
 def _edit_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """Links (a, b) of line hashes that connect what is similar inside each part."""
     links: dict[int, int] = {}
-    counts: dict[int, Counter] = {}
+    lines: dict[int, _Line] = {}
     now = None
     for batch in spread.runs(batches, "part"):
         part, h, (sim, line) = batch.column("part").to_numpy(), batch.column("h").to_numpy(), batch.column("own").flatten()
@@ -383,18 +455,20 @@ def _edit_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterato
                 continue
             own = h[lo:hi].tolist()
             if home[lo] != now:
-                now, links, counts = home[lo], {}, {}
-            texts = _Texts(line.slice(lo, hi - lo).to_pylist(), sim[lo:hi], similarity, own, counts)
+                now, links, lines = home[lo], {}, {}
+            texts = _Texts(line.slice(lo, hi - lo).to_pylist(), sim[lo:hi], similarity, own, lines)
+            # what an earlier group of the same first line has linked needs no comparison
+            linked = np.array([_root(links, x) for x in own])
+            again = bool(links) and len(set(linked.tolist())) < len(own)
             left = np.arange(hi - lo)
             while len(left):
                 queue, left = [left[0]], left[1:]
                 while queue and len(left):
                     pivot = queue.pop()
-                    # what an earlier group of the same first line has linked needs no comparison
-                    root = _root(links, own[pivot])
-                    known = np.array([_root(links, own[i]) == root for i in left]) if links else np.zeros(len(left), bool)
-                    queue.extend(left[known])
-                    left = left[~known]
+                    if again:
+                        known = linked[left] == linked[pivot]
+                        queue.extend(left[known])
+                        left = left[~known]
                     hit = texts.like(pivot, left)
                     if len(hit):
                         found = left[hit]
@@ -445,10 +519,7 @@ def _places(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def line_groups(docs: DataFrame, similarity: float = SIMILARITY, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """(places, groups): (doc_id, row, line, h) of the lines that may repeat or be similar to another, and (h, n, root) of those that
     occur n > 1 times or have a similar line; root is the least hash of their group."""
-    units = _units(docs)
-    at_key = F.transform("keys", lambda k, i: F.struct(k.alias("key"), F.when(i == 0, F.col("n")).otherwise(0).alias("n")))
-    rows = units.select("h", "sim", F.explode(at_key).alias("x")).select("x.key", "h", "sim", "x.n")
-    found = spread.durable(rows.repartition("key").sortWithinPartitions("key", "h").mapInArrow(_bucket_groups, "gid long, h long, sim long, n long"))
+    found = spread.durable(_keyed(docs).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_groups, "gid long, h long, sim long, n long"))
     groups = spread.durable(found.where("gid IS NOT NULL").select("gid", "h", "sim").distinct())
     often = found.where("gid IS NULL").select("h", "n")
     places = spread.durable(_places(docs, found.select("h")))
