@@ -736,3 +736,31 @@ def test_a_large_group_of_variants_is_walked_from_its_first_text(spark):
     assert links.count() < 1200
     got = lines.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), group=20)
     assert got.where("text <> ''").count() == 1
+
+
+def test_long_lines_of_repeated_words_are_settled_by_words(monkeypatch):
+    words = (sentence(12, 77) + " ").split() * 40
+    other = list(words)
+    other[50:52], other[200], other[333:333] = ["changed"], "again", ["more"]
+    given, exact = [], lines.edit_distance
+    monkeypatch.setattr(lines, "edit_distance", lambda a, b, limit: given.append(max(len(a), len(b))) or exact(a, b, limit))
+    assert lines._Texts([" ".join(words), " ".join(other)], np.zeros(2, np.uint64), 0.8).like(0, np.array([1])) == [0]
+    assert max(given) < 100
+
+
+def test_bounds_by_words_and_pairs_agree_with_the_general_way():
+    rnd = random.Random(19)
+    for turn in range(300):
+        words = rnd.choices(VOCABULARY[: 8 if turn % 2 else 200], k=rnd.randrange(1, 90))
+        other = list(words)
+        for _ in range(rnd.randrange(25)):
+            at = rnd.randrange(len(other) + 1)
+            other[at : at + rnd.randrange(2)] = rnd.choices(VOCABULARY, k=rnd.randrange(2))
+        x, y = "".join(w + " " for w in words), "".join(w + " " for w in other)
+        assert lines._by_words(x, y) >= brute_distance(x, y)
+        one, two = x.strip() or "a", y.strip() or "b"
+        sims = np.array([0, (1 << rnd.randrange(12, 26)) - 1], np.uint64)
+        general = lines._Texts([one, two], sims, 0.8).like(0, np.array([1])) == [0]
+        assert lines._pair(one, two, int(sims[1]).bit_count(), 0.8, [1, 2], {}) == general
+        limit = int(max(len(one), len(two)) * 0.2 + 1e-9)
+        assert not general or brute_distance(one, two) <= limit

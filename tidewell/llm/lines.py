@@ -55,7 +55,11 @@ COMMON = 0.5
 _PLAIN = re.compile(r"[^\x00-/:-@\[-`{-\x7f]+")
 #: ASCII characters that are no letters, digits or blanks, as exclamation marks.
 _MARKED = bytes(c if c == 0x20 or c > 0x7F or chr(c).isalnum() else 0x21 for c in range(256))
+#: Pieces of more characters are first compared by their words.
+PIECE = 150
 KNOWN = 100_000
+#: What a text has whose white space isn't normal yet, but for a blank at its ends.
+_UNEVEN = (b"  ", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c")
 _DIGITS = bytes(0x30 if 0x31 <= c <= 0x39 else c for c in range(256))
 
 
@@ -63,7 +67,10 @@ def normal_lines(text: str | None) -> list[bytes]:
     """The normal forms of a text's lines, as UTF-8."""
     if not text:
         return []
-    return [b" ".join(x.split()) for x in text.casefold().encode("utf-8", "replace").translate(_DIGITS).split(b"\n")]
+    data = text.casefold().encode("utf-8", "replace").translate(_DIGITS)
+    if any(map(data.__contains__, _UNEVEN)) or data[:1] == b" " or data[-1:] == b" ":
+        return [b" ".join(x.split()) for x in data.split(b"\n")]
+    return data.split(b"\n")
 
 
 #: A byte's bits, lowest first, each in a byte of its own.
@@ -171,15 +178,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
     n_buckets = max(256, BUCKETS * docs.rdd.getNumPartitions())
     small = np.uint16 if n_buckets < 1 << 16 else np.uint32  # those of two bytes are sorted by radix
 
-    def dealt(held: list[np.ndarray]) -> pa.RecordBatch:
-        rows = np.concatenate(held)
-        bucket = ((rows[:, 0].view(np.uint64) >> np.uint64(32)) % np.uint64(n_buckets)).astype(small)
-        order = np.argsort(bucket, kind="stable")
-        bucket, rows = bucket[order], rows[order]
-        starts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1])
-        at = np.concatenate([starts, [len(rows)]]) * 32
-        packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(rows)])
-        return pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int32)), packed], ["bucket", "rows"])
+    def dealt(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        every = np.concatenate(held)
+        for lo in range(0, len(every), 1 << 24):  # offsets of a batch's bytes have 31 bits
+            rows = every[lo : lo + (1 << 24)]
+            bucket = ((rows[:, 0].view(np.uint64) >> np.uint64(32)) % np.uint64(n_buckets)).astype(small)
+            order = np.argsort(bucket, kind="stable")
+            bucket, rows = bucket[order], rows[order]
+            starts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1])
+            at = np.concatenate([starts, [len(rows)]]) * 32
+            packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(rows)])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int32)), packed], ["bucket", "rows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, tuple[int, int]] = {}
@@ -206,10 +215,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
                 known.update(zip(h[~met].tolist(), zip(sim.tolist(), key[at[:-1]].tolist(), strict=True), strict=True))
                 n_held += len(rows) + int(met.sum())
                 if n_held > HELD:
-                    yield dealt(held)
+                    yield from dealt(held)
                     held, n_held = [], 0
         if n_held:
-            yield dealt(held)
+            yield from dealt(held)
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "bucket int, rows binary")
 
@@ -367,25 +376,67 @@ class _Texts:
         return self.known[name]
 
     def _near(self, i: int, j: int, limit: int) -> bool:
-        a, b = self._line(i), self._line(j)
-        most = max(a.plain, b.plain)
-        shared = [w for w in a.once if w in b.once]
-        # shared words that begin with a letter or digit are common ones; all are counted only if these don't suffice
-        if most > FEW_WORDS and len(shared) - a.odd < COMMON * most and (a.count() & b.count()).total() < COMMON * most:
+        return _similar(self._line(i), self._line(j), limit)
+
+
+def _similar(a: _Line, b: _Line, limit: int) -> bool:
+    """Whether two lines have enough words in common and at most limit edits between them."""
+    most = max(a.plain, b.plain)
+    shared = [w for w in a.once if w in b.once]
+    # shared words that begin with a letter or digit are common ones; all are counted only if these don't suffice
+    if most > FEW_WORDS and len(shared) - a.odd < COMMON * most and (a.count() & b.count()).total() < COMMON * most:
+        return False
+    gaps = _pieces(a, b, shared)
+    # what is left to compare costs no more than the longer sides, and no less than the differences of size
+    bounds = [max(len(x), len(y)) for x, y in gaps]
+    most, least = sum(bounds), sum([abs(len(x) - len(y)) for x, y in gaps])
+    if most > limit and max(bounds) > PIECE:
+        bounds = [n if n <= PIECE else _by_words(x, y) for n, (x, y) in zip(bounds, gaps, strict=True)]
+        most = sum(bounds)
+    for (x, y), bound in zip(gaps, bounds, strict=True):
+        if most <= limit:
+            return True
+        if least > limit:
             return False
-        gaps = _pieces(a, b, shared)
-        # what is left to compare costs no more than the longer sides, and no less than the differences of size
-        most, least = sum([max(len(x), len(y)) for x, y in gaps]), sum([abs(len(x) - len(y)) for x, y in gaps])
-        for x, y in gaps:
-            if most <= limit:
-                return True
-            if least > limit:
-                return False
-            least -= abs(len(x) - len(y))
-            cost = edit_distance(x, y, limit - least)
-            most += cost - max(len(x), len(y))
-            least += cost
-        return most <= limit
+        least -= abs(len(x) - len(y))
+        cost = edit_distance(x, y, limit - least)
+        most += cost - bound
+        least += cost
+    return most <= limit
+
+
+def _pair(one: str, other: str, bits: int, similarity: float, names: list[int], known: dict[int, _Line]) -> bool:
+    """_Texts.like() of two lines whose SimHashes differ in so many bits."""
+    limit = int(max(len(one), len(other)) * (1 - similarity) + 1e-9)
+    if bits > (NEAR_SHORT if min(one.count(" "), other.count(" ")) < FEW_WORDS else NEAR) or abs(len(one) - len(other)) > limit:
+        return False
+    for name, text in zip(names, (one, other), strict=True):
+        if name not in known:
+            known[name] = _Line(text)
+    return _similar(known[names[0]], known[names[1]], limit)
+
+
+#: Steps over words of two lines after which two words in a row may agree again, short ones first.
+_STEPS = sorted(((p, q) for p in range(7) for q in range(7) if p or q), key=lambda x: (sum(x), abs(x[0] - x[1])))
+
+
+def _by_words(x: str, y: str) -> int:
+    """A bound from above of two long pieces' distance: they are read side by side, and what differs up to the next two words in a row that agree is edited for itself."""
+    a, b = x.split(" "), y.split(" ")
+    i = j = cost = 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            i, j = i + 1, j + 1
+            continue
+        for p, q in _STEPS:
+            if a[i + p : i + p + 2] == b[j + q : j + q + 2] != []:
+                break
+        else:
+            p, q = 1, 1
+        own, other = "".join([w + " " for w in a[i : i + p]]), "".join([w + " " for w in b[j : j + q]])
+        cost += edit_distance(own, other, len(own) + len(other))
+        i, j = i + p, j + q
+    return cost + sum(map(len, a[i:])) + len(a[i:]) + sum(map(len, b[j:])) + len(b[j:])
 
 
 def _gaps(a: list[str], b: list[str]) -> list[tuple[str, str]]:
@@ -456,6 +507,13 @@ def _edit_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterato
             own = h[lo:hi].tolist()
             if home[lo] != now:
                 now, links, lines = home[lo], {}, {}
+            if hi - lo == 2:  # half of the groups; what follows does the same for more lines
+                x, y = own
+                if _root(links, x) != _root(links, y) and _pair(*line.slice(lo, 2).to_pylist(), int(sim[lo] ^ sim[lo + 1]).bit_count(), similarity, own, lines):
+                    a.append(y)
+                    b.append(x)
+                    links[_root(links, y)] = _root(links, x)
+                continue
             texts = _Texts(line.slice(lo, hi - lo).to_pylist(), sim[lo:hi], similarity, own, lines)
             # what an earlier group of the same first line has linked needs no comparison
             linked = np.array([_root(links, x) for x in own])
