@@ -7,11 +7,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidewell.llm import decontaminate, lines, mixing, quality, sharding, simhash, spread, tokens, toxicity
+from tidewell.llm import decontaminate, lines, mixing, quality, sharding, simhash, spread, textkit, tokens, toxicity
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, key string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -764,3 +765,58 @@ def test_bounds_by_words_and_pairs_agree_with_the_general_way():
         assert lines._pair(one, two, int(sims[1]).bit_count(), 0.8, [1, 2], {}) == general
         limit = int(max(len(one), len(two)) * 0.2 + 1e-9)
         assert not general or brute_distance(one, two) <= limit
+
+
+def test_lines_of_many_texts_are_those_of_each():
+    rnd = random.Random(41)
+    pieces = ["a", "B7", " ", " ", "\n", "\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x00", "ß", "É", "　", "-", "word "]
+    texts = ["".join(rnd.choices(pieces, k=rnd.randrange(25))) for _ in range(2000)] + [None, "", " ", "\n", "\n\n", " \n ", "plain line\nanother 15"]
+    digits = bytes.maketrans(b"123456789", b"000000000")
+    want = [[b" ".join(x.split()) for x in t.casefold().encode().translate(digits).split(b"\n")] if t else [] for t in texts]
+    for lo in range(0, len(texts), 100):
+        got, n_lines = lines.all_lines(texts[lo : lo + 100])
+        assert got == [x for own in want[lo : lo + 100] for x in own]
+        assert n_lines.tolist() == [len(own) for own in want[lo : lo + 100]]
+
+
+def test_signatures_of_lines_of_any_length_equal_brute_force():
+    rnd = random.Random(43)
+    given = ["--", "one", "two, words"] + [" ".join(rnd.choices(VOCABULARY, k=n)) for n in (3, 60, 126, 127, 128, 129, 254, 255, 256, 700)]
+    hashes = {w: int(textkit.span_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0]) for t in given for w in re.findall("[a-z]+", t)}
+    for text, sim in zip(given, lines.signatures([t.encode() for t in given])[0].tolist(), strict=True):
+        words = [hashes[w] for w in re.findall("[a-z]+", text)]
+        features = words + textkit.rolling(np.array(words, np.uint64), 2).tolist()
+        assert sim == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in features) > len(features))
+
+
+def test_small_groups_and_bounds_on_common_words_decide_as_the_general_way(monkeypatch):
+    rnd, rows = random.Random(47), []
+    for g in range(120):
+        base = rnd.choices(VOCABULARY[:60], k=rnd.randrange(3, 40))
+        forms = sorted({" ".join(changed(base, rnd.randrange(min(len(base), 9)), rnd)) for _ in range(rnd.randrange(2, 13))})
+        rows += [(g // 3, g, 1000 * (g // 3) + i, {"sim": 0, "line": x}) for i, x in enumerate(forms)]
+        for x in forms:
+            for y in forms:
+                a, b, least = lines._Line(x), lines._Line(y), rnd.randrange(1, 20)
+                assert (lines._common(a, b, least) < least) == ((a.count() & b.count()).total() < least)
+    kind = pa.schema([("home", pa.int64()), ("part", pa.int64()), ("h", pa.int64()), ("own", pa.struct([("sim", pa.int64()), ("line", pa.string())]))])
+    batch = pa.RecordBatch.from_pylist([dict(zip(kind.names, r, strict=True)) for r in rows], schema=kind)
+    found = []
+    for most in (lines.SMALL, 0):
+        monkeypatch.setattr(lines, "SMALL", most)
+        found.append([(x, y) for b in lines._edit_links(iter([batch]), 0.8) for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)])
+    assert found[0] == found[1] and len(found[0]) > 50
+
+
+def test_line_dedup_deals_groups_without_texts_and_cuts_without_python(spark, docs, monkeypatch):
+    dealt, real = [], spread.links_within
+    monkeypatch.setattr(spread, "links_within", lambda members, *a: dealt.append(members.dtypes) or real(members, *a))
+    out = lines.without_repeats(docs)
+    assert dealt and all(kind == "bigint" for own in dealt for _, kind in own)
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().executedPlan().toString()
+    keys = spark.range(0, 3000, 7).select(F.xxhash64("id").alias("h"))
+    some = spark.range(3000).withColumn("text", F.lit("x"))
+    for few in (keys, keys.where("false")):
+        both = [spread.split_by(some, F.xxhash64("id"), few), spread.split_wide(some, F.xxhash64("id"), few)]
+        (a, b), (c, d) = [[sorted(x["id"] for x in part.collect()) for part in way] for way in both]
+        assert a == c and b == d and len(a) + len(b) == 3000

@@ -34,9 +34,8 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import spread, textkit
 
@@ -58,74 +57,97 @@ _MARKED = bytes(c if c == 0x20 or c > 0x7F or chr(c).isalnum() else 0x21 for c i
 #: Pieces of more characters are first compared by their words.
 PIECE = 150
 KNOWN = 100_000
-#: What a text has whose white space isn't normal yet, but for a blank at its ends.
-_UNEVEN = (b"  ", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c")
 _DIGITS = bytes(0x30 if 0x31 <= c <= 0x39 else c for c in range(256))
 
 
 def normal_lines(text: str | None) -> list[bytes]:
     """The normal forms of a text's lines, as UTF-8."""
-    if not text:
-        return []
-    data = text.casefold().encode("utf-8", "replace").translate(_DIGITS)
-    if any(map(data.__contains__, _UNEVEN)) or data[:1] == b" " or data[-1:] == b" ":
-        return [b" ".join(x.split()) for x in data.split(b"\n")]
-    return data.split(b"\n")
-
-
-#: A byte's bits, lowest first, each in a byte of its own.
-_LANES = np.ascontiguousarray(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")).view(np.uint64).ravel()
+    return all_lines([text])[0]
+
+
+def all_lines(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
+    """The normal forms of the lines of several texts, as UTF-8, and how many lines each text has (none if it is empty or null)."""
+    folded = [text.casefold() for text in texts if text]
+    if not folded:
+        return [], np.zeros(len(texts), np.int64)
+    n_lines = np.zeros(len(texts), np.int64)
+    n_lines[[i for i, text in enumerate(texts) if text]] = [text.count("\n") + 1 for text in folded]
+    data = "\n".join(folded).encode("utf-8", "replace").translate(_DIGITS)
+    lines = data.split(b"\n")
+    # white space is normal if it is one blank between others, or the end of a line
+    at = np.frombuffer(data, np.uint8)
+    low = at <= 0x20
+    odd = low[1:] & low[:-1]
+    if odd.any() or low[0] or low[-1] or np.count_nonzero(low) > np.count_nonzero(at == 0x20) + len(lines) - 1:
+        ends = np.flatnonzero(at == 0x0A)
+        pairs = np.flatnonzero(odd)
+        pairs = pairs[(at[pairs] != 0x0A) | (at[pairs + 1] != 0x0A)]
+        others = np.flatnonzero(low & (at != 0x20) & (at != 0x0A))
+        for i in np.unique(np.searchsorted(ends, np.concatenate([pairs, pairs + 1, others, [0, len(data) - 1]]))).tolist():
+            lines[i] = b" ".join(lines[i].split())
+    return lines, n_lines
+
+
+#: 1 for what words of letters and digits have, 0 for what is between them.
+_LETTERS = bytes(~textkit.PUNCT)
+#: The lowest bit of each byte of a word.
+_LOWEST = np.uint64(0x0101010101010101)
 
 
 def signatures(lines: list[bytes]) -> tuple[np.ndarray, pa.Array]:
     """SimHash of each normal line over its words of letters and digits and their pairs, and its block keys."""
     sim, rows, keys = np.zeros(len(lines), np.uint64), [], []
-    for lo, data, offsets in textkit.blocks(pa.array(lines, pa.large_binary()), 1 << 18):
-        starts, ends, first = textkit.words(data, offsets, textkit.PUNCT)
-        h = textkit.span_hashes(data, starts, ends)
+    at = np.cumsum([0, *[len(x) + 1 for x in lines]])
+    lo = 0
+    while lo < len(lines):  # a block of about 256 KB, or one line
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + (1 << 18), "right")) - 1)
+        data = b"\n".join(lines[lo:hi]) + b"\n"
+        letter = np.frombuffer(data.translate(_LETTERS), bool)
+        edges = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+        if letter[0]:
+            edges = np.concatenate([[0], edges])
+        starts, ends = np.ascontiguousarray(edges[::2]), np.ascontiguousarray(edges[1::2])
+        first = np.searchsorted(starts, at[lo : hi + 1] - at[lo])
+        h = textkit.span_hashes(np.frombuffer(data, np.uint8), starts, ends)
         per_row = np.diff(first)
         full = np.flatnonzero(per_row)
         if len(full):
             sim[lo + full] = _simhash(h, first, per_row, full)
         row = np.repeat(np.arange(len(per_row)), per_row)
         long = ends - starts >= LONG_WORD
-        n_long = np.bincount(row[long], minlength=len(per_row))
+        n_long = np.diff(np.concatenate([[0], np.cumsum(long)])[first])
         # a line of few long words has the keys of all its words; at the bound it has both kinds
         for chosen, salt in ((n_long <= FEW + 1, 0), (n_long >= FEW, 1 << 24)):
-            used = chosen[row] & (long if salt else True)
-            for r, key in _block_keys(h[used], np.bincount(row[used], minlength=len(per_row)), salt):
-                rows.append(lo + r)
-                keys.append(key)
+            if chosen.any():
+                for r, key in _block_keys(h[long & chosen[row] if salt else chosen[row]], np.where(chosen, n_long if salt else per_row, 0), salt):
+                    rows.append(lo + r)
+                    keys.append(key)
         for i in np.flatnonzero(per_row == 0):  # punctuation only: its distinct characters are the one block
             rows.append(np.array([lo + i]))
             keys.append(np.array([xxhash.xxh64_intdigest("".join(sorted(set(lines[lo + i].decode()))).encode()) | 1], np.uint64))
+        lo = hi
     row, key = np.concatenate([*rows, np.zeros(0, np.int64)]), np.concatenate([*keys, np.zeros(0, np.uint64)])
-    key = key[np.argsort(row, kind="stable")]
+    key = key[np.argsort(row.astype(np.uint16) if len(lines) < 1 << 16 else row, kind="stable")]  # those of two bytes are sorted by radix
     ends = np.cumsum(np.bincount(row, minlength=len(lines)))
     return sim, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(key.view(np.int64)))
 
 
 def _simhash(h: np.ndarray, first: np.ndarray, n_words: np.ndarray, full: np.ndarray) -> np.ndarray:
-    # each word is followed by its pair with the next word, if that is of the same line
-    row = np.repeat(np.arange(len(n_words)), n_words)
-    pair = np.concatenate([textkit.rolling(h, 2), np.zeros(1, np.uint64)])
-    paired = np.concatenate([row[1:] == row[:-1], [False]])
-    at = np.arange(len(h)) + np.cumsum(paired) - paired
-    features = np.empty(len(h) + int(paired.sum()), np.uint64)
-    features[at] = h
-    features[at[paired] + 1] = pair[paired]
-    per_row = np.maximum(2 * n_words - 1, 0)
-    begin = np.cumsum(per_row) - per_row
-    # sums of at most 255 features fit into the bytes of a word
-    pieces = -(-per_row // 255)
-    owner = np.repeat(np.arange(len(per_row)), pieces)
-    piece = np.repeat(begin, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-    raw = features.view(np.uint8).reshape(-1, 8)
-    counts = np.empty((len(piece), 64), np.uint8)
-    for byte in range(8):
-        counts[:, 8 * byte : 8 * byte + 8] = np.add.reduceat(_LANES[raw[:, byte]], piece).view(np.uint8).reshape(-1, 8)
-    ones = np.add.reduceat(counts, np.searchsorted(owner, full), axis=0, dtype=np.int64)
-    packed = np.packbits(2 * ones > per_row[full, None], axis=1, bitorder="little")
+    # each word stands with its pair with the next word, if that is of the same line
+    last = first[full + 1] - 1
+    pair = np.zeros(len(h), np.uint64)
+    pair[:-1] = textkit.rolling(h, 2)
+    pair[last] = 0
+    # sums of 127 words and their pairs at most fit into the bytes of a word
+    pieces = -(-n_words[full] // 127)
+    owner = np.cumsum(pieces) - pieces
+    piece = np.repeat(first[full], pieces) + 127 * (np.arange(pieces.sum()) - np.repeat(owner, pieces))
+    counts = np.empty((len(piece), 8, 8), np.uint8)  # of bit 8 * byte + k
+    for k in range(8):
+        shift = np.uint64(k)
+        counts[:, :, k] = np.add.reduceat((h >> shift & _LOWEST) + (pair >> shift & _LOWEST), piece).view(np.uint8).reshape(-1, 8)
+    ones = np.add.reduceat(counts.reshape(-1, 64), owner, axis=0, dtype=np.int64) if len(piece) > len(full) else counts.reshape(-1, 64).astype(np.int64)
+    packed = np.packbits(2 * ones > (2 * n_words[full] - 1)[:, None], axis=1, bitorder="little")
     return np.ascontiguousarray(packed).view(np.uint64).ravel()
 
 
@@ -137,18 +159,24 @@ def _block_keys(h: np.ndarray, per_row: np.ndarray, salt: int) -> Iterator[tuple
         rows = np.flatnonzero(chosen)
         if not len(rows):
             continue
-        own = odd[np.repeat(chosen, per_row)]
-        place = np.repeat(np.arange(len(rows)) * n_blocks, per_row[rows])
+        own = odd if len(rows) == len(per_row) else odd[np.repeat(chosen, per_row)]
+        n = len(rows) * n_blocks
+        place = np.repeat(np.arange(0, n, n_blocks), per_row[rows])
         # halves of 32 bits add up exactly in doubles
-        low_half, high_half = (own & np.uint64(0xFFFFFFFF)).astype(float), (own >> np.uint64(32)).astype(float)
+        halves = own.astype("<u8").view(np.uint32).reshape(-1, 2)
+        low_half, high_half = halves[:, 0].astype(float), halves[:, 1].astype(float)
         for turn in range(times):
-            dealt = (textkit.mix(own + np.uint64(2 * turn + 2)) >> np.uint64(32)) % np.uint64(n_blocks)
-            at = place + dealt.astype(np.int64)
-            n = len(rows) * n_blocks
+            dealt = textkit.mix(own + np.uint64(2 * turn + 2)) >> np.uint64(32)
+            if n_blocks & (n_blocks - 1):
+                dealt -= dealt // np.uint64(n_blocks) * np.uint64(n_blocks)
+            else:
+                dealt &= np.uint64(n_blocks - 1)
+            at = place + dealt.view(np.int64)
             sums = np.bincount(at, low_half, n).astype(np.uint64) + (np.bincount(at, high_half, n).astype(np.uint64) << np.uint64(32))
-            held = np.flatnonzero(sums)
-            name = np.uint64(salt | n_blocks << 16 | turn << 8) + (held % n_blocks).astype(np.uint64)
-            yield rows[held // n_blocks], _named(sums[held] + name, high <= 7)
+            sums += np.tile(np.uint64(salt | n_blocks << 16 | turn << 8) + np.arange(n_blocks, dtype=np.uint64), len(rows))
+            held = np.zeros(n, bool)
+            held[at] = True
+            yield np.repeat(rows, n_blocks)[held], _named(sums[held], high <= 7)
     # short lines: the whole, and, of three or four words, all but one
     begin = np.cumsum(per_row) - per_row
     for n in range(1, SHORT + 1):
@@ -195,7 +223,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
         held, n_held = [], 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                count = Counter(x for text in batch.column("text").slice(lo, 256).to_pylist() for x in normal_lines(text) if x)
+                count = Counter(all_lines(batch.column("text").slice(lo, 256).to_pylist())[0])
+                count.pop(b"", None)
                 if not count:
                     continue
                 h = np.fromiter(map(xxhash.xxh64_intdigest, count), np.uint64, len(count)).view(np.int64)
@@ -278,7 +307,14 @@ def _bucket_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             if d & (d - 1) == 0:  # at each power of two, buckets that are too small or settled are left out
                 stay = (sizes[bucket] > d) & ~tried[bucket]
                 bucket, own = bucket[stay], own[stay]
-        for s in np.flatnonzero((sizes > 1) & (tried | (sizes > 64))):
+        # half of the groups are pairs, in order already
+        pair = starts[np.flatnonzero(tried & (sizes == 2))]
+        if len(pair):
+            members.append(np.stack([h[pair], h[pair + 1]], axis=1).ravel())
+            prints.append(np.stack([sim[pair], sim[pair + 1]], axis=1).ravel())
+            raw = members[0].tobytes()
+            gids.append(np.repeat(np.array([xxhash.xxh64_intdigest(raw[i : i + 16]) for i in range(0, len(raw), 16)], np.uint64), 2))
+        for s in np.flatnonzero((sizes > 2) & (tried | (sizes > 64))):
             for group in _near(sim[starts[s] : starts[s] + sizes[s]], most[s]):
                 group = starts[s] + group[np.argsort(h[starts[s] + group])]
                 prints.append(sim[group])
@@ -334,13 +370,20 @@ class _Line:
         self.text, self.words = text, text.split(" ")
         self.once = dict(zip(self.words, range(len(self.words)), strict=True))
         if len(self.once) < len(self.words):
-            count = Counter(self.words)
-            self.once = {w: k for w, k in self.once.items() if count[w] == 1}
+            for w in [w for w, n in Counter(self.words).items() if n > 1]:
+                del self.once[w]
         marked = text.encode().translate(_MARKED)
         self.plain = len(marked.replace(b"!", b" ").split())
         self.odd = marked.startswith(b"!") + marked.count(b" !")
+        self._kinds: set[str] | None = None
         self._count: Counter | None = None
 
+    def kinds(self) -> set[str]:
+        """Its different words of letters and digits."""
+        if self._kinds is None:
+            self._kinds = set(_PLAIN.findall(self.text))
+        return self._kinds
+
     def count(self) -> Counter:
         if self._count is None:
             self._count = Counter(_PLAIN.findall(self.text))
@@ -384,7 +427,7 @@ def _similar(a: _Line, b: _Line, limit: int) -> bool:
     most = max(a.plain, b.plain)
     shared = [w for w in a.once if w in b.once]
     # shared words that begin with a letter or digit are common ones; all are counted only if these don't suffice
-    if most > FEW_WORDS and len(shared) - a.odd < COMMON * most and (a.count() & b.count()).total() < COMMON * most:
+    if most > FEW_WORDS and len(shared) - a.odd < COMMON * most and _common(a, b, COMMON * most) < COMMON * most:
         return False
     gaps = _pieces(a, b, shared)
     # what is left to compare costs no more than the longer sides, and no less than the differences of size
@@ -405,6 +448,13 @@ def _similar(a: _Line, b: _Line, limit: int) -> bool:
     return most <= limit
 
 
+def _common(a: _Line, b: _Line, enough: float) -> int:
+    """Number of the words that two lines have in common, repeats included, or a bound from above that isn't enough."""
+    # a kind in common counts once and as often again as either line repeats words at all
+    most = len(a.kinds() & b.kinds()) + min(a.plain - len(a.kinds()), b.plain - len(b.kinds()))
+    return most if most < enough else (a.count() & b.count()).total()
+
+
 def _pair(one: str, other: str, bits: int, similarity: float, names: list[int], known: dict[int, _Line]) -> bool:
     """_Texts.like() of two lines whose SimHashes differ in so many bits."""
     limit = int(max(len(one), len(other)) * (1 - similarity) + 1e-9)
@@ -471,14 +521,19 @@ def _pieces(one: _Line, other: _Line, shared: list[str]) -> list[tuple[str, str]
     xs.append(len(a))
     ys.append(len(b))
     out = []
-    for x, y, end, stop in [c for c in zip([-1, *xs], [-1, *ys], xs, ys, strict=False) if c[2] - c[0] > 1 or c[3] - c[1] > 1]:
-        x, y = x + 1, y + 1
+    x = y = 0
+    for end, stop in zip(xs, ys, strict=True):
+        if x == end and y == stop:  # the next words
+            x, y = end + 1, stop + 1
+            continue
+        after, since = end + 1, stop + 1
         while x < end and y < stop and a[x] == b[y]:
             x, y = x + 1, y + 1
         while x < end and y < stop and a[end - 1] == b[stop - 1]:
             end, stop = end - 1, stop - 1
         if x < end or y < stop:
             out.append(("".join([w + " " for w in a[x:end]]), "".join([w + " " for w in b[y:stop]])))
+        x, y = after, since
     return out
 
 
@@ -490,6 +545,33 @@ def _root(links: dict[int, int], x: int) -> int:
     return x
 
 
+#: Groups of up to so many lines are walked without arrays.
+SMALL = 12
+
+
+def _small_links(texts: list[str], sims: list[int], similarity: float, own: list[int], lines: dict[int, _Line], links: dict[int, int]) -> Iterator[tuple[int, int]]:
+    """Links of a group of few lines, found as the walk in _edit_links() finds those of many."""
+    linked = [_root(links, x) for x in own] if links else own
+    left = list(range(len(own)))
+    while left:
+        queue = [left.pop(0)]
+        while queue and left:
+            pivot = queue.pop()
+            x, near, apart = own[pivot], [], []
+            for i in left:
+                if linked[i] == linked[pivot]:
+                    queue.append(i)
+                elif _pair(texts[pivot], texts[i], (sims[pivot] ^ sims[i]).bit_count(), similarity, [x, own[i]], lines):
+                    near.append(i)
+                    yield x, own[i]
+                    if (mine := _root(links, own[i])) != (first := _root(links, x)):
+                        links[mine] = first
+                else:
+                    apart.append(i)
+            queue += near
+            left = apart
+
+
 def _edit_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """Links (a, b) of line hashes that connect what is similar inside each part."""
     links: dict[int, int] = {}
@@ -514,6 +596,11 @@ def _edit_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterato
                     b.append(x)
                     links[_root(links, y)] = _root(links, x)
                 continue
+            if hi - lo <= SMALL:
+                for x, y in _small_links(line.slice(lo, hi - lo).to_pylist(), sim[lo:hi].tolist(), similarity, own, lines, links):
+                    a.append(y)
+                    b.append(x)
+                continue
             texts = _Texts(line.slice(lo, hi - lo).to_pylist(), sim[lo:hi], similarity, own, lines)
             # what an earlier group of the same first line has linked needs no comparison
             linked = np.array([_root(links, x) for x in own])
@@ -541,34 +628,31 @@ def _edit_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterato
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _places(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, row, line, h, text) of the lines whose h may be in wanted; row is the hash of the document's text, and the line's own text is told once for each few documents.
+def _places(docs: DataFrame, often: DataFrame, groups: DataFrame) -> DataFrame:
+    """(doc_id, row, line, h, text) of the lines whose h may be in often or groups; row is the hash of the document's text, and the own text of a line that may be in groups is told once for each few documents.
 
-    A bitmap of fixed size keeps most other lines off.
+    Bitmaps of fixed size keep most other lines off.
     """
-    table = spread.bitmap(wanted)
+    told = spread.bitmap(groups)
+    table = told | spread.bitmap(often)
     kind = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("line", pa.int32()), ("h", pa.int64()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                at, number, lines = [], [], []
-                for i, text in enumerate(part.column("text").to_pylist()):
-                    for k, line in enumerate(normal_lines(text)):
-                        if line:
-                            at.append(i)
-                            number.append(k)
-                            lines.append(line)
+                lines, n_lines = all_lines(part.column("text").to_pylist())
                 h = np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, len(lines)).view(np.int64)
-                keep = np.flatnonzero(spread.inside(table, h))
+                keep = np.flatnonzero(spread.inside(table, h) & np.fromiter(map(bool, lines), bool, len(lines)))
                 if len(keep):
                     h = h[keep]
                     first = np.zeros(len(h), bool)
                     first[np.unique(h, return_index=True)[1]] = True
-                    own = pa.array(np.array(at)[keep])
+                    first &= spread.inside(told, h)
+                    at = np.repeat(np.arange(len(n_lines)), n_lines)[keep]
+                    own, number = pa.array(at), (keep - (np.cumsum(n_lines) - n_lines)[at]).astype(np.int32)
                     texts = pa.array([lines[i].decode() if new else None for i, new in zip(keep, first, strict=True)], pa.string())
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(own), part.column("row").take(own), pa.array(np.array(number, np.int32)[keep]), pa.array(h), texts], schema=kind)
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(own), part.column("row").take(own), pa.array(number), pa.array(h), texts], schema=kind)
 
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text")).mapInArrow(run, "doc_id long, row long, line int, h long, text string")
@@ -580,11 +664,11 @@ def line_groups(docs: DataFrame, similarity: float = SIMILARITY, group: int = GR
     found = spread.durable(_keyed(docs).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_groups, "gid long, h long, sim long, n long"))
     groups = spread.durable(found.where("gid IS NOT NULL").select("gid", "h", "sim").distinct())
     often = found.where("gid IS NULL").select("h", "n")
-    places = spread.durable(_places(docs, found.select("h")))
-    # the texts of the lines in groups, one row each
-    texts = places.where("text IS NOT NULL").join(groups.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min("text").alias("line"))
-    members = spread.durable(groups.join(texts, "h").select("gid", "h", F.struct("sim", "line").alias("own")))
-    roots = spread.connected_components(spread.links_within(members, "own", F.lit(1), group, lambda b: _edit_links(b, similarity)))
+    places = spread.durable(_places(docs, often, groups))
+    # the texts of the lines, one row each; groups are dealt without them
+    texts = spread.durable(places.where("text IS NOT NULL").groupBy("h").agg(F.min("text").alias("line")))
+    widen = lambda parts: parts.join(texts, "h").select("home", "part", "h", F.struct("sim", "line").alias("own"))
+    roots = spread.connected_components(spread.links_within(groups, "sim", F.lit(1), group, lambda b: _edit_links(b, similarity), widen))
     both = often.withColumn("root", F.lit(None).cast("long")).unionByName(roots.select(F.col("node").alias("h"), F.lit(1).cast("long").alias("n"), "root"))
     named = both.groupBy("h").agg(F.max("n").alias("n"), F.coalesce(F.max("root"), F.col("h")).alias("root"))
     return places.select("doc_id", "row", "line", "h"), spread.durable(named)
@@ -593,23 +677,18 @@ def line_groups(docs: DataFrame, similarity: float = SIMILARITY, group: int = GR
 def later_lines(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, row, lines: sorted numbers of the lines that an earlier line of their group makes superfluous); row is the hash of the text."""
     places, groups = line_groups(docs, **options)
-    named = spread.skewed_join(places, groups, "h", "n").select("doc_id", "row", "line", "root").dropDuplicates(["doc_id", "row", "line"])
+    named = spread.skewed_join(places, groups, "h", "n").select("doc_id", "row", "line", "root")
     named = spread.durable(named)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line", "row")
     first = spread.durable(named.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1"))
     later = spread.skewed_join(named, first, "root", "n").where(~order.eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list("line")).alias("lines"))
-
+    return later.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("line")).alias("lines"))  # rows that repeat a document repeat its lines
 
-@F.arrow_udf(T.StringType())
-def _without(texts: pa.Array, lines: pa.Array) -> pa.Array:
-    def cut(text: str | None, drop: list[int] | None) -> str | None:
-        if text is None or not drop:
-            return text
-        gone = set(drop)
-        return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
 
-    return pa.array([cut(t, d) for t, d in zip(texts.to_pylist(), lines.to_pylist(), strict=True)], pa.string())
+def _without(text: Column, lines: Column) -> Column:
+    """The text without the lines of these numbers, or as it is if there are none."""
+    kept = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(lines, i))
+    return F.when(lines.isNull(), text).otherwise(F.array_join(kept, "\n"))
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
@@ -619,7 +698,7 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """
     drop = spread.durable(later_lines(docs, **options)).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("lines").alias("__lines"))
     text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
-    cut, whole = spread.split_by(docs, F.xxhash64(doc_id, F.xxhash64(text)), drop.select(F.xxhash64("__id", "__row").alias("h")))
+    cut, whole = spread.split_wide(docs, F.xxhash64(doc_id, F.xxhash64(text)), drop.select(F.xxhash64("__id", "__row").alias("h")))
     joined = cut.join(drop, doc_id.eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__row")), "left")
     rest = [c for c in docs.columns if c not in ("text", "n_cut")]
     shorter = joined.select(*rest, _without(text, F.col("__lines")).alias("text"), F.coalesce(F.array_size("__lines"), F.lit(0)).alias("n_cut"))

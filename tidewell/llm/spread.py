@@ -117,6 +117,18 @@ def split_by(df: DataFrame, h: Column, keys: DataFrame) -> tuple[DataFrame, Data
     return marked.where("__maybe").drop("__maybe"), marked.where("NOT __maybe").drop("__maybe")
 
 
+def split_wide(df: DataFrame, h: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """split_by() for wide rows: the bitmap is a table of 4 MB that every task gets, so no row waits for Python."""
+    place = lambda x: F.pmod(x, F.lit(1 << FILTER_BITS)) + 1
+    slot = place(F.col("h"))
+    bits = durable(keys.groupBy(F.bitmap_bucket_number(slot).alias("__n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("__bits")))
+    marked = df.withColumn("__slot", place(h)).withColumn("__at", F.bitmap_bit_position("__slot")).withColumn("__n", F.bitmap_bucket_number("__slot"))
+    byte = "cast(conv(hex(substring(__bits, cast(__at div 8 + 1 as int), 1)), 16, 10) as int)"
+    bit = F.expr(f"coalesce(shiftright({byte}, cast(__at % 8 as int)) & 1, 0) = 1")
+    marked = marked.join(F.broadcast(bits), "__n", "left").withColumn("__maybe", bit).drop("__n", "__bits", "__slot", "__at")
+    return marked.where("__maybe").drop("__maybe"), marked.where("NOT __maybe").drop("__maybe")
+
+
 HOT = 50_000
 
 
@@ -132,18 +144,19 @@ def skewed_join(left: DataFrame, right: DataFrame, key: str, n: str) -> DataFram
     return left.join(F.broadcast(hot), key).unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
 
 
-def links_within(members: DataFrame, payload: str, weight: Column, block: int, walk: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+def links_within(members: DataFrame, payload: str, weight: Column, block: int, walk: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], widen: Callable[[DataFrame], DataFrame] = lambda parts: parts) -> DataFrame:
     """Links (a, b) that connect what is similar inside each group of members (gid, h, payload), h being distinct in a group.
 
     walk links, inside each part of a partition that is sorted by home, part and h, what is similar; groups that begin with the
     same member have one home, the least of them. A group of more
     weight than block is cut into blocks, and each is walked with the group's first member. Only members which that leaves
     unconnected with the first one are compared with the other blocks, so a large group of variants of one text isn't multiplied.
+    widen adds to rows (home, part, h, payload) what only walk needs, so that it isn't dealt by group before.
     """
     def links(parts: DataFrame) -> DataFrame:
         if "home" not in parts.columns:
             parts = parts.withColumn("home", F.col("part"))
-        return parts.repartition("home").sortWithinPartitions("home", "part", "h").mapInArrow(walk, "a long, b long")
+        return widen(parts).repartition("home").sortWithinPartitions("home", "part", "h").mapInArrow(walk, "a long, b long")
 
     sizes = members.groupBy("gid").agg(F.count("*").alias("n"), F.min("h").alias("head"), F.ceil(F.sum(weight) / block).cast("int").alias("blocks"))
     sizes = durable(sizes.where("n > 1"))

@@ -49,19 +49,27 @@ _POWERS = _Powers()
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every bit of a 64-bit value over all others."""
     h = h ^ (h >> np.uint64(30))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    h = h ^ (h >> np.uint64(27))
-    h = h * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte spans, by one prefix polynomial."""
     _POWERS.need(len(data) + 1)
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _POWERS.up[: len(data)], out=prefix[1:])
-    h = (prefix[ends] - prefix[starts]) * _POWERS.down[starts]
-    return mix(h ^ ((ends - starts).astype(np.uint64) << np.uint64(56)))
+    prefix = np.empty(len(data) + 1, np.uint64)
+    prefix[0] = 0
+    terms = data.astype(np.uint64)
+    terms += np.uint64(1)
+    terms *= _POWERS.up[: len(data)]
+    np.cumsum(terms, out=prefix[1:])
+    h = prefix[ends]
+    h -= prefix[starts]
+    h *= _POWERS.down[starts]
+    h ^= (ends - starts).astype(np.uint64) << np.uint64(56)
+    return mix(h)
 
 
 def blocks(texts: pa.Array, block_bytes: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
