@@ -665,13 +665,16 @@ def line_groups(docs: DataFrame, similarity: float = SIMILARITY, group: int = GR
     groups = spread.durable(found.where("gid IS NOT NULL").select("gid", "h", "sim").distinct())
     often = found.where("gid IS NULL").select("h", "n")
     places = spread.durable(_places(docs, often, groups))
+    spread.release(docs.sparkSession)  # the packed keys are larger than the documents
     # the texts of the lines, one row each; groups are dealt without them
     texts = spread.durable(places.where("text IS NOT NULL").groupBy("h").agg(F.min("text").alias("line")))
     widen = lambda parts: parts.join(texts, "h").select("home", "part", "h", F.struct("sim", "line").alias("own"))
     roots = spread.connected_components(spread.links_within(groups, "sim", F.lit(1), group, lambda b: _edit_links(b, similarity), widen))
     both = often.withColumn("root", F.lit(None).cast("long")).unionByName(roots.select(F.col("node").alias("h"), F.lit(1).cast("long").alias("n"), "root"))
     named = both.groupBy("h").agg(F.max("n").alias("n"), F.coalesce(F.max("root"), F.col("h")).alias("root"))
-    return places.select("doc_id", "row", "line", "h"), spread.durable(named)
+    named = spread.durable(named)
+    spread.release(docs.sparkSession)  # the texts of the lines
+    return places.select("doc_id", "row", "line", "h"), named
 
 
 def later_lines(docs: DataFrame, **options) -> DataFrame:

@@ -28,6 +28,11 @@ def durable(df: DataFrame, rows: int | None = None) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: Spark deletes the shuffle files of what nothing refers to any more, which else stay until its heap is full. The latest query's are still referred to."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def in_order(df: DataFrame, order: list[str]) -> DataFrame:
     """df in global order: range partitions, each sorted, kept so that later passes see the same cuts."""
     return durable(df.repartitionByRange(*[F.col(c).asc_nulls_last() for c in order]).sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in order]))
